@@ -23,7 +23,10 @@ def _lineitem(spark, sf_dir):
 
 
 def _ordinal():
-    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 262144 + F.pmod("l_partkey", F.lit(262144))
+    # orders repeat line numbers: part and price tell such lines apart
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    low = F.pmod(F.col("l_partkey") * 7919 + cents, F.lit(262144))
+    return (F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 262144 + low
 
 
 def _page():

@@ -5,7 +5,7 @@ The derived tables of `boxlake.fixtures` are restated here as CTEs.
 
 from __future__ import annotations
 
-ORDINAL = "(l_orderkey * 8 + l_linenumber) * 262144 + l_partkey % 262144"
+ORDINAL = "(l_orderkey * 8 + l_linenumber) * 262144 + (l_partkey * 7919 + round(l_extendedprice * 100)::bigint) % 262144"
 PAGE = "(1 + l_orderkey % 4)::int"
 CLASS = "case l_returnflag when 'A' then 'Tag-ID' when 'N' then 'resistor' else 'connector' end"
 X1 = "((l_partkey % 20) * 140 + l_orderkey % 23)::double"
@@ -663,11 +663,11 @@ select *, train_images > 0 and train_labels > 0 and valid_images > 0 and valid_l
 
 POS = "(row_number() over (partition by doc, page order by det_idx) - 1)"
 ORACLE["detection_documents"] = CORE + """
-select doc::varchar as doc, page, page_w, page_h, det_idx, class_id, class_name, confidence, x1, y1, x2, y2, tx1, ty1, tile, "row", col
+select doc, page, page_w, page_h, det_idx, class_id, class_name, confidence, x1, y1, x2, y2, tx1, ty1, tile, "row", col
 from (select * replace (POS as det_idx) from det)""".replace("POS", POS)
 ORACLE["converted_documents"] = CORE + f"""
-select doc::varchar as doc, page, {POS} as det_idx, class_name, confidence, x1, y1, x2, y2, tile from det"""
-ORACLE["document_pages"] = with_(PAGES) + "select doc::varchar as doc, page, page_w, page_h from pages5"
+select doc, page, {POS} as det_idx, class_name, confidence, x1, y1, x2, y2, tile from det"""
+ORACLE["document_pages"] = with_(PAGES) + "select doc, page, page_w, page_h from pages5"
 ORACLE["structure_check"] = CORE + """
 select s_suppkey::varchar as path, s_suppkey % 2 = 1 or first is null as compatible,
   case when s_suppkey % 2 = 0 and first is not null then 'no global_bbox, needs conversion' end as reason
@@ -678,7 +678,7 @@ select tile, count(*) filter (confidence < 0.25) as errors, case when count(*) f
   case when count(*) filter (confidence >= 0.25) > 0 then count(*) filter (confidence >= 0.25) end as boxes, sum(tx1) filter (confidence >= 0.25) as bx1
 from det group by tile"""
 ORACLE["text_documents"] = with_(BASE, DET, OCR, "src as (select * exclude (otext), otext as text from ocr)", tagged("tg", "src")) + """
-select doc::varchar as doc, page, row_number() over (partition by doc order by relevance desc, page, text_idx) - 1 as text_idx, text, confidence,
+select doc, page, row_number() over (partition by doc order by relevance desc, page, text_idx) - 1 as text_idx, text, confidence,
   x1, y1, x2, y2, patterns, relevance, sym_idx, sym_class_name, sym_x1,
   case when sym_idx is not null then doc || '_p' || page || '_r' || "row" || '_c' || col || '.png' end as sym_tile, "row", col from tg"""
 ORACLE["coordinate_report"] = with_(BASE, DET, PAGES) + """,

@@ -182,14 +182,18 @@ def expanded_boxes(spark, d):
     )
 
 
-def _read_stub(batch: pd.DataFrame):
-    """Two readings per region, from its own coordinates."""
-    out = []
-    for r in batch.itertuples():
-        w, h = float(r.roi_x2 - r.roi_x1), float(r.roi_y2 - r.roi_y1)
-        square = [[2.0, 2.0], [w - 4.0, 2.0], [w - 4.0, h - 6.0], [2.0, h - 6.0]]
-        out.append(([f" T{r.roi_x1} ", " "], [r.confidence, 1.0], [square, square]))
-    return out
+def _reader():
+    """A stand-in for a recogniser: two readings per region, from its coordinates."""
+
+    def read(batch: pd.DataFrame):
+        out = []
+        for r in batch.itertuples():
+            w, h = float(r.roi_x2 - r.roi_x1), float(r.roi_y2 - r.roi_y1)
+            square = [[2.0, 2.0], [w - 4.0, 2.0], [w - 4.0, h - 6.0], [2.0, h - 6.0]]
+            out.append(([f" T{r.roi_x1} ", " "], [r.confidence, 1.0], [square, square]))
+        return out
+
+    return read
 
 
 def _read(spark, d):
@@ -197,7 +201,7 @@ def _read(spark, d):
         "doc", "page", "page_w", "page_h", "det_idx", "confidence", *BOX, "tx1", "ty1", "row", "col",
         "roi_x1", "roi_y1", "roi_x2", "roi_y2", "current_w", "current_h",
     )
-    return tiles.recognised_texts(scoring.read_regions(rois, _read_stub), 0.5)
+    return tiles.recognised_texts(scoring.read_regions(rois, _reader()), 0.5)
 
 
 @query
@@ -225,23 +229,29 @@ def recognised_from_grid_position(spark, d):
     return out.select("doc", "page", "det_idx", "text", *BOX).withColumns(rounded(*BOX))
 
 
-def _detect_stub(batch: pd.DataFrame):
-    out = []
-    for r in batch.itertuples():
-        n = r.row * 3 + r.col
-        out.append(
-            [
-                {"class_id": k, "class_name": "PLC", "confidence": (k + 1) / 4, "x1": 10.0 * k, "y1": 5.0 * n, "x2": 10.0 * k + 40, "y2": 5.0 * n + 30}
-                for k in range(n % 4 + 1)
-            ]
-        )
-    return out
+def _detector():
+    """A stand-in for a detector: up to four boxes per tile, from its grid position."""
+
+    def detect(batch: pd.DataFrame):
+        out = []
+        for r in batch.itertuples():
+            n = r.row * 3 + r.col
+            corner = [(10.0 * k, 5.0 * n) for k in range(n % 4 + 1)]
+            out.append(
+                [
+                    {"class_id": k, "class_name": "PLC", "confidence": (k + 1) / 4, "x1": x, "y1": y, "x2": x + 40, "y2": y + 30}
+                    for k, (x, y) in enumerate(corner)
+                ]
+            )
+        return out
+
+    return detect
 
 
 @query
 def scored_tiles(spark, d):
     grid = tiles.tile_grid(X.order_pages(spark, d)).withColumn("image_path", F.concat(F.lit("/img/"), "tile"))
-    results = scoring.score_tiles(grid.select("tile", "image_path", "row", "col"), _detect_stub, 0.5)
+    results = scoring.score_tiles(grid.select("tile", "image_path", "row", "col"), _detector(), 0.5)
     boxes = scoring.tile_detections(results)
     return boxes.groupBy("tile").agg(
         F.count(F.lit(1)).alias("boxes"), F.sum("bx2").alias("right"), F.sum("by1").alias("top"), F.max("confidence").alias("best")
