@@ -21,45 +21,56 @@ REACH = 2
 FINE = 8
 
 
+def _to_roots(parent: DataFrame, keys: list[str]) -> DataFrame:
+    """Pointer jumping: `node, root` where `root` was the parent and becomes the top of
+    the chain. Every pass shortens chains to a quarter."""
+
+    def hop(low: DataFrame, high: DataFrame) -> DataFrame:
+        above = high.select(*keys, F.col("node").alias("root"), F.col("root").alias("_above"))
+        return low.join(above, [*keys, "root"]).drop("root").withColumnRenamed("_above", "root")
+
+    while True:
+        twice = hop(parent, parent)
+        moved = hop(twice.withColumn("_half", F.col("root")), twice)
+        moved = cut_lineage(moved.select(*keys, "node", "root", "_half"))
+        parent = moved.drop("_half")
+        # chains of one step do not move in the second half of a pass
+        if not moved.filter("root <> _half").limit(1).count():
+            return parent
+
+
+def _simple(edges: DataFrame, keys: list[str]) -> DataFrame:
+    ends = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    return cut_lineage(edges.filter("a <> b").select(*keys, *ends).distinct())
+
+
 def connected_components(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Components of an undirected graph given as `keys, a, b`: columns `keys, node,
-    root`. Nodes hang themselves under their smallest neighbour, chains are halved
-    twice, and the graph shrinks to the remaining roots until no edge is left, so the
-    number of rounds grows with the logarithm of the component size."""
+    root`. Nodes hang themselves under their smallest neighbour, chains are followed to
+    their top by pointer jumping, and the graph shrinks to the tops until no edge is
+    left; rounds grow with the logarithm of the component size."""
     keys = list(keys)
-    rest = cut_lineage(
-        edges.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    )
+    rest = _simple(edges, keys)
     labels = None
     while labels is None or rest.limit(1).count():
         both = rest.select(*keys, F.col("a").alias("node"), F.col("b").alias("other")).unionByName(
             rest.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))
         )
-        parent = cut_lineage(
-            both.groupBy(*keys, "node").agg(F.min("other").alias("m")).select(
-                *keys, "node", F.least("node", "m").alias("root")
-            )
-        )
-        for _ in range(2):
-            above = parent.select(*keys, F.col("node").alias("root"), F.col("root").alias("above"))
-            parent = cut_lineage(
-                parent.join(above, [*keys, "root"]).select(*keys, "node", F.col("above").alias("root"))
-            )
+        smallest = both.groupBy(*keys, "node").agg(F.min("other").alias("m"))
+        parent = _to_roots(cut_lineage(smallest.select(*keys, "node", F.least("node", "m").alias("root"))), keys)
         if labels is None:
             labels = parent
         else:
-            moved = parent.select(*keys, F.col("node").alias("root"), F.col("root").alias("up"))
+            moved = parent.select(*keys, F.col("node").alias("root"), F.col("root").alias("_up"))
             labels = cut_lineage(
                 labels.join(moved, [*keys, "root"], "left").select(
-                    *keys, "node", F.coalesce("up", "root").alias("root")
+                    *keys, "node", F.coalesce("_up", "root").alias("root")
                 )
             )
         for end in ("a", "b"):
             to = parent.select(*keys, F.col("node").alias(end), F.col("root").alias("_r"))
             rest = rest.join(to, [*keys, end]).drop(end).withColumnRenamed("_r", end)
-        rest = cut_lineage(
-            rest.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        )
+        rest = _simple(rest, keys)
     return labels
 
 
@@ -92,21 +103,22 @@ def _signed(bits: int) -> int:
 
 
 def _touching(kind: int):
-    """Whether two occupancy masks have parts within the radius."""
-    chosen = F.lit(False)
-    here, there = F.col("mask"), F.col("o_mask")
+    """Whether the occupied parts `mask` and `o_mask` of two cells at `dx, dy` come
+    within the radius: surely (0) or possibly (1)."""
+    branches = []
     for dx, dy in _offsets():
         masks = _masks(dx, dy)[kind]
-        # most parts of a far neighbour reach nothing
-        live = [(i, m) for i, m in enumerate(masks) if m]
-        if not live:
-            continue
-        table = F.array(*[F.struct(F.lit(_signed(1 << i)).alias("i"), F.lit(_signed(m)).alias("m")) for i, m in live])
-        hit = F.exists(
-            table, lambda t: (here.bitwiseAND(t["i"]) != 0) & (there.bitwiseAND(t["m"]) != 0)
-        )
-        chosen = F.when((F.col("dx") == dx) & (F.col("dy") == dy), hit).otherwise(chosen)
-    return chosen
+        if any(masks):
+            reach = ", ".join(f"{_signed(m)}L" if _signed(m) > -(1 << 63) else "(-9223372036854775807L - 1L)" for m in masks)
+            branches.append(f"WHEN dx = {dx} AND dy = {dy} THEN array({reach})")
+    table = f"CASE {' '.join(branches)} END"
+    return F.coalesce(
+        F.expr(
+            f"exists(sequence(0, {FINE * FINE - 1}), i -> (shiftright(mask, i) & 1L) = 1L"
+            f" AND (o_mask & element_at({table}, i + 1)) <> 0L)"
+        ),
+        F.lit(False),
+    )
 
 
 def clusters(texts: DataFrame, radius: float = 100.0, by_page: bool = True) -> DataFrame:
