@@ -9,6 +9,8 @@ Two registrations are used:
   its longer side (at most 2x2 cells). Two boxes whose IoU exceeds t differ by at
   most `ceil(log2(1/t))` octaves, so registering that many octaves upward is enough
   for them to meet.
+
+Cells come from plain `explode` steps, which stay inside generated code.
 """
 
 from __future__ import annotations
@@ -18,27 +20,25 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.functions.geometry import Box, height, width
+from boxlake.functions.geometry import Box, box, height, width
 
 TIER_SIDES = (128.0, 1024.0, 8192.0)
 SPAN = 4
-CELLS = "array<struct<tier:int,cx:bigint,cy:bigint>>"
+
+# How two boxes of any sizes meet: in the tier of the larger one. The code tells in
+# whose own tier the cell lies, so that boxes far below the tier are not compared.
+BOTH, LEFT, RIGHT = 0, 1, 2
 
 
 def cell(value: Column, side) -> Column:
     return F.floor(value / side)
 
 
-def _grid(tier: Column, b: Box, side: Column) -> Column:
-    return F.flatten(
-        F.transform(
-            F.sequence(cell(b.x1, side), cell(b.x2, side)),
-            lambda cx: F.transform(
-                F.sequence(cell(b.y1, side), cell(b.y2, side)),
-                lambda cy: F.struct(tier.alias("tier"), cx.alias("cx"), cy.alias("cy")),
-            ),
-        )
-    )
+def _explode_grid(df: DataFrame, columns: list[str], b: Box, side: Column) -> DataFrame:
+    """`columns, cx, cy` for the cells of a given side a box covers."""
+    xs = F.sequence(cell(b.x1, side), cell(b.x2, side))
+    ys = F.sequence(cell(b.y1, side), cell(b.y2, side))
+    return df.withColumn("cx", F.explode(xs)).withColumn("cy", F.explode(ys)).select(*columns, "cx", "cy")
 
 
 def tier_of(b: Box) -> Column:
@@ -49,31 +49,36 @@ def tier_of(b: Box) -> Column:
     return expr
 
 
-def box_cells(b: Box, upward: bool = False) -> Column:
-    """Cells of a box in its own tier, and with `upward` in all larger tiers too."""
-    own = tier_of(b)
-    parts = []
-    for tier, side in enumerate(TIER_SIDES):
-        cells = _grid(F.lit(tier), b, F.lit(side))
-        wanted = own <= tier if upward else own == tier
-        parts.append(F.when(wanted, cells).otherwise(F.array().cast(CELLS)))
-    return F.concat(*parts)
-
-
-def point_cells(x: Column, y: Column) -> Column:
-    """The one cell of a point in every tier."""
-    return F.array(
-        *(
-            F.struct(F.lit(t).alias("tier"), cell(x, s).alias("cx"), cell(y, s).alias("cy"))
-            for t, s in enumerate(TIER_SIDES)
-        )
-    )
-
-
-def explode_cells(df: DataFrame, cells: Column) -> DataFrame:
-    """One row per cell with columns `tier, cx, cy`."""
-    return df.select("*", F.explode(cells).alias("_c")).select(
-        *df.columns, "_c.tier", "_c.cx", "_c.cy"
+def spread_boxes(df: DataFrame, prefix: str = "", meet: int | None = None) -> DataFrame:
+    """One row per cell of the box in its own tier, as `tier, cx, cy`. With `meet`
+    (`LEFT` or `RIGHT`, the role in a join of two box tables) also in larger tiers, and
+    a column `meet` to join on."""
+    b = box(prefix)
+    boxed = df.filter(b.x1.isNotNull() & b.y1.isNotNull() & b.x2.isNotNull() & b.y2.isNotNull())
+
+    def at(tier: int, code: int) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), F.lit(TIER_SIDES[tier]).alias("side"), F.lit(code).alias("meet"))
+
+    def spots(own: int) -> Column:
+        if meet is None:
+            return F.array(at(own, BOTH))
+        other = RIGHT if meet == LEFT else LEFT
+        return F.array(at(own, BOTH), at(own, meet), *[at(t, other) for t in range(own + 1, len(TIER_SIDES))])
+
+    own, last = tier_of(b), len(TIER_SIDES) - 1
+    chosen = spots(last)
+    for tier in range(last - 1, -1, -1):
+        chosen = F.when(own == tier, spots(tier)).otherwise(chosen)
+    placed = boxed.withColumn("_t", F.explode(chosen)).select(*df.columns, "_t.tier", "_t.side", "_t.meet")
+    extra = ["tier"] if meet is None else ["tier", "meet"]
+    return _explode_grid(placed, [*df.columns, *extra], b, F.col("side"))
+
+
+def spread_points(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row per tier with the cell of a point."""
+    spots = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(s).alias("side")) for t, s in enumerate(TIER_SIDES)])
+    return df.withColumn("_t", F.explode(spots)).select(
+        *df.columns, "_t.tier", cell(F.col(x), F.col("_t.side")).alias("cx"), cell(F.col(y), F.col("_t.side")).alias("cy")
     )
 
 
@@ -85,12 +90,17 @@ def octaves_apart(threshold: float) -> int:
     return max(0, math.ceil(math.log2(1.0 / threshold)))
 
 
-def octave_cells(b: Box, octave: Column, threshold: float) -> Column:
-    """Cells in the own octave and in those of any box that could exceed the
-    IoU threshold with this one."""
-    return F.flatten(
-        F.transform(
-            F.sequence(octave, octave + octaves_apart(threshold)),
-            lambda o: _grid(o, b, F.pow(F.lit(2.0), o)),
-        )
-    )
+def spread_octaves(df: DataFrame, threshold: float) -> DataFrame:
+    """Cells of a box (`octave` given) in its own octave (`own`) and in those of any box
+    that could exceed the IoU threshold with it, as `tier, cx, cy, own`."""
+    octave = F.col("octave")
+    steps = df.withColumn("tier", F.explode(F.sequence(octave, octave + octaves_apart(threshold))))
+    placed = _explode_grid(steps, [*df.columns, "tier"], box(), F.pow(F.lit(2.0), F.col("tier")))
+    return placed.withColumn("own", F.col("tier") == octave)
+
+
+def spread_around(df: DataFrame, x: str, y: str, radius: float, side: float) -> DataFrame:
+    """Cells that hold anything within the radius of a point, as `cx, cy`."""
+    px, py = F.col(x), F.col(y)
+    around = Box(px - radius, py - radius, px + radius, py + radius)
+    return _explode_grid(df, df.columns, around, F.lit(side))

@@ -134,21 +134,29 @@ def clusters(texts: DataFrame, radius: float = 100.0, by_page: bool = True) -> D
     placed = boxed.withColumns({"cx": cell_x, "cy": cell_y})
     bit = (F.pmod(fx, F.lit(FINE)) + F.pmod(fy, F.lit(FINE)) * FINE).cast("int")
     at = [*keys, "cx", "cy"]
+    extent = [f(c).alias(f"{p}{c}") for c in ("_px", "_py") for p, f in (("lo", F.min), ("hi", F.max))]
+    sides = [f"{p}{c}" for c in ("_px", "_py") for p in ("lo", "hi")]
     occupied = cut_lineage(
         placed.groupBy(*at).agg(
             F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("mask"),
             F.min("text_idx").alias("first"),
+            *extent,
         )
     )
     steps = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _offsets()])
-    around = occupied.select(*at, "mask", F.explode(steps).alias("_s")).select(
-        *keys, F.col("cx").alias("ax"), F.col("cy").alias("ay"), "mask", "_s.dx", "_s.dy",
+    around = occupied.select(*at, "mask", *sides, F.explode(steps).alias("_s")).select(
+        *keys, F.col("cx").alias("ax"), F.col("cy").alias("ay"), "mask", *sides, "_s.dx", "_s.dy",
         (F.col("cx") + F.col("_s.dx")).alias("cx"), (F.col("cy") + F.col("_s.dy")).alias("cy"),
     )
-    pairs = around.join(occupied.select(*at, F.col("mask").alias("o_mask")), at)
+    pairs = around.join(occupied.select(*at, *[F.col(c).alias(f"o_{c}") for c in ("mask", *sides)]), at)
+    gap = [F.greatest(F.col(f"o_lo{c}") - F.col(f"hi{c}"), F.col(f"lo{c}") - F.col(f"o_hi{c}"), F.lit(0.0)) for c in ("_px", "_py")]
+    far = [F.greatest(F.col(f"o_hi{c}") - F.col(f"lo{c}"), F.col(f"hi{c}") - F.col(f"o_lo{c}")) for c in ("_px", "_py")]
+    near, most = (F.sqrt(x * x + y * y) for x, y in (gap, far))
+    # the extents of the points settle most pairs, the occupied parts most of the rest
+    sure = F.when(most <= radius, True).when(near > radius, False).otherwise(_touching(0))
+    maybe = F.when(near > radius, False).otherwise(F.col("sure") | _touching(1))
     judged = cut_lineage(
-        pairs.withColumn("sure", _touching(0)).withColumn("maybe", _touching(1)).filter(F.col("sure") | F.col("maybe"))
-        .select(*keys, "ax", "ay", "cx", "cy", "sure")
+        pairs.withColumn("sure", sure).withColumn("maybe", maybe).filter("maybe").select(*keys, "ax", "ay", "cx", "cy", "sure")
     )
     # neighbours whose occupied parts do not settle it: look at the points
     unsettled = judged.filter(~F.col("sure")).drop("sure")

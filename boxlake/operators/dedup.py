@@ -78,17 +78,9 @@ def _suppress_folded(df, group, threshold, inclusive, unboxed) -> DataFrame:
     )
 
 
-def _cells(df: DataFrame, threshold: float) -> DataFrame:
-    """Rows per grid cell; `own` marks the octave the box belongs to."""
-    b = G.box()
-    return C.explode_cells(df, C.octave_cells(b, F.col("octave"), threshold)).withColumn(
-        "own", F.col("tier") == F.col("octave")
-    )
-
-
 def _paired(df: DataFrame, group: Sequence[str], threshold: float, inclusive: bool) -> DataFrame:
     """Pairs of one group over the IoU threshold, as `group, hi, lo` (ranks)."""
-    left = _cells(df, threshold)
+    left = C.spread_octaves(df, threshold)
     right = left.select(
         *group, "tier", "cx", "cy", *[F.col(c).alias(f"o_{c}") for c in ("rank", "own", "x1", "y1", "x2", "y2")]
     )
@@ -167,7 +159,7 @@ def _peel(open_, group, threshold, inclusive, cell_limit):
     at = [*group, "tier", "cx", "cy"]
     node = [*group, "rank"]
     while True:
-        spread = _cells(open_, threshold)
+        spread = C.spread_octaves(open_, threshold)
         tops = cut_lineage(spread.groupBy(*at).agg(F.min("rank").alias("top"), F.count(F.lit(1)).alias("n")))
         if not tops.filter(F.col("n") > cell_limit).limit(1).count():
             return open_, kept
@@ -181,11 +173,11 @@ def _peel(open_, group, threshold, inclusive, cell_limit):
         winners = cut_lineage(open_.join(winners, node, "left_semi"))
         kept.append(winners.select(*node))
         rest = open_.join(winners.select(*node), node, "left_anti").select(*open_.columns)
-        near = _cells(winners, threshold).select(
+        near = C.spread_octaves(winners, threshold).select(
             *at, *[F.col(c).alias(f"w_{c}") for c in ("rank", "x1", "y1", "x2", "y2")]
         )
         fallen = (
-            _cells(rest, threshold)
+            C.spread_octaves(rest, threshold)
             .join(near, at)
             .filter(F.col("w_rank") < F.col("rank"))
             .filter(G.exceeds_iou(G.box("w_"), G.box(), threshold, inclusive))
@@ -253,7 +245,7 @@ def overlap_summary(
     a box are counted by multiplication, not by pairing them."""
     keys = list(keys)
     distinct = _copies(df, keys)
-    left = _cells(distinct, iou_threshold)
+    left = C.spread_octaves(distinct, iou_threshold)
     right = left.select(
         *keys, "tier", "cx", "cy",
         *[F.col(c).alias(f"o_{c}") for c in ("rank", "own", "n", "x1", "y1", "x2", "y2")],
