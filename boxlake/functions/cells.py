@@ -74,9 +74,22 @@ def spread_boxes(df: DataFrame, prefix: str = "", meet: int | None = None) -> Da
     return _explode_grid(placed, [*df.columns, *extra], b, F.col("side"))
 
 
-def spread_points(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row per tier with the cell of a point."""
-    spots = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(s).alias("side")) for t, s in enumerate(TIER_SIDES)])
+def tiers_used(*tables: tuple[DataFrame, str]) -> list[int]:
+    """Tiers the boxes of some tables fall into (`(table, prefix)`): at most one value
+    per tier comes back. Most data uses one tier, which saves registering in others."""
+    found: set[int] = set()
+    for df, prefix in tables:
+        b = box(prefix)
+        known = df.filter(b.x1.isNotNull() & b.y1.isNotNull() & b.x2.isNotNull() & b.y2.isNotNull())
+        rows = known.select(tier_of(b).alias("tier")).distinct().collect()
+        found |= {r.tier for r in rows}
+    return sorted(found)
+
+
+def spread_points(df: DataFrame, x: str, y: str, tiers: list[int] | None = None) -> DataFrame:
+    """One row with the cell of a point per tier (of those given)."""
+    wanted = range(len(TIER_SIDES)) if tiers is None else (tiers or [0])
+    spots = F.array(*[F.struct(F.lit(t).alias("tier"), F.lit(TIER_SIDES[t]).alias("side")) for t in wanted])
     return df.withColumn("_t", F.explode(spots)).select(
         *df.columns, "_t.tier", cell(F.col(x), F.col("_t.side")).alias("cx"), cell(F.col(y), F.col("_t.side")).alias("cy")
     )
