@@ -296,7 +296,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     different labels counts as toxic."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~fold(F.col("doc_id"), 3).isin(1, -1))
-    return texts.join(known, "doc_id")
+    # Both sides grow with the corpus, so neither is ever broadcast.
+    return texts.join(known.hint("merge"), "doc_id")
 
 
 def add_score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
