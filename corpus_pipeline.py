@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.llm import toxicity
+from boxlake.llm import linededup, neardup, toxicity
 from boxlake.session import cut_lineage
 
 
@@ -13,8 +13,20 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that nearly repeat an earlier line of the corpus."""
+    return linededup.drop_repeated_lines(docs)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, a similarity of 0.8)."""
+    return neardup.drop_near_duplicates(docs)
+
+
 STAGES = [
     ("toxicity", reject_toxic),
+    ("line_dedup", drop_lines),
+    ("near_dedup", one_of_each_group),
 ]
 
 
