@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import linededup, neardup, toxicity
+from boxlake.llm import decontaminate, linededup, mixing, neardup, toxicity
 from boxlake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,14 @@ select documents.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_rep
   case when whole or removed is null then '' else removed end as removed
 from documents left join sums using (doc_id)
 """
+
+
+@query
+def op5_benchmark_decontamination(spark, d):
+    found = decontaminate.add_leaks(documents(spark, d).select("doc_id", "text"), table(spark, d, "benchmark"))
+    return found.select("doc_id", F.size("items").cast("long").alias("n_items"), "items")
+
+
+@query
+def op2_source_mixing(spark, d):
+    return mixing.mix_by_source(documents(spark, d))

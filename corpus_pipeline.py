@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxlake.llm import linededup, neardup, toxicity
+from boxlake.llm import decontaminate, linededup, mixing, neardup, toxicity
 from boxlake.session import cut_lineage
 
 
@@ -23,10 +23,22 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return neardup.drop_near_duplicates(docs)
 
 
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark passage occurs."""
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """For each document left, the words the mix takes of it."""
+    return mixing.mix_by_source(docs)
+
+
 STAGES = [
     ("toxicity", reject_toxic),
     ("line_dedup", drop_lines),
     ("near_dedup", one_of_each_group),
+    ("decontamination", without_benchmark),
+    ("mixing", mix),
 ]
 
 
