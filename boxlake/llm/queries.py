@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import decontaminate, linededup, mixing, neardup, substrings, toxicity
+from boxlake.llm import decontaminate, language, linededup, mixing, neardup, substrings, toxicity
 from boxlake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,8 @@ def op2_source_mixing(spark, d):
 def op6_substring_dedup(spark, d):
     found = substrings.repeated_passages(documents(spark, d))
     return found.select("doc_id", "n_words", "n_removed", "kept_sha256", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query
+def op4_language_id(spark, d):
+    return language.identify(documents(spark, d))
