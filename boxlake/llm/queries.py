@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import decontaminate, language, linededup, mixing, neardup, quality, substrings, toxicity
+from boxlake.llm import decontaminate, html, language, linededup, mixing, neardup, quality, substrings, toxicity
 from boxlake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,8 @@ def op4_language_id(spark, d):
 @query
 def op3_quality_rules(spark, d):
     return quality.judge(documents(spark, d), table(spark, d, "labels"))
+
+
+@query
+def op1_html_extraction(spark, d):
+    return html.extract(table(spark, d, "pages"))
