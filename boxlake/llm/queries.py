@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxlake.llm import decontaminate, html, language, linededup, mixing, neardup, quality, substrings, toxicity
+from boxlake.llm import decontaminate, html, language, linededup, mixing, neardup, pii, quality, substrings, toxicity
 from boxlake.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op3_quality_rules(spark, d):
 @query
 def op1_html_extraction(spark, d):
     return html.extract(table(spark, d, "pages"))
+
+
+@query
+def op7_pii(spark, d):
+    return pii.find(documents(spark, d))
