@@ -183,9 +183,17 @@ def _with_groups(bands: DataFrame, links: DataFrame | None) -> DataFrame:
 
 
 def _lead_pairs(bands: DataFrame, turn: int) -> DataFrame:
-    """Each class of a band with the band's lead: the smallest id at first, then others."""
-    order = F.col("doc_id") if turn == 0 else F.xxhash64("doc_id", F.lit(turn))
-    leads = bands.groupBy("key").agg(F.min(F.struct(order.alias("o"), "doc_id", "grp")).alias("lead"))
+    """Each class of a band with the band's lead. At first that is the class with the most
+    neighbours over all its bands: an original among edited copies is near to all of them
+    while they may be far from each other. Then the smallest id, then others."""
+    ranked = bands
+    if turn == 0:
+        sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+        met = bands.join(sizes, "key").groupBy("doc_id").agg((-F.sum("_n")).alias("o"))
+        ranked = bands.join(met, "doc_id")
+    else:
+        ranked = bands.withColumn("o", F.lit(0) if turn == 1 else F.xxhash64("doc_id", F.lit(turn)))
+    leads = ranked.groupBy("key").agg(F.min(F.struct("o", "doc_id", "grp")).alias("lead"))
     met = bands.join(leads.select("key", F.col("lead.doc_id").alias("b"), F.col("lead.grp").alias("_g")), "key")
     return met.filter("grp <> _g").select(F.col("doc_id").alias("a"), "b").distinct()
 
