@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boxlake.llm.common import code_points, mix, small_batches
+from boxlake.llm.common import code_points, mix, small_batches, unused
 
 Q = 10
 RATE = 0.08  # edits allowed for each character of a passage
@@ -159,7 +160,7 @@ def add_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "items", block_
     kept = [f for f in docs.schema.fields if f.name != name]
     out = docs.select(*[f"`{f.name}`" for f in kept])
     for i, items in enumerate(_blocks(benchmark, block_chars)):
-        schema = out.schema.add(f"{name}__{i}", "array<bigint>")
+        schema = out.schema.add(f"{name}__{i}", T.ArrayType(T.LongType()))
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def search(batches, shared=shared, names=schema.names):
@@ -175,7 +176,5 @@ def add_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "items", block_
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without the rows in which a passage occurs; all columns as they are."""
-    name = "leaked_items"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "leaked_items")
     return add_leaks(docs, benchmark, name, **options).filter(F.size(name) == 0).drop(name)

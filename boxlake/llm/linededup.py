@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import WORD, let
+from boxlake.llm.common import WORD, let, unused
 from boxlake.session import cut_lineage
 
 THRESHOLD = 1
@@ -253,11 +253,13 @@ def line_decisions(docs: DataFrame, max_loss: float = MAX_LOSS, **options) -> Da
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """`docs` with the repeated lines taken out of `text`; all other columns and rows stay
     as they are (n_chars, if there, follows the text)."""
-    chosen = line_decisions(docs, **options).filter("n_removed > 0").select(F.col("doc_id").alias("_doc"), "removed")
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains("removed", i))
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    doc, gone = unused(docs, "_doc"), unused(docs, "_gone")
+    chosen = line_decisions(docs, **options).filter("n_removed > 0")
+    chosen = chosen.select(F.col("doc_id").alias(doc), F.col("removed").alias(gone))
+    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     joined = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.select(docs.columns)
+    return joined.select([f"`{c}`" for c in docs.columns])

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import code_points, fold, mix, small_batches, word_hashes
+from boxlake.llm.common import code_points, fold, mix, small_batches, unused, word_hashes
 from boxlake.session import cut_lineage
 
 ORDER = 5
@@ -335,7 +335,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows predicted toxic; all columns as they are."""
     model = fit(training_rows(docs, labels))
-    name = "toxicity_score"
-    while name in docs.columns:
-        name += "_"
+    name = unused(docs, "toxicity_score")
     return add_score(docs, model, name).filter(F.col(name) < CUT).drop(name)
