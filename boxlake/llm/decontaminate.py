@@ -160,7 +160,7 @@ def add_leaks(docs: DataFrame, benchmark: DataFrame, name: str = "items", block_
     kept = [f for f in docs.schema.fields if f.name != name]
     out = docs.select(*[f"`{f.name}`" for f in kept])
     for i, items in enumerate(_blocks(benchmark, block_chars)):
-        schema = out.schema.add(f"{name}__{i}", T.ArrayType(T.LongType()))
+        schema = T.StructType([*out.schema.fields, T.StructField(f"{name}__{i}", T.ArrayType(T.LongType()))])
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def search(batches, shared=shared, names=schema.names):

@@ -44,38 +44,38 @@ def _segment(n: Column, i: int, threshold: int) -> tuple[Column, Column]:
     long, the longer ones last."""
     parts = threshold + 1
     short = parts - n % parts  # number of short segments
-    base = F.floor(n / parts)
-    start = base * i + F.greatest(F.lit(i) - short, F.lit(0))
-    return start.cast("int"), (base + (F.lit(i) >= short).cast("int")).cast("int")
-
-
-def _entry(line: Column, n: Column, base: Column, i: int, start: Column, size: Column, role: int, rest: bool):
-    found = F.substring(line, start + 1, size)
-    fields = [F.xxhash64(base, n, F.lit(i), found).alias("key"), F.lit(role).alias("role")]
-    if rest:
-        after = F.substring(line, start + size + 1, F.length(line))
-        fields.append(F.concat(F.substring(line, F.lit(1), start), after).alias("rest"))
-        fields.append((n - size).alias("left"))
-    fits = (start >= 0) & (start + size <= F.length(line))
-    return F.when(fits, F.struct(*fields))
-
-
-def entries(line: Column, base: Column, threshold: int, rest: bool = False) -> Column:
-    """All entries of a line as `key, role[, rest]`: role 1 for its own segments, which
-    also meet those of equally long lines; role 0 for the substrings that may be segments
-    of other lines, of `gap` characters fewer."""
+    base = F.floor(n / parts).cast("int")
+    return base * i + F.greatest(F.lit(i) - short, F.lit(0)), base + (F.lit(i) >= short).cast("int")
+
+
+def entries(line: Column, size: Column, base: Column, threshold: int) -> list[tuple[int, Column, Column, Column]]:
+    """All entries of a line of `size` characters: role, key, the line without the segment,
+    and what the segment's owner has left. Role 1 are its own segments, which also meet those
+    of equally long lines; role 0 the substrings that may be segments of other lines, of
+    `gap` characters fewer. A key is null where the entry doesn't exist."""
     out = []
     for gap in range(threshold + 1):
-        n = F.length(line) - gap
+        n = size - gap
         for i in range(threshold + 1):
-            start, size = _segment(n, i, threshold)
-            low = max(-i, gap - (threshold - i))
-            high = min(i, gap + (threshold - i))
-            for shift in range(low, high + 1):
-                own = gap == 0 and shift == 0
-                entry = _entry(line, n, base, i, start + shift, size, int(own), rest)
-                out.append(F.when(n > threshold, entry))
-    return F.filter(F.array(*out), lambda e: e.isNotNull())
+            first, length = _segment(n, i, threshold)
+            for shift in range(max(-i, gap - (threshold - i)), min(i, gap + (threshold - i)) + 1):
+                start = first + shift
+                key = F.xxhash64(base, n, F.lit(i), F.substring(line, start + 1, length))
+                fits = (n > threshold) & (start >= 0) & (start + length <= size)
+                rest = F.concat(F.substring(line, F.lit(1), start), F.substring(line, start + length + 1, size))
+                out.append((int(gap == 0 and shift == 0), F.when(fits, key), rest, n - length))
+    return out
+
+
+def _level_entries(rows: DataFrame, base: Column, threshold: int, *columns: str) -> DataFrame:
+    """`columns, key, role, rest, left` of the entries of `rest`."""
+    sized = rows.withColumn("_size", F.length("rest"))
+    found = [
+        F.struct(key.alias("key"), F.lit(role).alias("role"), rest.alias("rest"), left.alias("left"))
+        for role, key, rest, left in entries(F.col("rest"), F.col("_size"), base, threshold)
+    ]
+    listed = sized.select(*columns, F.explode(F.array(*found)).alias("_e")).filter("_e.key is not null")
+    return listed.select(*columns, "_e.*")
 
 
 # ------------------------------------------------------------------ verification
@@ -161,6 +161,11 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 # ------------------------------------------------------------------ join
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """For a side that grows with the corpus: joined by shuffle at any size."""
+    return df.hint("merge")
+
+
 def _meetings(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Rows (`key, h, role, ...`) whose key another line shares: those of few lines, and
     those of crowded keys."""
@@ -168,7 +173,7 @@ def _meetings(rows: DataFrame, crowd: int) -> tuple[DataFrame, DataFrame]:
         F.min("h").alias("_lo"), F.max("h").alias("_hi"), F.max("role").alias("_own"), F.count(F.lit(1)).alias("_n")
     )
     shared = counts.filter("_lo < _hi and _own = 1").select("key", "_n")
-    met = cut_lineage(rows.join(shared, "key"))
+    met = cut_lineage(rows.join(_shuffled(shared), "key"))
     return met.filter(F.col("_n") <= crowd).drop("_n"), met.filter(F.col("_n") > crowd).drop("_n")
 
 
@@ -180,34 +185,35 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def near_pairs(found: DataFrame, distinct: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
+def near_pairs(found: DataFrame, keyed: DataFrame, threshold: int = THRESHOLD, crowd: int = CROWD) -> DataFrame:
     """`a, b`: hashes of different lines at most `threshold` edits apart. `found` has the
-    lines' occurrences (`h, line`), `distinct` one row for each line (`h, entries`)."""
-    rows = distinct.select("h", F.inline("entries"))
-    few, many = _meetings(rows, crowd)
+    lines' occurrences (`h, line`), `keyed` the entries of each different line (`h, key,
+    role`)."""
+    few, many = _meetings(keyed, crowd)
     met = few.select("h").union(many.select("h")).distinct()
-    texts = found.join(met, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
+    texts = found.select("h", "line").join(_shuffled(met), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
     texts = cut_lineage(texts)
     pairs = _pairs(few)
-    level = many.join(texts, "h").select("h", "key", "role", F.col("line").alias("rest"))
-    base = F.lit(0).cast("long")
+    level = many
     first = True
     while level.limit(1).count():
         if first:  # the rests of the lines' crowded entries
-            again = texts.select("h", F.inline(entries(F.col("line"), base, threshold, rest=True)))
+            lines_of = texts.select("h", F.col("line").alias("rest"))
+            again = _level_entries(lines_of, F.lit(0).cast("long"), threshold, "h")
             level = again.join(level.select("h", "key", "role").distinct(), ["h", "key", "role"])
             first = False
         # `left`, what is left of the owner of the segment, is the same under one key. A
         # role goes on: other lines' substrings stay probes, own segments stay both.
         pairs = pairs.unionByName(_pairs(level.filter(F.col("left") <= 2 * threshold)))
-        finer = level.filter(F.col("left") > 2 * threshold).select(
-            "h", F.col("role").alias("_role"), F.inline(entries(F.col("rest"), F.col("key"), threshold, rest=True))
+        longer = level.filter(F.col("left") > 2 * threshold).select(
+            "h", F.col("role").alias("_role"), F.col("key").alias("_key"), "rest"
         )
+        finer = _level_entries(longer, F.col("_key"), threshold, "h", "_role")
         finer = finer.select("h", "key", F.least("role", "_role").alias("role"), "rest", "left").distinct()
         few, level = _meetings(finer, crowd)
         pairs = pairs.unionByName(_pairs(few))
     for side in "ab":
-        pairs = pairs.join(texts.select(F.col("h").alias(side), F.col("line").alias(f"t{side}")), side)
+        pairs = pairs.join(_shuffled(texts.select(F.col("h").alias(side), F.col("line").alias(f"t{side}"))), side)
     return pairs.filter(within(F.col("ta"), F.col("tb"), threshold)).select("a", "b").distinct()
 
 
@@ -218,18 +224,23 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     counts the different lines within reach. Rows that repeat an id aren't told apart."""
     found = lines(docs, min_chars).withColumn("h", F.xxhash64("line"))
     at = F.struct("doc_id", "line_no")
-    distinct = found.select("h", F.hash("line").alias("h2"), at.alias("at"), entries(F.col("line"), F.lit(0).cast("long"), threshold).alias("entries"))
-    distinct = distinct.groupBy("h", "h2").agg(F.min("at").alias("at"), F.min_by("entries", "at").alias("entries"))
-    distinct = cut_lineage(distinct)
-    pairs = cut_lineage(near_pairs(found, distinct, threshold, crowd))
+    kept = found.withColumn("_size", F.length("line"))
+    own = entries(F.col("line"), F.col("_size"), F.lit(0).cast("long"), threshold)
+    # Equal lines have equal entries, so any of them stands for all.
+    names = [f"k{i}" for i in range(len(own))]
+    distinct = kept.select("h", at.alias("at"), *[key.alias(n) for n, (_, key, _, _) in zip(names, own)])
+    distinct = cut_lineage(distinct.groupBy("h").agg(F.min("at").alias("at"), *[F.max(n).alias(n) for n in names]))
+    listed = F.array(*[F.struct(F.col(n).alias("key"), F.lit(e[0]).alias("role")) for n, e in zip(names, own)])
+    keyed = distinct.select("h", F.inline(listed)).filter("key is not null")
+    pairs = cut_lineage(near_pairs(found, keyed, threshold, crowd))
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    firsts = distinct.groupBy("h").agg(F.min("at").alias("at"))
-    near = both.join(firsts.select(F.col("h").alias("b"), "at"), "b").groupBy(F.col("a").alias("h"))
+    firsts = distinct.select("h", "at")
+    near = both.join(_shuffled(firsts.select(F.col("h").alias("b"), "at")), "b").groupBy(F.col("a").alias("h"))
     near = near.agg(F.min("at").alias("near_at"), F.count(F.lit(1)).alias("links"))
-    known = firsts.join(near, "h", "left").select(
+    known = firsts.join(_shuffled(near), "h", "left").select(
         "h", F.least("at", "near_at").alias("first_at"), F.coalesce("links", F.lit(0)).alias("links")
     )
-    placed = found.select("h", "doc_id", "line_no", F.length("line").alias("n_chars")).join(known, "h")
+    placed = found.select("h", "doc_id", "line_no", F.length("line").alias("n_chars")).join(_shuffled(known), "h")
     return placed.select("doc_id", "line_no", "n_chars", (F.col("first_at") < at).alias("repeated"), "links")
 
 
@@ -256,7 +267,7 @@ def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     doc, gone = unused(docs, "_doc"), unused(docs, "_gone")
     chosen = line_decisions(docs, **options).filter("n_removed > 0")
     chosen = chosen.select(F.col("doc_id").alias(doc), F.col("removed").alias(gone))
-    joined = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    joined = docs.join(_shuffled(chosen), F.col("doc_id").eqNullSafe(F.col(doc)), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     joined = joined.withColumn("text", text)

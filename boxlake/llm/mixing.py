@@ -102,9 +102,10 @@ def route(patterns: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 
 # ------------------------------------------------------------------ targets
 
-def targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
+def targets(sizes: DataFrame, words: int | None = None, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """`source, source_size, target` of `source, source_size`. Sources in the order of code
-    points, null last, weigh `weights` in turn and share all words; a target stops at
+    points, null last, weigh `weights` in turn and share all words (`words`, or the sum of
+    the sizes, which counts words of several sources more than once); a target stops at
     `max_repeats` times its source's size, and the others share the excess by weight: each
     gets weight * level for the one level at which the sum is right."""
     order = Window.orderBy(F.col("source").isNull(), "source")
@@ -113,7 +114,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -
     cap = F.col("source_size") * max_repeats
     before = Window.orderBy(cap / F.col("w"), F.col("source").isNull(), "source")
     everything = Window.partitionBy()
-    total = F.sum("source_size").over(everything)
+    total = F.sum("source_size").over(everything) if words is None else F.lit(words)
     done = F.sum(cap).over(before) - cap  # of the sources that reach their cap earlier
     left = F.sum("w").over(everything) - (F.sum("w").over(before) - F.col("w"))
     tried = weighed.withColumn("level", (total - done) / left).withColumn("cap", cap)
@@ -186,9 +187,10 @@ def mix_sources(docs: DataFrame, members: Column, weights=WEIGHTS, max_repeats:
     sized = docs.select("doc_id", n_words(F.col("text")).alias("size"), named.alias("sources"))
     sized = cut_lineage(sized.withColumn("pattern", F.to_json(F.struct("sources"), {"ignoreNullFields": "false"})))
     member = F.xxhash64(F.col("source"), F.col("source").isNull())
-    split = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words"))
+    split = cut_lineage(sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words")))
+    total = split.filter(F.size("sources") > 0).agg(F.sum("words")).first()[0] or 0
     split = split.select("pattern", "words", F.explode("sources").alias("source"))
-    wanted = targets(split.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_repeats)
+    wanted = targets(split.groupBy("source").agg(F.sum("words").alias("source_size")), total, weights, max_repeats)
     wanted = wanted.withColumn("number", member)
     patterns = (
         split.filter("words > 0")
