@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import code_points, fold, mix, slices, small_batches
+from boxlake.llm.common import bounded_sample, code_points, fold, mix, slices, small_batches
 
 ORDERS = (1, 2, 3)
 PLACES = 1 << 14  # hashed n-grams
@@ -80,8 +80,9 @@ def _pieces(batches) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
             yield piece, [t or "" for t in piece.column("text").to_pylist()]
 
 
-def document_frequencies(docs: DataFrame) -> np.ndarray:
-    """Smoothed inverse document frequencies of the places over all rows of `docs`. Each
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """Smoothed inverse document frequencies of the places over all rows of `docs`, and the
+    number of these. Each
     task adds up its own before the shuffle; the driver gets one row for each place."""
 
     def count(batches) -> Iterator[pa.RecordBatch]:
@@ -100,7 +101,7 @@ def document_frequencies(docs: DataFrame) -> np.ndarray:
     df = np.zeros(PLACES)
     df[place[place >= 0]] = n[place >= 0]
     total = int(n[place < 0].sum())
-    return (np.log((1 + total) / (1 + df)) + 1).astype(np.float32)
+    return (np.log((1 + total) / (1 + df)) + 1).astype(np.float32), total
 
 
 # ------------------------------------------------------------------ training
@@ -155,7 +156,7 @@ def fit(training: DataFrame) -> Model | None:
     """The model of `doc_id, text, lang`; None without a row that has a text with a letter
     and a language."""
     usable = training.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    idf = document_frequencies(usable)
+    idf, total = document_frequencies(usable)
 
     def sparse(batches) -> Iterator[pa.RecordBatch]:
         for piece, texts in _pieces(batches):
@@ -171,7 +172,7 @@ def fit(training: DataFrame) -> Model | None:
             )
 
     # Rows of one hash are settled by the text, so that reruns and row orders agree.
-    chosen = usable.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", F.xxhash64("text")).limit(SAMPLE_ROWS)
+    chosen = bounded_sample(usable, SAMPLE_ROWS, total, 5, "doc_id", F.xxhash64("text"))
     rows = chosen.select("lang", "text").mapInArrow(sparse, "lang string, places binary, vals binary").collect()
     if not rows:
         return None

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import small_batches
+from boxlake.llm.common import bounded_sample, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -350,7 +350,7 @@ def fit(docs: DataFrame) -> dict | None:
             )
 
     chosen = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]"))
-    chosen = chosen.orderBy(F.xxhash64("doc_id", F.lit(9)), "doc_id", F.xxhash64("text")).limit(TRAINING_DOCS)
+    chosen = bounded_sample(chosen, TRAINING_DOCS, chosen.count(), 9, "doc_id", F.xxhash64("text"))
     rows = chosen.select("text").mapInArrow(label, "x binary, y binary")
     picked = rows.orderBy(F.xxhash64("x", "y"), "x").limit(TRAINING_WINDOWS).collect()
     if not any(any(r.y) for r in picked):

@@ -17,7 +17,7 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import WORD, let, words
+from boxlake.llm.common import WORD, bounded_sample, let, words
 from boxlake.session import cut_lineage
 
 SYMBOLS = r"[#*$%&|<>]"
@@ -176,8 +176,8 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, float]:
 def learn(labelled: DataFrame) -> list[Rule]:
     """Rules for `bad` = 1 from rows with `bad`, an `id` and the features. An empty list if
     there is nothing to learn from."""
-    chosen = labelled.orderBy(F.xxhash64("id", F.lit(3)), "id", *FEATURES).limit(TRAINING_ROWS)
-    chosen = cut_lineage(chosen.select("id", "bad", *FEATURES))
+    labelled = cut_lineage(labelled.select("id", "bad", *FEATURES))
+    chosen = cut_lineage(bounded_sample(labelled, TRAINING_ROWS, labelled.count(), 3, "id", *FEATURES))
     points = [i / CUTS for i in range(1, CUTS)]
     quantiles = chosen.agg(*[F.percentile(f, F.array(*map(F.lit, points))).alias(f) for f in FEATURES]).first()
     if quantiles[FEATURES[0]] is None:

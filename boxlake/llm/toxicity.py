@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import code_points, fold, mix, small_batches, unused, word_hashes
+from boxlake.llm.common import bounded_sample, code_points, fold, mix, small_batches, unused, word_hashes
 from boxlake.session import cut_lineage
 
 ORDER = 5
@@ -265,8 +265,8 @@ def fit_curve(features: np.ndarray, toxic: np.ndarray, steps: int = 50, ridge: f
     return w
 
 
-def fit(labelled: DataFrame) -> Model:
-    """The model of `doc_id, text, toxic` (0 or 1). Documents whose crc32(doc_id) mod 7 is 0
+def fit(labelled: DataFrame, labels: DataFrame) -> Model:
+    """The model of `doc_id, text, toxic` (0 or 1), rows of `labels`. Documents whose crc32(doc_id) mod 7 is 0
     are left out of the counts and fit the curve. Without rows of both classes the model
     has no curve and every text scores 0."""
     left_out = fold(F.col("doc_id"), 7) == 0
@@ -280,7 +280,9 @@ def fit(labelled: DataFrame) -> Model:
             columns = [pa.array(x[:, i]) for i in range(FEATURES)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic")], [*names, "toxic"])
 
-    chosen = labelled.filter(left_out).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
+    usable = labels.filter(left_out & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
+    rows_out = labelled.filter(left_out)
+    chosen = bounded_sample(rows_out, CALIBRATION_ROWS, usable.count(), 1, "doc_id", F.xxhash64("text"))
     rows = chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
         features, ", ".join([*(f"{n} double" for n in names), "toxic int"])
     ).toArrow()
@@ -322,7 +324,7 @@ def add_score(docs: DataFrame, model: Model, name: str = "score", text: str = "t
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, held_out, score, predicted` for every row of `docs`."""
-    model = fit(training_rows(docs, labels))
+    model = fit(training_rows(docs, labels), labels)
     scored = add_score(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id",
@@ -334,6 +336,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows predicted toxic; all columns as they are."""
-    model = fit(training_rows(docs, labels))
+    model = fit(training_rows(docs, labels), labels)
     name = unused(docs, "toxicity_score")
     return add_score(docs, model, name).filter(F.col(name) < CUT).drop(name)
