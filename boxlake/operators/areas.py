@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from boxlake.functions import geometry as G
 from boxlake.functions import text as T
-from boxlake.operators.ranking import HOT_GROUP, has_hot_group, numbered
+from boxlake.operators.ranking import HOT_GROUP, numbered
 
 # Area type by symbol class; other classes are "symbol".
 AREA_TYPES = {
@@ -25,8 +25,6 @@ AREA_TYPES = {
 # Fixed value: confidence written for every tag row.
 TAG_CONFIDENCE = 0.95
 TAG_AREA = "area_Tag-ID_"
-# Texts of one area joined into one string; longer areas continue in further rows.
-PART_SIZE = 10_000
 CELL = 100.0
 
 
@@ -108,46 +106,26 @@ def area_groups(rows: DataFrame, by_page: bool = True) -> DataFrame:
     )
 
 
-def tag_rows(
-    rows: DataFrame,
-    by_page: bool = True,
-    alphanumeric: bool = True,
-    part_size: int = PART_SIZE,
-    hot: int = HOT_GROUP,
-) -> DataFrame:
-    """One row per tag area: its texts joined by spaces from top to bottom, and the
-    box around them.
-
-    An area with more than `part_size` texts gives several rows (`part` 0, 1, ...)
-    which continue each other; all carry the box of the whole area.
-    """
+def tag_rows(rows: DataFrame, by_page: bool = True, alphanumeric: bool = True) -> DataFrame:
+    """One row per tag area, however many texts it has: its texts joined by spaces from top
+    to bottom, and the box around them."""
     keys = _keys(by_page)
     tags = rows.filter(F.col("area_id").startswith(TAG_AREA))
     place = [F.col("y"), F.col("x"), *_order(alphanumeric)]
-    if has_hot_group(tags, keys, part_size):
-        part = F.floor((F.col("_n") - 1) / part_size).cast("int")
-        tags = numbered(tags, keys, place, "_n", hot).withColumn("part", part).drop("_n")
-        split = True
-    else:
-        tags, split = tags.withColumn("part", F.lit(0)), False
-    ordered = F.struct(*[c.alias(f"k{i}") for i, c in enumerate(place)], "text_content")
+    named = [c.alias(f"k{i}") for i, c in enumerate(place)]
     b = G.Box(F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height"))
-    around = [
+    words = F.transform(F.array_sort(F.collect_list(F.struct(*named, "text_content"))), lambda s: s["text_content"])
+    first_page = [] if by_page else [F.min(F.struct(*named, F.col("page").alias("p")))["p"].alias("page")]
+    out = tags.groupBy(*keys).agg(
+        F.array_join(words, " ").alias("tag_text"),
         F.min(b.x1).alias("bbox_x1"),
         F.min(b.y1).alias("bbox_y1"),
         F.max(b.x2).alias("bbox_x2"),
         F.max(b.y2).alias("bbox_y2"),
-    ]
-    words = F.transform(F.array_sort(F.collect_list(ordered)), lambda s: s["text_content"])
-    first_page = [] if by_page else [F.min(F.struct(*[c.alias(f"k{i}") for i, c in enumerate(place)], F.col("page").alias("p")))["p"].alias("page")]
-    combined = F.array_join(words, " ").alias("tag_text")
-    if not split:
-        out = tags.groupBy(*keys, "part").agg(combined, *around, *first_page)
-    else:
-        parts = tags.groupBy(*keys, "part").agg(combined)
-        out = parts.join(tags.groupBy(*keys).agg(*around, *first_page), keys)
+        *first_page,
+    )
     return out.select(
-        "document", "page", "area_id", "part", "tag_text",
+        "document", "page", "area_id", "tag_text",
         "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2",
         (F.col("bbox_x2") - F.col("bbox_x1")).alias("bbox_width"),
         (F.col("bbox_y2") - F.col("bbox_y1")).alias("bbox_height"),

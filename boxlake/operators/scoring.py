@@ -59,19 +59,31 @@ def read_regions(
     rois: DataFrame, recogniser: Callable[[pd.DataFrame], list[tuple[list, list, list]]]
 ) -> DataFrame:
     """Runs `recogniser` over batches of `roi_boxes` rows; adds `rec_texts, rec_scores,
-    rec_polys`. A batch that fails yields no texts."""
+    rec_polys` and `error`. A batch that fails is read again row by row: only the rows that
+    fail by themselves have no texts, and say why in `error`."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rois.schema.fields)
 
+    def attempt(batch: pd.DataFrame) -> list[tuple]:
+        read = [tuple(r) for r in recogniser(batch)]
+        if len(read) != len(batch):
+            raise ValueError(f"{len(read)} results for {len(batch)} regions")
+        return read
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            errors: list[str | None] = [None] * len(batch)
             try:
-                read = [tuple(r) for r in recogniser(batch)]
-                if len(read) != len(batch):
-                    raise ValueError(f"{len(read)} results for {len(batch)} regions")
-            except Exception:  # noqa: BLE001
-                read = [([], [], [])] * len(batch)
+                read = attempt(batch)
+            except Exception:  # noqa: BLE001 - any failure of the caller's code
+                read = []
+                for i in range(len(batch)):
+                    try:
+                        read += attempt(batch.iloc[i : i + 1])
+                    except Exception as e:  # noqa: BLE001
+                        read.append(([], [], []))
+                        errors[i] = f"{type(e).__name__}: {e}"
             yield batch.assign(
-                rec_texts=[r[0] for r in read], rec_scores=[r[1] for r in read], rec_polys=[r[2] for r in read]
+                rec_texts=[r[0] for r in read], rec_scores=[r[1] for r in read], rec_polys=[r[2] for r in read], error=errors
             )
 
-    return rois.mapInPandas(run, f"{schema}, {OCR_ARRAYS}")
+    return rois.mapInPandas(run, f"{schema}, {OCR_ARRAYS}, error string")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxlake.functions import geometry as G
+from boxlake.operators.ranking import numbered
 from boxlake.schemas import PAGE_KEYS
 
 # Tile size and overlap the default pipelines use.
@@ -61,8 +62,8 @@ def to_global(tile_detections: DataFrame, tiles: DataFrame, renumber: bool = Tru
     """Page coordinates for boxes found on tiles; the tile box is kept as `tx1..ty2`.
     Rows without a full box, or on a tile the manifest does not list, are dropped.
 
-    With `renumber` the ordinal within a tile becomes one within the page, in tile
-    order.
+    With `renumber` the ordinal within a tile becomes one within the page, from 0 on, in
+    tile order (row, column, ordinal).
     """
     boxed = tile_detections.filter(G.has_box(G.box("b")))
     manifest = tiles.select(
@@ -71,13 +72,12 @@ def to_global(tile_detections: DataFrame, tiles: DataFrame, renumber: bool = Tru
     )
     joined = boxed.join(manifest, "tile")
     b = G.box("b")
-    ordinal = F.col("det_idx")
     if renumber:
-        place = (F.col("row") * F.col("cols") + F.col("col")).cast("long")
-        ordinal = place * F.lit(1 << 32) + ordinal
+        place = [F.col(c) for c in ("row", "col", "det_idx")]
+        joined = numbered(joined, ["doc", "page"], place, "_n").withColumn("det_idx", F.col("_n") - 1)
     page_box = G.shift(b, F.col("ox"), F.col("oy"))
     return joined.select(
-        "doc", "page", "page_w", "page_h", ordinal.alias("det_idx"), "class_id", "class_name", "confidence",
+        "doc", "page", "page_w", "page_h", "det_idx", "class_id", "class_name", "confidence",
         *[c.cast("double").alias(n) for n, c in G.as_columns(page_box).items()],
         *[F.col(f"b{n}").cast("double").alias(f"t{n}") for n in G.Box._fields],
         "tile", "row", "col",
@@ -149,7 +149,7 @@ def recognised_texts(results: DataFrame, threshold: float, zoom: float = 2.0) ->
 
     zipped = F.arrays_zip("rec_texts", "rec_scores", "rec_polys")
     flat = results.select(
-        *[c for c in results.columns if not c.startswith("rec_")], F.posexplode(zipped).alias("rec_idx", "_r")
+        *[c for c in results.columns if not c.startswith("rec_") and c != "error"], F.posexplode(zipped).alias("rec_idx", "_r")
     )
     text, score = F.col("_r.rec_texts"), F.col("_r.rec_scores")
     accepted = flat.filter((score >= threshold) & (strip(text) != ""))

@@ -244,6 +244,9 @@ from tiles group by doc, page"""
 ORACLE["tiles_to_page"] = with_(BASE, DET, PAGES, grid("pages5")) + """
 select t.doc, t.page, d.det_idx, t.x1 + d.tx1 as x1, t.y1 + d.ty1 as y1, t.x1 + d.tx2 as x2, t.y1 + d.ty2 as y2,
   d.tx1, d.ty1, t.tile, t."row", t.col from det d join tiles t using (tile)"""
+ORACLE["tiles_to_page_numbered"] = with_(BASE, DET, PAGES, grid("pages5")) + """
+select t.doc, t.page, row_number() over (partition by t.doc, t.page order by t."row", t.col, d.det_idx) - 1 as det_idx,
+  t.x1 + d.tx1 as x1, t.y1 + d.ty1 as y1, t.x1 + d.tx2 as x2, t.y1 + d.ty2 as y2, t.tile from det d join tiles t using (tile)"""
 ORACLE["pages_with_detections"] = with_(BASE, DET, PAGES) + """
 select doc, page, p.page_w, p.page_h, count(det_idx) as detections
 from pages5 p left join det using (doc, page) group by all"""
@@ -287,6 +290,10 @@ rd as materialized (select doc, page, det_idx, 0 as rec_idx, 'T' || roi_x1 as te
 """
 ORACLE["recognised_regions"] = READ + "select doc, page, det_idx, rec_idx::int as rec_idx, text, confidence, x1, y1, x2, y2 from rd"
 
+ORACLE["recognised_with_failures"] = ROI + """
+select doc, page, det_idx, case when det_idx % 7 = 3 then 0 else 2 end::int as texts,
+  case when det_idx % 7 = 3 then 'ValueError: unreadable' end as error from roi"""
+
 
 def _moved(dx: str, dy: str) -> str:
     sx, sy = "(page_w / current_w::double)", "(page_h / current_h::double)"
@@ -345,7 +352,11 @@ ORACLE["extraction_summary"] = with_(BASE, OCR) + f"""
 select count(*) as total_files, count(n) as processed_files, sum(n)::bigint as total_text_regions,
   {r6('sum(n) / count(n)::double')} as average_text_regions_per_file, {r6('count(n) * 100.0::double / count(*)')} as success_rate
 from (select c_custkey as doc from customer) left join
-  (select doc, count(*) as n from ocr where trim(otext) <> '' group by doc) using (doc)"""
+  (select s_suppkey as doc, coalesce(c, 0) as n from supplier left join
+    (select doc, count(*) as c from ocr where trim(otext) <> '' and doc % 5 > 0 group by doc) on doc = s_suppkey) using (doc)"""
+ORACLE["extraction_statistics_of_all"] = with_(BASE, OCR) + """
+select s_suppkey as doc, coalesce(c, 0) as total_texts, coalesce(l, 0) as texts_with_associated_symbols from supplier left join
+  (select doc, count(*) as c, count(sym_idx) as l from ocr where trim(otext) <> '' and doc % 5 > 0 group by doc) on doc = s_suppkey"""
 
 
 def clean_boxes(source: str) -> str:
@@ -462,7 +473,7 @@ tags as materialized (select {keys}{page}, string_agg(text_content, ' ' order by
 """
 
 
-TAG_COLUMNS = """document, page, area_id, 0 as part, tag_text, bbox_x1, bbox_y1, bbox_x2, bbox_y2,
+TAG_COLUMNS = """document, page, area_id, tag_text, bbox_x1, bbox_y1, bbox_x2, bbox_y2,
   bbox_x2 - bbox_x1 as bbox_width, bbox_y2 - bbox_y1 as bbox_height, 0.95::double as confidence"""
 TAGS = tag_sql("document, page, area_id", "")
 ORACLE["tag_rows"] = TAGS + f"select {TAG_COLUMNS} from tags"
@@ -695,3 +706,8 @@ union all select doc, 2147483647, 9223372036854775807, printf('Total detections
 ORACLE["detection_numbers"] = CORE + "select doc, page, det_idx, row_number() over (partition by doc, page order by det_idx) as number from det"
 ORACLE["streamed_detections"] = CORE + """
 select doc::varchar as doc, page, count(*) as detections, sum(x1) as x1, count(*) - 1 as "last" from det group by doc, page"""
+
+ORACLE["streamed_reload"] = CORE + """
+select doc::varchar as doc, page, count(*) as detections, sum(x1) as x1 from det where doc % 2 = 1 or page <= 2 group by doc, page"""
+ORACLE["streamed_skip"] = CORE + "select doc::varchar as doc, page, count(*) as detections, sum(x1) as x1 from det group by doc, page"
+ORACLE["streamed_tile_results"] = CORE + "select tile, 2 * count(*) as detection_count from det group by tile"

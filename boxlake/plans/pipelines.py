@@ -20,6 +20,7 @@ from boxlake.operators import scoring as X
 from boxlake.operators import spatial as S
 from boxlake.operators import stats as Z
 from boxlake.operators import tiles as P
+from boxlake.operators.ranking import numbered
 from boxlake.session import cut_lineage
 
 SYMBOL_COLUMNS = ("class_name", "confidence", "x1", "y1", "x2", "y2")
@@ -55,10 +56,9 @@ def recognise(
     `text_idx` follows detections and then the order of the reader."""
     rois = P.roi_boxes(detections, rendered, padding)
     texts = P.recognised_to_page(P.recognised_texts(X.read_regions(rois, recogniser), threshold), mode)
-    # up to 2^16 texts per region keep their order
-    order = F.col("det_idx") * F.lit(1 << 16) + F.col("rec_idx")
+    texts = numbered(texts, ["doc", "page"], [F.col("det_idx"), F.col("rec_idx")], "text_idx")
     return texts.select(
-        "doc", "page", order.alias("text_idx"), "text", "confidence", "x1", "y1", "x2", "y2", "source", "sym_idx"
+        "doc", "page", (F.col("text_idx") - 1).alias("text_idx"), "text", "confidence", "x1", "y1", "x2", "y2", "source", "sym_idx"
     )
 
 

@@ -116,6 +116,14 @@ def tiles_to_page(spark, d):
     return out.select("doc", "page", "det_idx", *BOX, "tx1", "ty1", "tile", "row", "col")
 
 
+@query
+def tiles_to_page_numbered(spark, d):
+    """Ordinals within the page, by tile and ordinal within it."""
+    grid = tiles.tile_grid(X.pages(spark, d))
+    out = tiles.to_global(X.tile_detections(spark, d), grid)
+    return out.select("doc", "page", "det_idx", *BOX, "tile")
+
+
 @query
 def pages_with_detections(spark, d):
     """Empty pages stay: one row per page with its number of boxes."""
@@ -209,6 +217,25 @@ def recognised_regions(spark, d):
     return _read(spark, d).select("doc", "page", "det_idx", "rec_idx", "text", "confidence", *BOX)
 
 
+def _failing(read):
+    """A recogniser that fails for a batch with any region it can't read."""
+
+    def run(batch: pd.DataFrame):
+        if (batch["det_idx"] % 7 == 3).any():
+            raise ValueError("unreadable")
+        return read(batch)
+
+    return run
+
+
+@query
+def recognised_with_failures(spark, d):
+    """Regions read, and regions that failed, with the reason."""
+    rois = tiles.roi_boxes(X.detections(spark, d), _rendered(spark, d), 20)
+    read = scoring.read_regions(rois.select("doc", "page", "det_idx", "confidence", "roi_x1", "roi_y1", "roi_x2", "roi_y2"), _failing(_reader()))
+    return read.select("doc", "page", "det_idx", F.size("rec_texts").alias("texts"), "error")
+
+
 @query
 def recognised_on_page(spark, d):
     out = tiles.recognised_to_page(_read(spark, d), "page")
@@ -340,14 +367,26 @@ def extraction_statistics(spark, d):
 
 @query
 def extraction_summary(spark, d):
-    """Customers are the documents asked for, suppliers those with texts."""
-    statistics = fusion.extraction_statistics(fusion.tag(X.ocr_texts(spark, d)))
+    """Customers are the documents asked for, suppliers those read, some without texts."""
+    read = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"))
+    some = X.ocr_texts(spark, d).filter(F.pmod("doc", F.lit(5)) > 0)  # every fifth has no text
+    statistics = fusion.extraction_statistics(fusion.tag(some), documents=read)
     asked = X.table(spark, d, "customer").select(F.col("c_custkey").alias("doc"))
     return fusion.run_summary(statistics, asked).withColumns(
         rounded("average_text_regions_per_file", "success_rate")
     )
 
 
+@query
+def extraction_statistics_of_all(spark, d):
+    """Every supplier was read; those that are multiples of five have no text."""
+    read = X.table(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"))
+    some = X.ocr_texts(spark, d).filter(F.pmod("doc", F.lit(5)) > 0)
+    return fusion.extraction_statistics(fusion.tag(some), documents=read).select(
+        "doc", "total_texts", "texts_with_associated_symbols"
+    )
+
+
 @query
 def extracted_texts(spark, d):
     """Extraction end to end."""
@@ -843,3 +882,31 @@ def streamed_detections(spark, d):
     return ingest.replay(spark, _documents(spark, d)).groupBy("doc", "page").agg(
         F.count(F.lit(1)).alias("detections"), F.sum("x1").alias("x1"), F.max("det_idx").alias("last")
     )
+
+
+@query
+def streamed_reload(spark, d):
+    """Even documents come a second time with their first two pages only, by force."""
+    even = X.detections(spark, d).filter((F.pmod("doc", F.lit(2)) == 0) & (F.col("page") <= 2))
+    again = documents.detection_documents(X.pages(spark, d).filter(F.pmod("doc", F.lit(2)) == 0), even)
+    return ingest.replay(spark, _documents(spark, d), again=again, force=True).groupBy("doc", "page").agg(
+        F.count(F.lit(1)).alias("detections"), F.sum("x1").alias("x1")
+    )
+
+
+@query
+def streamed_skip(spark, d):
+    """Documents that come again are skipped; their second form has no detections."""
+    again = documents.detection_documents(X.pages(spark, d), X.detections(spark, d).filter(F.lit(False)))
+    return ingest.replay(spark, _documents(spark, d), again=again).groupBy("doc", "page").agg(
+        F.count(F.lit(1)).alias("detections"), F.sum("x1").alias("x1")
+    )
+
+
+@query
+def streamed_tile_results(spark, d):
+    """Two results for each tile; the one of the larger ordinal is the last."""
+    det = X.detections(spark, d).groupBy("tile").agg(F.count(F.lit(1)).alias("n"))
+    turn = F.explode(F.array(F.lit(2), F.lit(1))).alias("turn")
+    results = det.select("tile", turn, "n").withColumn("detection_count", F.col("n") * F.col("turn")).drop("n")
+    return ingest.replay_tile_results(spark, results, "turn").select("tile", "detection_count")

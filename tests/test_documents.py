@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from boxlake.operators import areas, catalog, ranking
+from boxlake.operators import areas, catalog, fusion, ranking, scoring
 from boxlake.sources import documents, tables
 from boxlake.streaming import ingest
 
@@ -59,8 +59,8 @@ def documents_schema():
 def test_long_documents_are_split_and_read_back(spark):
     df = flat(spark, 50)
     pages = spark.createDataFrame([("d", p, 100, 80) for p in (1, 2, 3)], "doc string, page int, page_w int, page_h int")
-    parts = documents.detection_documents(pages, df, record_rows=10)
-    assert parts.count() == 1 + 2 * 3  # empty page, and three records per page
+    parts = documents.detection_documents(pages, df)
+    assert parts.count() == 1  # one record however long
     back = documents.parse_detections(parts).orderBy("page", "det_idx").collect()
     assert [(r.page, r.det_idx, r.x1) for r in back] == [(p, i, 2.0 * i + p - 1) for p in (1, 2) for i in range(25)]
     assert documents.parse_pages(parts).count() == 3
@@ -73,16 +73,15 @@ def test_numbering_of_a_hot_group(spark):
     assert plain.exceptAll(spread).count() == 0 and spread.count() == 102
 
 
-def test_tag_rows_in_parts(spark):
+def test_tag_rows_of_a_long_area(spark):
     rows = spark.createDataFrame(
         [("d", 1, "area_Tag-ID_000_000", "symbol", f"w{i}", 1.0, float(i % 5), float(i // 5), 1.0, 1.0, "ocr", i) for i in range(23)],
         "document string, page int, area_id string, area_type string, text_content string, confidence double, x double, y double, width double, height double, source string, text_idx bigint",
     )
     whole = areas.tag_rows(rows).collect()
-    parts = areas.tag_rows(rows, part_size=10).orderBy("part").collect()
-    assert len(whole) == 1 and len(parts) == 3
-    assert " ".join(p.tag_text for p in parts) == whole[0].tag_text == " ".join(f"w{i}" for i in range(23))
-    assert {p.bbox_x2 for p in parts} == {5.0}
+    assert len(whole) == 1
+    assert whole[0].tag_text == " ".join(f"w{i}" for i in range(23))
+    assert whole[0].bbox_x2 == 5.0
 
 
 def test_document_names(spark):
@@ -132,3 +131,71 @@ def test_tile_results_keep_the_last(spark, tmp_path):
         ingest.ingest_tile_results(stream, table, str(tmp_path / "p")).awaitTermination()
     merged = ingest.merged_tile_results(spark.read.parquet(table))
     assert {r.tile: r.detection_count for r in merged.collect()} == {"a.png": 2, "only1.png": 0, "only2.png": 0}
+
+
+def write_lines(folder, name, *values):
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text("".join(v + "\n" for v in values))
+
+
+def document(pdf, boxes):
+    items = [{"class_name": "A", "confidence": 0.5, "bbox_global": {"x1": i, "y1": 0, "x2": i + 1, "y2": 1}} for i in range(boxes)]
+    return json.dumps({"original_pdf": pdf, "pages": [{"page_num": 1, "detections": items}]})
+
+
+def test_stream_keeps_documents_of_equal_name_apart(spark, tmp_path):
+    write_lines(tmp_path / "in", "x.txt", document("a/p.pdf", 3), document("b/p.pdf", 5))
+    stream = ingest.document_stream(spark, str(tmp_path / "in"))
+    ingest.ingest_documents(stream, str(tmp_path / "t"), str(tmp_path / "p")).awaitTermination()
+    got = ingest.current_documents(spark, str(tmp_path / "t")).groupBy("doc").count().collect()
+    assert {(r.doc, r["count"]) for r in got} == {("a/p", 3), ("b/p", 5)}
+
+
+def test_stream_reload_of_an_emptied_document(spark, tmp_path):
+    table = str(tmp_path / "t")
+    for name, value, force in (("one", document("d.pdf", 2), False), ("two", document("d.pdf", 0), True), ("three", document("d.pdf", 4), False)):
+        write_lines(tmp_path / name, "x.txt", value)
+        stream = ingest.document_stream(spark, str(tmp_path / name))
+        ingest.ingest_documents(stream, table, str(tmp_path / f"p{name}"), force=force).awaitTermination()
+        expected = {"one": 2, "two": 0, "three": 0}[name]  # the empty document counts as loaded
+        assert ingest.current_documents(spark, table).count() == expected
+
+
+def test_tile_results_of_one_batch_keep_the_last(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 7)], "tile string, detection_count bigint").coalesce(1)
+    for order in (None, "detection_count"):
+        base = tmp_path / str(order)
+        rows.write.parquet(str(base / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(base / "in"))
+        ingest.ingest_tile_results(stream, str(base / "t"), str(base / "p"), order=order).awaitTermination()
+        merged = ingest.merged_tile_results(spark.read.parquet(str(base / "t"))).collect()
+        assert {r.tile: r.detection_count for r in merged} == {"a": 2, "b": 7}
+
+
+def test_pages_without_known_key_number_on(spark):
+    box = {"class_name": "A", "confidence": 0.5, "bbox_global": [0, 0, 1, 1]}
+    value = json.dumps({"pages": [{"page_number": 3, "detections": [box, box]}, {"page_number": 4, "detections": [box]}, {"page": 2, "detections": [box]}]})
+    df = spark.createDataFrame([("d", value), ("e", "not json")], "doc string, value string")
+    got = documents.parse_detections(df).select("page", "det_idx").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 0), (1, 1), (1, 2), (2, 0)]
+
+
+def test_reader_reports_rows_that_fail(spark):
+    def read(batch):
+        if (batch["n"] == 3).any():
+            raise ValueError("bad region")
+        return [(["t"], [0.9], [[[0.0, 0.0]]])] * len(batch)
+
+    out = scoring.read_regions(spark.range(10).withColumnRenamed("id", "n").coalesce(1), read).collect()
+    assert {r.n: r.error for r in out if r.error} == {3: "ValueError: bad region"}
+    assert sum(len(r.rec_texts) for r in out) == 9
+
+
+def test_documents_without_texts_have_statistics(spark):
+    tagged = spark.createDataFrame(
+        [("d", "x", 1.0, 2.0, "ocr", None)], "doc string, text string, confidence double, relevance double, source string, sym_idx bigint"
+    )
+    read = spark.createDataFrame([("d",), ("e",)], "doc string")
+    found = fusion.extraction_statistics(tagged, documents=read)
+    assert {(r.doc, r.total_texts) for r in found.collect()} == {("d", 1), ("e", 0)}
+    assert fusion.run_summary(found, read).first().processed_files == 2
