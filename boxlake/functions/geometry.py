@@ -55,10 +55,6 @@ def point_distance(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def center_distance(a: Box, b: Box) -> Column:
-    return point_distance(center_x(a), center_y(a), center_x(b), center_y(b))
-
-
 def contains_point(b: Box, x: Column, y: Column) -> Column:
     """Bounds are inclusive."""
     return (b.x1 <= x) & (x <= b.x2) & (b.y1 <= y) & (y <= b.y2)

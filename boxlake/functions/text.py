@@ -16,7 +16,8 @@ class TextPattern(NamedTuple):
     description: str
 
 
-# Names, expressions and priorities of the default address patterns.
+# Names, expressions, priorities and descriptions of the default address
+# patterns; names, priorities and descriptions also appear in written documents.
 DEFAULT_PATTERNS = (
     TextPattern("input", r"I\d+\.\d+", 10, "Input addresses (I0.1, I1.2, etc.)"),
     TextPattern("output", r"Q\d+\.\d+", 10, "Output addresses (Q0.1, Q2.3, etc.)"),

@@ -25,6 +25,7 @@ FOLD_LIMIT = 512
 CELL_LIMIT = 1000
 
 TAG_CLASS = "Tag-ID"
+NO_CLASS = "\x00"  # stands for a missing class name while boxes are compared
 
 
 def suppress(
@@ -45,6 +46,15 @@ def suppress(
     over it). Boxes without coordinates neither suppress nor fall; `unboxed='drop'`
     removes them from groups that hold more than one row.
     """
+    if not 0.0 < iou_threshold <= 1.0:
+        raise ValueError("iou_threshold must lie in (0, 1]")
+    if class_specific:  # a missing class is one class
+        df = df.withColumn("class_name", F.coalesce("class_name", F.lit(NO_CLASS)))
+    out = _suppress(df, iou_threshold, class_specific, inclusive, unboxed, keys, fold_limit, cell_limit)
+    return out.withColumn("class_name", F.nullif("class_name", F.lit(NO_CLASS))) if class_specific else out
+
+
+def _suppress(df, iou_threshold, class_specific, inclusive, unboxed, keys, fold_limit, cell_limit) -> DataFrame:
     group = [*keys, "class_name"] if class_specific else list(keys)
     large = hot_groups(df, group, fold_limit)
     if not large.limit(1).count():
@@ -100,8 +110,6 @@ def _paired(df: DataFrame, group: Sequence[str], threshold: float, inclusive: bo
 
 
 def _suppress_distributed(df, group, threshold, inclusive, unboxed, cell_limit) -> DataFrame:
-    if not 0.0 < threshold <= 1.0:
-        raise ValueError("iou_threshold must lie in (0, 1]")
     rank = F.struct((-F.col("confidence")).alias("c"), F.col("det_idx").alias("i")).alias("rank")
     b = G.box()
     solid = (G.width(b) > 0) & (G.height(b) > 0)

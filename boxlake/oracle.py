@@ -337,7 +337,7 @@ TAGGED = with_(BASE, TEXTS, tagged("tg", "txt"))
 ORACLE["tagged_texts"] = TAGGED + "select doc, page, text_idx, text, patterns, relevance from tg"
 ORACLE["tagged_words"] = f"""
 with words as (select unnest(regexp_split_to_array(text, '\\s+')) as text from documents),
-plain as (select text, count(*) as n from words where regexp_full_match(text, '[ -~]+') group by text),
+plain as (select text, count(*) as n from words where text <> '' group by text),
 {tagged('tg', 'plain')} select text, n, patterns, relevance from tg"""
 ORACLE["relevance_order"] = TAGGED + """
 select doc, page, text_idx, row_number() over (partition by doc order by relevance desc, page, text_idx) as position from tg"""
@@ -701,7 +701,7 @@ from (select *, row_number() over (partition by doc, page order by det_idx) as o
 union all select doc, page, 0, printf(E'Page %d (%dx%d)\\n', page, page_w, page_h) || repeat('-', 30)
   || case when n = 0 then E'\\nNo detections found\\n' else '' end from cnt
 union all select doc, page, 9223372036854775807, printf(E'Page %d total: %d detections\\n', page, n) from cnt where n > 0
-union all select distinct doc, -1, 0, E'Detection Coordinate Mapping\\nPDF: ' || doc || E'.pdf\\n' || repeat('=', 50) || E'\\n' from cnt
+union all select distinct doc, -1, 0, E'PLC Detection Coordinate Mapping\\nPDF: ' || doc || E'.pdf\\n' || repeat('=', 50) || E'\\n' from cnt
 union all select doc, 2147483647, 9223372036854775807, printf('Total detections across all pages: %d', sum(n)::bigint) from cnt group by doc""".lstrip("\n")
 ORACLE["detection_numbers"] = CORE + "select doc, page, det_idx, row_number() over (partition by doc, page order by det_idx) as number from det"
 ORACLE["streamed_detections"] = CORE + """

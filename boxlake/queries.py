@@ -343,7 +343,7 @@ def tagged_texts(spark, d):
 def tagged_words(spark, d):
     """Distinct words of all documents, tagged."""
     words = X.table(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("text"))
-    plain = words.filter(F.rlike("text", F.lit("^[ -~]+$"))).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    plain = words.filter("text <> ''").groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     return fusion.tag(plain).select("text", "n", F.array_join("patterns.pattern", ",").alias("patterns"), "relevance")
 
 

@@ -4,28 +4,11 @@ Ordinals (`det_idx`, `text_idx`) keep the order of the source lists. They only
 have to be unique and ordered within a page, not dense.
 """
 
-TILES = (
-    "doc string, page int, page_w int, page_h int, rows int, cols int, tile string, "
-    "row int, col int, x1 int, y1 int, x2 int, y2 int, width int, height int"
-)
-PAGES = "doc string, page int, page_w int, page_h int"
 DETECTIONS = (
     "doc string, page int, page_w int, page_h int, det_idx bigint, class_id int, "
     "class_name string, confidence double, x1 double, y1 double, x2 double, y2 double, "
     "tx1 double, ty1 double, tx2 double, ty2 double, tile string, row int, col int"
 )
-TILE_DETECTIONS = (
-    "tile string, det_idx bigint, class_id int, class_name string, confidence double, "
-    "bx1 double, by1 double, bx2 double, by2 double"
-)
-TEXTS = (
-    "doc string, page int, text_idx bigint, text string, confidence double, "
-    "x1 double, y1 double, x2 double, y2 double, source string, sym_idx bigint"
-)
-RUN_LOG = (
-    "run bigint, stage string, success boolean, skipped boolean, error string, "
-    "duration double, ts timestamp"
-)
 
 # Texts recognised from images follow all texts of the PDF layer. Their ordinals
 # are shifted by this much when both lists become one.
