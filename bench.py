@@ -12,7 +12,7 @@ import sys
 import time
 
 from boxlake.queries import QUERIES
-from boxlake.session import local_session
+from boxlake.session import local_session, scratch
 
 HEADLINE = [
     "nms_by_class",
@@ -35,6 +35,10 @@ HEADLINE = [
     "text_clusters",
     "grid_areas",
     "detection_documents",
+    "extracted_texts",
+    "calibrated_extraction",
+    "cluster_areas",
+    "overlay_counts",
 ]
 
 
@@ -47,7 +51,8 @@ def main() -> None:
     seconds = {}
     for name in names:
         start = time.perf_counter()
-        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        with scratch(spark):
+            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     spark.stop()

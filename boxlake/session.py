@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,10 +51,37 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[str]] = []
+
+
+def scratch_path(spark: SparkSession, kind: str = "boxlake") -> str:
+    """A new path in the shared folder; the innermost open `scratch` removes it."""
+    path = f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the intermediate tables written inside the `with` block at its end. Results
+    are lazy and read these tables, so write or collect them inside the block."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """`df` as a table written to the shared folder, so that loops stay short and an
     executor loss costs one round, not all of them. The written size is known to the
     optimizer, which then picks broadcast or shuffled joins by it."""
-    path = f"{shared_dir(df.sparkSession)}/boxlake-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

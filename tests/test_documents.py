@@ -84,6 +84,19 @@ def test_tag_rows_of_a_long_area(spark):
     assert whole[0].bbox_x2 == 5.0
 
 
+def test_scratch_removes_intermediate_tables(spark):
+    from pathlib import Path
+
+    from boxlake import session
+
+    folder = Path(session.shared_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    with session.scratch(spark):
+        df = session.cut_lineage(spark.range(5))
+        assert df.count() == 5 and len(set(folder.iterdir())) == len(before) + 1
+    assert set(folder.iterdir()) == before
+
+
 def test_document_names(spark):
     names = ["1150_detections.json", "1150_detections_converted.json", "x_converted.json", "y__detections.json", "z.json"]
     df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
