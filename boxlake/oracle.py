@@ -711,3 +711,19 @@ ORACLE["streamed_reload"] = CORE + """
 select doc::varchar as doc, page, count(*) as detections, sum(x1) as x1 from det where doc % 2 = 1 or page <= 2 group by doc, page"""
 ORACLE["streamed_skip"] = CORE + "select doc::varchar as doc, page, count(*) as detections, sum(x1) as x1 from det group by doc, page"
 ORACLE["streamed_tile_results"] = CORE + "select tile, 2 * count(*) as detection_count from det group by tile"
+
+# ------------------------------------------------------------ callers' own parts, tables
+
+ORACLE["own_patterns"] = with_(BASE, TEXTS) + r"""
+select doc, page, text_idx, concat_ws(',', case when regexp_matches(trim(text), '(?i)Motor_\d') then 'motor' end,
+  case when regexp_matches(trim(text), '[02468]$') then 'even' end) as patterns from txt where trim(text) <> ''"""
+ORACLE["own_area_types"] = with_(BASE, OCR) + """
+select doc as document, page, text_idx, case when sym_class_name is null then 'text' when sym_class_name = 'Tag-ID' then 'tag'
+  when sym_class_name = 'resistor' then 'part' else 'symbol' end as area_type from ocr where trim(otext) <> ''"""
+ORACLE["area_tables"] = with_(BASE, TEXTS) + """
+select doc, page, count(*) as members, count(distinct (floor(x1 / 100), floor(y1 / 100))) as cells, count(*) as texts from txt group by all"""
+ORACLE["scored_with_failures"] = TILES + "select tile, 0::int as detection_count, 'ValueError: no model' as error from tiles"
+ORACLE["recognised_in_one_call"] = READ + """,
+placed as (select rd.*, row_number() over (partition by doc, page order by det_idx, rec_idx) - 1 as text_idx from rd)
+select text_idx, det_idx as sym_idx, page, doc, text, """ + _moved("0", "0").split("text,")[1].replace(" from rd", " from placed")
+ORACLE["table_round_trip"] = CORE + "select doc, page, det_idx, class_name, x1, y1, x2, y2 from det"

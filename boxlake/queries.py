@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from boxlake import fixtures as X
 from boxlake.functions import geometry as G
+from boxlake.functions.text import TextPattern
 from boxlake.operators import areas, calibrate, catalog, clusters, dedup, fusion, overlay, ranking, relative, scoring
 from boxlake.operators import spatial, stats, tiles
 from boxlake.plans import pipelines
+from boxlake.session import scratch_path
 from boxlake.sources import documents
+from boxlake.sources import tables
 from boxlake.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -910,3 +913,54 @@ def streamed_tile_results(spark, d):
     turn = F.explode(F.array(F.lit(2), F.lit(1))).alias("turn")
     results = det.select("tile", turn, "n").withColumn("detection_count", F.col("n") * F.col("turn")).drop("n")
     return ingest.replay_tile_results(spark, results, "turn").select("tile", "detection_count")
+
+
+# ------------------------------------------------------------ callers' own parts, tables
+
+@query
+def own_patterns(spark, d):
+    """Texts tagged by patterns of the caller."""
+    mine = [TextPattern("motor", r"Motor_\d", 4, "Motors"), TextPattern("even", r"[02468]$", 1, "Even endings")]
+    out = fusion.tag(X.texts(spark, d), mine)
+    return out.select("doc", "page", "text_idx", F.array_join("patterns.pattern", ",").alias("patterns"))
+
+
+@query
+def own_area_types(spark, d):
+    rows = areas.regions(X.linked_texts(spark, d), {"Tag-ID": "tag", "resistor": "part"})
+    return rows.select("document", "page", "text_idx", "area_type")
+
+
+@query
+def area_tables(spark, d):
+    """Clustered and grid areas in one call, counted by page."""
+    out = pipelines.area_tables(X.texts(spark, d), X.detections(spark, d))
+    members = out.members.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("members"))
+    grid = out.grid.groupBy("doc", "page").agg(F.count(F.lit(1)).alias("cells"), F.sum("text_count").alias("texts"))
+    return members.join(grid, ["doc", "page"])
+
+
+@query
+def scored_with_failures(spark, d):
+    """A detector that fails gives one error row per tile."""
+
+    def fail(batch: pd.DataFrame):
+        raise ValueError("no model")
+
+    grid = tiles.tile_grid(X.order_pages(spark, d)).withColumn("image_path", F.concat(F.lit("/img/"), "tile"))
+    return scoring.score_tiles(grid.select("tile", "image_path"), fail).select("tile", "detection_count", "error")
+
+
+@query
+def recognised_in_one_call(spark, d):
+    """Regions cut, read, accepted and placed on the page by one composition."""
+    out = pipelines.recognise(X.detections(spark, d), _rendered(spark, d), _reader(), 0.5)
+    return out.select("doc", "page", "text_idx", "text", "sym_idx", *BOX).withColumns(rounded(*BOX))
+
+
+@query
+def table_round_trip(spark, d):
+    """Detections written as a bucketed table and read back."""
+    path = scratch_path(spark, "table")
+    tables.write_table(X.detections(spark, d), path, buckets=16)
+    return tables.read_table(spark, path, buckets=16).select("doc", "page", "det_idx", "class_name", *BOX)
