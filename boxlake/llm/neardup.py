@@ -34,6 +34,8 @@ MISS = 1e-7
 LEAD_ROUNDS = 3
 # Bands shared by more unjoined classes than this are split by a second shared band.
 CROWD = 200
+# Pairs for each row of the open bands up to which all are compared at once.
+FEW = 8
 
 
 # ------------------------------------------------------------------ sets and signatures
@@ -212,6 +214,15 @@ def _all_pairs(bands: DataFrame) -> DataFrame:
     return left.join(right, "key").filter("a < b and ga <> gb").select("a", "b").distinct()
 
 
+def _few_pairs(bands: DataFrame) -> bool:
+    """Whether the pairs of all bands are no more than a few for each row, so that further
+    leads would save nothing."""
+    row = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")
+    ).first()
+    return (row["pairs"] or 0) <= FEW * (row["rows"] or 0)
+
+
 def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """`doc_id, n_shingles, component_id, kept` for each row of `docs` (`doc_id, text`).
 
@@ -237,21 +248,18 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
 
     links = None
     for turn in range(LEAD_ROUNDS + 1):
-        last = turn == LEAD_ROUNDS
+        last = turn == LEAD_ROUNDS or turn > 0 and _few_pairs(bands)
         pairs = _all_pairs(bands) if last else _lead_pairs(bands, turn)
         pairs = promising_pairs(pairs, signatures, share)
         if not last:  # one attempt each: the lead that looks most alike
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
         found = cut_lineage(confirmed_pairs(pairs, texts, size, percent))
-        if not found.limit(1).count():
-            if last:
-                break
-            continue
-        links = found if links is None else links.unionByName(found)
-        if not last:
-            bands = cut_lineage(_with_groups(bands, links))
-            if not bands.limit(1).count():
-                break
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            if not last:
+                bands = cut_lineage(_with_groups(bands, links))
+        if last or not bands.limit(1).count():
+            break
 
     members = classes
     if links is not None:
