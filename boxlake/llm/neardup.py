@@ -7,9 +7,10 @@ posterior probability of a similarity of `percent` or more, under a uniform prio
 below `MISS`; survivors are confirmed on the full sets.
 
 Pairs within a group of copies aren't all needed: in a few rounds each class of a band is
-compared with one chosen lead of that band and linked classes grow together. Then every
-pair that shares a band and isn't joined yet is compared, so that no link between
-components is lost (but for what the bands miss: (1 - s^4)^32, or 5e-8 at s = 0.8).
+compared with one chosen lead of that band and linked classes grow together. Then what
+isn't joined yet is compared with all it shares a band with, in crowded bands by way of the
+band's centre (`_around_centres`), so that no link between components is lost (but for what
+the bands miss: (1 - s^4)^32, or 5e-8 at s = 0.8).
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ BANDS = HASHES // ROWS
 BATCH = 32
 MISS = 1e-7
 LEAD_ROUNDS = 3
-# Bands shared by more unjoined classes than this are split by a second shared band.
-CROWD = 200
+# In bands of more unjoined groups than this, classes meet by what the centre lacks.
+CROWD = 16
 # Pairs for each row of the open bands up to which all are compared at once.
 FEW = 8
 
@@ -184,7 +185,7 @@ def _with_groups(bands: DataFrame, links: DataFrame | None) -> DataFrame:
     return bands.join(open_.select("key"), "key", "left_semi").select("key", "doc_id", "grp")
 
 
-def _lead_pairs(bands: DataFrame, turn: int) -> DataFrame:
+def _lead_pairs(bands: DataFrame, turn: int, apart: bool = True) -> DataFrame:
     """Each class of a band with the band's lead. At first that is the class with the most
     neighbours over all its bands: an original among edited copies is near to all of them
     while they may be far from each other. Then the smallest id, then others."""
@@ -197,23 +198,68 @@ def _lead_pairs(bands: DataFrame, turn: int) -> DataFrame:
         ranked = bands.withColumn("o", F.lit(0) if turn == 1 else F.xxhash64("doc_id", F.lit(turn)))
     leads = ranked.groupBy("key").agg(F.min(F.struct("o", "doc_id", "grp")).alias("lead"))
     met = bands.join(leads.select("key", F.col("lead.doc_id").alias("b"), F.col("lead.grp").alias("_g")), "key")
-    return met.filter("grp <> _g").select(F.col("doc_id").alias("a"), "b").distinct()
+    met = met.filter("grp <> _g" if apart else "doc_id <> b")
+    return met.select(F.col("doc_id").alias("a"), "b").distinct()
 
 
 def _all_pairs(bands: DataFrame) -> DataFrame:
-    """Every pair of classes of different groups that share a band. A crowded band is split
-    by the second band that the pair shares: of similar pairs one in a million share one
-    band alone."""
-    crowded = bands.groupBy("key").agg(F.countDistinct("grp").alias("n")).filter(F.col("n") > CROWD)
-    plain = bands.join(crowded, "key", "left_anti")
-    inside = bands.join(crowded.select("key"), "key", "left_semi")
-    other = bands.select("doc_id", F.col("key").alias("second"))
-    split = inside.join(other, "doc_id").filter("key <> second").withColumn("key", F.xxhash64("key", "second"))
-    rows = plain.select("key", "doc_id", "grp").unionByName(split.select("key", "doc_id", "grp"))
-    left, right = (rows.select("key", F.col("doc_id").alias(s), F.col("grp").alias(f"g{s}")) for s in "ab")
+    """Every pair of classes of different groups that share a band."""
+    left, right = (bands.select("key", F.col("doc_id").alias(s), F.col("grp").alias(f"g{s}")) for s in "ab")
     return left.join(right, "key").filter("a < b and ga <> gb").select("a", "b").distinct()
 
 
+def _residues(size: int, percent: int):
+    """For pairs with texts: whether they are linked, what `a` has beyond `b`, and the sizes
+    of sets that could be linked with `a` without sharing any of that."""
+
+    def residues(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.add(pc.binary_length(batch.column("ta")), pc.binary_length(batch.column("tb"))).to_pylist()
+            for part in slices(lengths):
+                piece = batch.slice(part.start, part.stop - part.start)
+                out = []
+                for x, y in zip(shingles(piece.column("ta"), size), shingles(piece.column("tb"), size)):
+                    own = np.setdiff1d(x, y, assume_unique=True)
+                    common = len(x) - len(own)
+                    linked = (100 + percent) * common >= percent * (len(x) + len(y))
+                    low = -(-percent * len(x) // 100)
+                    high = -1 if linked else (100 + percent) * common // percent - len(x)
+                    out.append((len(x), linked, low, high, own.view(np.int64)))
+                n, linked, low, high, own = zip(*out)
+                yield pa.RecordBatch.from_arrays(
+                    [*piece.select(["a", "b"]).columns, *map(pa.array, (n, linked, low, high)), pa.array(own, pa.list_(pa.int64()))],
+                    ["a", "b", "n", "linked", "low", "high", "own"],
+                )
+
+    return residues
+
+
+def _around_centres(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links with the centres of crowded bands, and the pairs of their other classes that may
+    be linked. Two classes of which one isn't linked with the centre share something that the
+    centre doesn't have, unless the other is small enough: sharing only what the centre has,
+    x and y have at most |x & centre| in common, which must reach s / (1 + s) (|x| + |y|). So
+    pairs come from an equal element beyond the centre, or from an equal size in that range."""
+    centres = _lead_pairs(bands, 0, apart=False)
+    for side in "ab":
+        centres = centres.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
+    found = cut_lineage(
+        centres.select("a", "b", "ta", "tb").mapInArrow(
+            _residues(size, percent), "a long, b long, n long, linked boolean, low long, high long, own array<bigint>"
+        )
+    )
+    parts = found.select("b", F.explode("own").alias("s"), "a", "linked")
+    shared = parts.groupBy("b", "s").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all")
+    parts = parts.join(shared.select("b", "s"), ["b", "s"])
+    left, right = (parts.select("b", "s", F.col("a").alias(n), F.col("linked").alias(f"l{n}")) for n in ("x", "y"))
+    pairs = left.join(right, ["b", "s"]).filter("x < y and not (lx and ly)").select("x", "y")
+    open_ = found.filter("not linked and high >= low")
+    sized = open_.select("b", F.explode(F.sequence("low", "high")).alias("n"), F.col("a").alias("x"))
+    small = sized.join(found.select("b", "n", F.col("a").alias("y")), ["b", "n"]).filter("x <> y")
+    pairs = pairs.union(small.select(F.least("x", "y"), F.greatest("x", "y"))).toDF("a", "b").distinct()
+    return found.filter("linked").select("a", "b"), pairs
+
+
 def _few_pairs(bands: DataFrame) -> bool:
     """Whether the pairs of all bands are no more than a few for each row, so that further
     leads would save nothing."""
@@ -249,7 +295,13 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     links = None
     for turn in range(LEAD_ROUNDS + 1):
         last = turn == LEAD_ROUNDS or turn > 0 and _few_pairs(bands)
-        pairs = _all_pairs(bands) if last else _lead_pairs(bands, turn)
+        pairs = None if last else _lead_pairs(bands, turn)
+        if last:
+            crowded = bands.groupBy("key").agg(F.countDistinct("grp").alias("_n")).filter(F.col("_n") > CROWD)
+            crowded = cut_lineage(crowded.select("key"))
+            central, pairs = _around_centres(bands.join(crowded, "key", "left_semi"), texts, size, percent)
+            links = central if links is None else links.unionByName(central)
+            pairs = pairs.unionByName(_all_pairs(bands.join(crowded, "key", "left_anti"))).distinct()
         pairs = promising_pairs(pairs, signatures, share)
         if not last:  # one attempt each: the lead that looks most alike
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))

@@ -113,15 +113,16 @@ def copies(rnd, groups=6, members=12):
         words = [f"w{rnd.randrange(4000)}" for _ in range(rnd.randrange(60, 140))]
         for _ in range(members):
             copy = list(words)
-            for _ in range(rnd.randrange(4)):
+            for _ in range(rnd.randrange(5)):
                 copy[rnd.randrange(len(copy))] = f"x{rnd.randrange(4000)}"
-            texts.append(" ".join(copy))
+            texts.append(" ".join(copy[rnd.randrange(9) :]))
     return texts + ["Two words", "two WORDS", "", None, "one"]
 
 
-@pytest.mark.parametrize("crowd", [200, 1])
+@pytest.mark.parametrize("crowd", [200, 1, 0])
 def test_components_match_all_pairs(spark, monkeypatch, crowd):
     monkeypatch.setattr(neardup, "CROWD", crowd)
+    monkeypatch.setattr(neardup, "LEAD_ROUNDS", 1 if crowd else 0)
     texts = copies(random.Random(4))
     got = neardup.components(documents(spark, texts), 4, 80)
     assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == plain_components(texts, 4, 80)
