@@ -6,8 +6,8 @@ candidate pair is compared batch by batch of its signatures and given up as soon
 posterior probability of a similarity of `percent` or more, under a uniform prior, falls
 below `MISS`; survivors are confirmed on the full sets.
 
-Pairs within a group of copies aren't all needed: in a few rounds each class of a band is
-compared with one chosen lead of that band and linked classes grow together. Then what
+Pairs within a group of copies aren't all needed: first each class of a band is compared
+with one chosen lead of that band (`LEAD_ROUNDS` times, with other leads) and linked classes grow together. Then what
 isn't joined yet is compared with all it shares a band with, in crowded bands by way of the
 band's centre (`_around_centres`), so that no link between components is lost (but for what
 the bands miss: (1 - s^4)^32, or 5e-8 at s = 0.8).
@@ -32,7 +32,7 @@ HASHES, ROWS = 128, 4
 BANDS = HASHES // ROWS
 BATCH = 32
 MISS = 1e-7
-LEAD_ROUNDS = 3
+LEAD_ROUNDS = 1
 # In bands of more unjoined groups than this, classes meet by what the centre lacks.
 CROWD = 16
 # Pairs for each row of the open bands up to which all are compared at once.
