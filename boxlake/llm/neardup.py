@@ -7,8 +7,8 @@ posterior probability of a similarity of `percent` or more, under a uniform prio
 below `MISS`; survivors are confirmed on the full sets.
 
 Pairs within a group of copies aren't all needed: first each class of a band is compared
-with one chosen lead of that band (`LEAD_ROUNDS` times, with other leads) and linked classes grow together. Then what
-isn't joined yet is compared with all it shares a band with, in crowded bands by way of the
+with one chosen lead of that band (`LEAD_ROUNDS` times, with other leads) and linked
+classes grow together. Then what isn't joined yet is compared with all it shares a band with, in crowded bands by way of the
 band's centre (`_around_centres`), so that no link between components is lost (but for what
 the bands miss: (1 - s^4)^32, or 5e-8 at s = 0.8).
 """
