@@ -40,6 +40,7 @@ CUT = 0.7
 FEATURES = 5
 STRONG = 1.0
 SUM_CAP = 10.0
+TEXT_AT_ONCE = 500_000  # bytes of text whose words a task holds as arrays
 PAD = "\x02"
 END = "\x03"
 
@@ -70,7 +71,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def _count_words(batches) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text"):
+    for batch in small_batches(batches, "text", TEXT_AT_ONCE):
         numbers, vocabulary, rows = split_words(batch.column("text"))
         pairs = np.unique(rows * len(vocabulary) + numbers)
         rows, numbers = np.divmod(pairs, max(1, len(vocabulary)))
@@ -275,7 +276,7 @@ def fit(labelled: DataFrame, labels: DataFrame) -> Model:
     names = [f"f{i}" for i in range(FEATURES)]
 
     def features(batches):
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TEXT_AT_ONCE):
             x = text_features(model, batch.column("text"))
             columns = [pa.array(x[:, i]) for i in range(FEATURES)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic")], [*names, "toxic"])
@@ -311,7 +312,7 @@ def add_score(docs: DataFrame, model: Model, name: str = "score", text: str = "t
 
     def score(batches):
         known = Model(*shared.value)
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, TEXT_AT_ONCE):
             value = np.zeros(batch.num_rows)
             if known.curve is not None:
                 x = text_features(known, batch.column(text))
