@@ -23,8 +23,8 @@ from boxlake.session import cut_lineage
 THRESHOLD = 1
 # Shorter lines are headings and fragments that recur by chance; they are left alone.
 MIN_CHARS = 24
-# A document that would lose more than this share of its characters is a copy as a whole;
-# it is left to the comparison of documents.
+# `op8_line_dedup`, like its SQL, leaves a document whole that would lose more than this share
+# of its characters. With 1.0, as in the pipeline, every repeated line goes.
 MAX_LOSS = 0.5
 # Meeting lines under one key beyond which the key is refined.
 CROWD = 40
@@ -247,7 +247,8 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
 def line_decisions(docs: DataFrame, max_loss: float = MAX_LOSS, **options) -> DataFrame:
     """One row for each document with lines that take part: `doc_id, n_lines, n_repeated,
     n_links, n_removed, removed` (line numbers from 0, ascending). A document in which more
-    than `max_loss` of these lines' characters is repeated loses none."""
+    than `max_loss` of these lines' characters is repeated loses none; at 1.0 there is no such
+    document."""
     judged = repeated_lines(docs, **options)
     lost = F.sum(F.when(F.col("repeated"), F.col("n_chars")).otherwise(0))
     out = judged.groupBy("doc_id").agg(
@@ -263,7 +264,8 @@ def line_decisions(docs: DataFrame, max_loss: float = MAX_LOSS, **options) -> Da
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """`docs` with the repeated lines taken out of `text`; all other columns and rows stay
-    as they are (n_chars, if there, follows the text)."""
+    as they are (n_chars, if there, follows the text). A document that loses all of its lines
+    stays as a row with an empty text; lines that don't take part stay in any case."""
     doc, gone = unused(docs, "_doc"), unused(docs, "_gone")
     chosen = line_decisions(docs, **options).filter("n_removed > 0")
     chosen = chosen.select(F.col("doc_id").alias(doc), F.col("removed").alias(gone))

@@ -14,8 +14,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that nearly repeat an earlier line of the corpus."""
-    return linededup.drop_repeated_lines(docs)
+    """Documents without lines that nearly repeat an earlier line of the corpus, whatever
+    share of a document they are."""
+    return linededup.drop_repeated_lines(docs, max_loss=1.0)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

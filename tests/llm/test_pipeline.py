@@ -4,6 +4,7 @@ import corpus_pipeline
 
 import __spark_entry__
 from boxlake.llm import decontaminate, neardup
+from tests.llm.helpers import documents
 
 
 def test_stages_in_order(spark, sf_dir, tmp_path):
@@ -26,6 +27,13 @@ def test_stages_in_order(spark, sf_dir, tmp_path):
     assert {"doc_id", "taken", "target"} <= set(docs.columns)
 
 
+def test_line_stage_removes_whatever_share_is_repeated(spark):
+    line = "This boilerplate line is found everywhere."
+    texts = ["\n".join([line] * 5), line + "\nAn own short line of this page.", line]
+    out = {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, documents(spark, texts), "").collect()}
+    assert out == {0: line, 1: "An own short line of this page.", 2: ""}
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert "pipeline" in names
