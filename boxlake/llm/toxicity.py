@@ -9,30 +9,28 @@ characters normalised by its length. A text's is that of its strongest words and
 over its length, which a logistic curve, fitted on labelled documents left out of the
 counts, turns into a score.
 
-The counts grow with the corpus; the model that travels to the tasks doesn't: characters
-are held in `SLOTS` hashed places for each order, words as the `WORDS` with most evidence.
+The models grow with the corpus and stay in Spark: grams and words are tables keyed by
+themselves. The different words of the texts meet them by joins, and each word's evidence
+goes back to the texts by shuffle. Only totals and the curve come to the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import bounded_sample, code_points, fold, mix, small_batches, unused, word_hashes
+from boxlake.llm.common import bounded_sample, fold, small_batches, unused
 from boxlake.session import cut_lineage
 
 ORDER = 5
 OWN = 3  # the lowest order with counts for each class
-SLOTS = 1 << 17
 DISCOUNT = 0.75
 WORD_DISCOUNT = 3.0  # documents; copies and chance meetings of a rare word stay below it
-WORDS = 1 << 16
 ALPHABET = 1 << 16  # of the uniform distribution below the lowest order
 # Labelled documents that the logistic curve is fitted on, taken in hash order.
 CALIBRATION_ROWS = 20_000
@@ -45,15 +43,9 @@ PAD = "\x02"
 END = "\x03"
 
 
-@dataclass
-class Model:
-    """`tables[n]` has rows count, total and types per class; `words` the evidence of
-    `hashes` (ascending); `curve` weighs the features."""
-
-    tables: dict[int, np.ndarray]
-    hashes: np.ndarray
-    words: np.ndarray
-    curve: np.ndarray | None = None
+def _shuffled(df: DataFrame) -> DataFrame:
+    """For a side that grows with the corpus: joined by shuffle at any size."""
+    return df.hint("merge")
 
 
 # ------------------------------------------------------------------ words
@@ -95,25 +87,22 @@ def word_counts(labelled: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ n-grams
 
-def word_model(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, ascending, and evidence of the words that point to the toxic class, the
-    `WORDS` strongest. P(w) of a class is (count - discount) / total + weight * shared(w)."""
+def known_words(counts: DataFrame) -> DataFrame:
+    """`word, evidence` of the words that point to the toxic class. P(w) of a class is
+    (count - discount) / total + weight * shared(w)."""
     d = F.lit(WORD_DISCOUNT)
     totals = counts.agg(
         *[F.sum(c).cast("double").alias(f"n_{c}") for c in "to"],
         *[F.sum(F.least(F.col(c), d)).alias(f"d_{c}") for c in "to"],
     ).first()
     if not totals["n_t"] or not totals["n_o"]:
-        return np.zeros(0, np.uint64), np.zeros(0)
+        return counts.select("word", F.lit(0.0).alias("evidence")).limit(0)
     shared = (F.col("t") + F.col("o")) / (totals["n_t"] + totals["n_o"])
     p = {
         c: (F.greatest(F.col(c) - d, F.lit(0.0)) + totals[f"d_{c}"] * shared) / totals[f"n_{c}"] for c in "to"
     }
     known = counts.filter(F.col("t") > d).select("word", F.log(p["t"] / p["o"]).alias("evidence"))
-    rows = known.filter("evidence > 0").orderBy(F.desc("evidence"), "word").limit(WORDS).toArrow()
-    hashes = word_hashes(rows["word"].combine_chunks())[0] if rows.num_rows else np.zeros(0, np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.asarray(rows["evidence"])[order]
+    return known.filter("evidence > 0")
 
 
 def gram_counts(counts: DataFrame) -> dict[int, DataFrame]:
@@ -133,123 +122,99 @@ def gram_counts(counts: DataFrame) -> dict[int, DataFrame]:
             sums = [F.sum((F.col(c) > 0).cast("long")).alias(c) for c in "to"]
         else:
             sums = [F.count(F.lit(1)).alias(c) for c in "to"]
-        grams[n] = above.groupBy("gram").agg(*sums)
+        grams[n] = cut_lineage(above.groupBy("gram").agg(*sums))
     return grams
 
 
-def _slots(codes: np.ndarray, n: int) -> np.ndarray:
-    """Places of the last `n` code points at each position; the caller leaves out the
-    first `n - 1` positions of a word."""
-    h = np.zeros(len(codes), dtype=np.uint64)
-    step = np.uint64(0x100000001B3)
-    power = np.uint64(1)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            h[j:] += (codes[: len(codes) - j].astype(np.uint64) + np.uint64(1)) * power
-            power *= step
-        h += np.uint64(n)
-        return (mix(h) & np.uint64(SLOTS - 1)).astype(np.int64)
-
-
-def _place(n: int):
-    def place(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("gram").to_pylist()
-            if not texts:
-                continue
-            codes, offsets = code_points(texts)
-            slot = _slots(codes, n)[offsets[1:] - 1]
-            before = _slots(codes, n - 1)[offsets[1:] - 2] if n > 1 else np.zeros(len(texts), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(slot), pa.array(before), batch.column("t"), batch.column("o")], ["slot", "before", "t", "o"]
-            )
-
-    return place
-
-
-def fit_counts(labelled: DataFrame) -> Model:
-    """The two models from `text, toxic`. Only sums by place come to the driver: at most
-    `SLOTS` rows for each of the ten tables."""
-    tables = {}
-    counts = cut_lineage(word_counts(labelled))
-    for n, grams in gram_counts(counts).items():
-        # `place` needs whole grams: those that begin a word are padded to full length.
-        placed = grams.mapInArrow(_place(n), "slot long, before long, t long, o long")
-        table = np.zeros((6, SLOTS), dtype=np.float32)
-        both = F.array(
-            F.struct(F.lit(0).alias("kind"), F.col("slot").alias("slot")),
-            F.struct(F.lit(1).alias("kind"), F.col("before").alias("slot")),
-        )
-        sums = placed.select(F.inline(both), "t", "o").groupBy("kind", "slot").agg(
-            F.sum("t").alias("t"),
-            F.sum("o").alias("o"),
-            F.sum((F.col("t") > 0).cast("long")).alias("tt"),
-            F.sum((F.col("o") > 0).cast("long")).alias("to"),
-        )
-        rows = sums.toArrow()
-        kind, slot = np.asarray(rows["kind"]), np.asarray(rows["slot"])
-        for row, (which, name) in enumerate([(0, "t"), (0, "o"), (1, "t"), (1, "o"), (1, "tt"), (1, "to")]):
-            chosen = kind == which
-            table[row, slot[chosen]] = np.asarray(rows[name])[chosen]
-        tables[n] = table
-    return Model(tables, *word_model(counts))
+def gram_ratios(seen: DataFrame, grams: dict[int, DataFrame]) -> DataFrame:
+    """`gram, ratio`: the log-likelihood ratio of the last character of each of the different
+    grams `seen`, of the top order. Each order meets its own counts, those of what comes
+    before the last character, and the order below."""
+    below = None
+    for n in range(1, ORDER + 1):
+        sums = [F.sum(c).alias(f"n_{c}") for c in "to"] + [F.count_if(F.col(c) > 0).alias(f"d_{c}") for c in "to"]
+        here = seen.select(F.substring("gram", ORDER - n + 1, n).alias("gram")).distinct()
+        here = here.join(_shuffled(grams[n]), "gram", "left")
+        if below is None:
+            totals = grams[n].agg(*sums).first()
+            here = here.select("*", *[F.lit(totals[c]).cast("long").alias(c) for c in ("n_t", "n_o", "d_t", "d_o")])
+            lower = {c: F.lit(1.0 / ALPHABET) for c in "to"}
+        else:
+            before = grams[n].groupBy(F.substring("gram", 1, n - 1).alias("before")).agg(*sums)
+            here = here.select("*", F.substring("gram", 1, n - 1).alias("before"), F.substring("gram", 2, n - 1).alias("after"))
+            here = here.join(_shuffled(before), "before", "left").join(_shuffled(below), "after")
+            lower = {c: F.col(f"p_{c}") for c in "to"}
+        p = []
+        for c in "to":
+            total = F.col(f"n_{c}")
+            mixed = F.greatest(F.coalesce(c, F.lit(0)) - DISCOUNT, F.lit(0.0)) / total + DISCOUNT * F.col(f"d_{c}") / total * lower[c]
+            p.append(F.when(total > 0, F.least(mixed, F.lit(1.0))).otherwise(lower[c]).alias(f"p_{c}"))
+        below = cut_lineage(here.select(F.col("gram").alias("after"), *p))
+    return below.select(F.col("after").alias("gram"), (F.log(F.col("p_t") + 1e-12) - F.log(F.col("p_o") + 1e-12)).alias("ratio"))
 
 
 # ------------------------------------------------------------------ scores
 
-def character_evidence(model: Model, vocabulary: pa.Array) -> np.ndarray:
-    """Log-likelihood ratio of each word, divided by the square root of its length (with
-    its end), so that neither many common characters nor few rare ones decide alone."""
-    if not len(vocabulary):
-        return np.zeros(0)
-    padded = [PAD * (ORDER - 1) + w + END for w in vocabulary.to_pylist()]
-    codes, offsets = code_points(padded)
-    p = np.full((2, len(codes)), 1.0 / ALPHABET)
-    before = np.zeros(len(codes), np.int64)
-    for n in range(1, ORDER + 1):
-        table, slot = model.tables[n], _slots(codes, n)
-        for k in (0, 1):
-            count, total, types = table[k][slot], table[2 + k][before], table[4 + k][before]
-            known = total > 0
-            total = np.where(known, total, 1.0)
-            mixed = np.maximum(count - DISCOUNT, 0.0) / total + DISCOUNT * types / total * p[k]
-            p[k] = np.where(known, np.minimum(mixed, 1.0), p[k])
-        before[1:] = slot[:-1]
-    ratio = np.log(p[0] + 1e-12) - np.log(p[1] + 1e-12)
-    inside = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets)) >= ORDER - 1
-    sums = np.add.reduceat(np.where(inside, ratio, 0.0), offsets[:-1])
-    return sums / np.sqrt(np.diff(offsets) - ORDER + 1)
-
-
-def word_evidence(model: Model, vocabulary: pa.Array) -> np.ndarray:
-    """Evidence of each word as a whole, 0 for words outside the model."""
-    if not len(model.hashes) or not len(vocabulary):
-        return np.zeros(len(vocabulary))
-    out = np.zeros(len(vocabulary))
-    filled = np.flatnonzero(np.asarray(pc.not_equal(vocabulary, "")))
-    h = word_hashes(vocabulary)[0]
-    at = np.minimum(np.searchsorted(model.hashes, h), len(model.hashes) - 1)
-    out[filled] = np.where(model.hashes[at] == h, model.words[at], 0.0)
-    return out
-
-
-def text_features(model: Model, texts: pa.Array) -> np.ndarray:
-    """For each text: 1, the strongest evidence of a word, the sum of that over
-    `STRONG` (at most `SUM_CAP`), the strongest of a word's characters, and the characters' mean over the
-    words; zeros for a text without words."""
-    numbers, vocabulary, rows = split_words(texts)
-    out = np.zeros((len(texts), FEATURES))
-    out[:, 0] = 1.0
-    if len(numbers):
-        whole, parts = word_evidence(model, vocabulary)[numbers], character_evidence(model, vocabulary)[numbers]
-        starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-        which = rows[starts]
-        out[which, 1] = np.maximum.reduceat(whole, starts)
-        strong = np.where(whole > STRONG, whole, 0.0)
-        out[which, 2] = np.minimum(np.add.reduceat(strong, starts), SUM_CAP)
-        out[which, 3] = np.maximum.reduceat(parts, starts)
-        out[which, 4] = np.add.reduceat(parts, starts) / np.diff(np.r_[starts, len(rows)])
-    return out
+def _different_words(batches) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text", TEXT_AT_ONCE):
+        vocabulary = split_words(batch.column("text"))[1]
+        yield pa.RecordBatch.from_arrays([vocabulary.filter(pc.not_equal(vocabulary, ""))], ["word"])
+
+
+def _grams_of_words(batches) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "word", TEXT_AT_ONCE):
+        grams, lengths = [], []
+        for word in batch.column("word").to_pylist():
+            padded = PAD * (ORDER - 1) + word + END
+            grams.extend([padded[i : i + ORDER] for i in range(len(word) + 1)])
+            lengths.append(len(word) + 1)
+        owners = batch.column("w").take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
+        yield pa.RecordBatch.from_arrays([owners, pa.array(grams, pa.string())], ["w", "gram"])
+
+
+def word_evidence(vocabulary: DataFrame, labelled: DataFrame) -> DataFrame:
+    """`word, whole, parts` of the different words `vocabulary` by the models of `labelled`
+    (`text, toxic`): the evidence of the word as a whole, 0 for one that doesn't point to the
+    toxic class, and of its characters, divided by the square root of its length (with its
+    end), so that neither many common characters nor few rare ones decide alone."""
+    counts = cut_lineage(word_counts(labelled))
+    grams = gram_counts(counts)
+    named = cut_lineage(vocabulary.select("word", F.xxhash64("word").alias("w")))
+    placed = named.select("w", "word").mapInArrow(_grams_of_words, "w long, gram string")
+    ratios = gram_ratios(cut_lineage(placed.select("gram").distinct()), grams)
+    parts = placed.join(_shuffled(ratios), "gram").groupBy("w")
+    parts = parts.agg((F.sum("ratio") / F.sqrt(F.count(F.lit(1)))).alias("parts"))
+    both = named.join(_shuffled(parts), "w").join(_shuffled(known_words(counts)), "word", "left")
+    return cut_lineage(both.select("word", F.coalesce("evidence", F.lit(0.0)).alias("whole"), "parts"))
+
+
+def _words_of_texts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text", TEXT_AT_ONCE):
+        numbers, vocabulary, rows = split_words(batch.column("text"))
+        if not len(numbers):
+            continue
+        totals = np.bincount(rows, minlength=batch.num_rows)
+        pairs, n = np.unique(rows.astype(np.int64) * len(vocabulary) + numbers, return_counts=True)
+        rows, numbers = np.divmod(pairs, len(vocabulary))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("h").take(pa.array(rows)), vocabulary.take(pa.array(numbers)), pa.array(n), pa.array(totals[rows])],
+            ["h", "word", "n", "n_words"],
+        )
+
+
+def text_features(texts: DataFrame, evidence: DataFrame) -> DataFrame:
+    """For each different text with words (`h, text`): the strongest evidence of a word
+    (f1), the sum of that over `STRONG`, at most `SUM_CAP` (f2), the strongest of a word's
+    characters (f3), and the characters' mean over the words (f4). Copies of a text add the
+    same to sums and counts, so they don't change it."""
+    found = texts.mapInArrow(_words_of_texts, "h long, word string, n long, n_words long")
+    n, strong = F.sum("n"), F.when(F.col("whole") > STRONG, F.col("whole")).otherwise(0.0)
+    return found.join(_shuffled(evidence), "word").groupBy("h").agg(
+        F.max("whole").alias("f1"),
+        F.least(F.sum(F.col("n") * strong) / n * F.max("n_words"), F.lit(SUM_CAP)).alias("f2"),
+        F.max("parts").alias("f3"),
+        (F.sum(F.col("n") * F.col("parts")) / n).alias("f4"),
+    )
 
 
 def fit_curve(features: np.ndarray, toxic: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
@@ -266,33 +231,6 @@ def fit_curve(features: np.ndarray, toxic: np.ndarray, steps: int = 50, ridge: f
     return w
 
 
-def fit(labelled: DataFrame, labels: DataFrame) -> Model:
-    """The model of `doc_id, text, toxic` (0 or 1), rows of `labels`. Documents whose crc32(doc_id) mod 7 is 0
-    are left out of the counts and fit the curve. Without rows of both classes the model
-    has no curve and every text scores 0."""
-    left_out = fold(F.col("doc_id"), 7) == 0
-    model = fit_counts(labelled.filter(~left_out))
-
-    names = [f"f{i}" for i in range(FEATURES)]
-
-    def features(batches):
-        for batch in small_batches(batches, "text", TEXT_AT_ONCE):
-            x = text_features(model, batch.column("text"))
-            columns = [pa.array(x[:, i]) for i in range(FEATURES)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("toxic")], [*names, "toxic"])
-
-    usable = labels.filter(left_out & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    rows_out = labelled.filter(left_out)
-    chosen = bounded_sample(rows_out, CALIBRATION_ROWS, usable.count(), 1, "doc_id", F.xxhash64("text"))
-    rows = chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
-        features, ", ".join([*(f"{n} double" for n in names), "toxic int"])
-    ).toArrow()
-    toxic = np.asarray(rows["toxic"]).astype(float)
-    if len(set(toxic.tolist())) == 2:
-        model.curve = fit_curve(np.column_stack([np.asarray(rows[c]) for c in names]), toxic)
-    return model
-
-
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, text, toxic` of the labelled documents whose crc32(doc_id) mod 3 is not 1.
     Rows without an id, text or label are left out. A document labelled twice with
@@ -303,30 +241,50 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(known.hint("merge"), "doc_id")
 
 
-def add_score(docs: DataFrame, model: Model, name: str = "score", text: str = "text") -> DataFrame:
-    """`docs` with a column `name` in 0 to 1. An empty or null text gets the score of a text
-    without evidence. Rows stay as they are: repeated rows score alike."""
-    fields = [f for f in docs.schema.fields if f.name != name]
-    schema = docs.select(*[f"`{f.name}`" for f in fields]).schema.add(name, "double")
-    shared = docs.sparkSession.sparkContext.broadcast((model.tables, model.hashes, model.words, model.curve))
+def _hash(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
-    def score(batches):
-        known = Model(*shared.value)
-        for batch in small_batches(batches, text, TEXT_AT_ONCE):
-            value = np.zeros(batch.num_rows)
-            if known.curve is not None:
-                x = text_features(known, batch.column(text))
-                value = 1 / (1 + np.exp(-np.clip(x @ known.curve, -30, 30)))
-            columns = [batch.column(f.name) for f in fields]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value)], schema.names)
 
-    return docs.select(*[f"`{f.name}`" for f in fields]).mapInArrow(score, schema)
+def scores(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
+    """`h, score` of the different texts with words of `docs` by their hash, score in 0 to 1,
+    and the score of a text without words. Documents whose crc32(doc_id) mod 7 is 0 are left
+    out of the counts and fit the curve. Without rows of both classes there is no curve and
+    every text scores 0."""
+    labelled = training_rows(docs, labels)
+    left_out = fold(F.col("doc_id"), 7) == 0
+    usable = labels.filter(left_out & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
+    chosen = bounded_sample(labelled.filter(left_out), CALIBRATION_ROWS, usable.count(), 1, "doc_id", F.xxhash64("text"))
+    chosen = cut_lineage(chosen.select(_hash().alias("h"), F.col("toxic").cast("int").alias("toxic")))
+    none = docs.sparkSession.createDataFrame([], "h long, score double")
+    if chosen.select("toxic").distinct().count() < 2:
+        return none, 0.0
+    texts = docs.select(_hash().alias("h"), "text")
+    vocabulary = texts.select("text").mapInArrow(_different_words, "word string").distinct()
+    evidence = word_evidence(vocabulary, labelled.filter(~left_out))
+    features = cut_lineage(text_features(texts, evidence))
+    names = [f"f{i}" for i in range(1, FEATURES)]
+    rows = chosen.join(_shuffled(features), "h", "left").fillna(0.0, names).select("toxic", *names).toArrow()
+    x = np.column_stack([np.ones(rows.num_rows), *[np.asarray(rows[c]) for c in names]])
+    curve = fit_curve(x, np.asarray(rows["toxic"]).astype(float)).tolist()
+    z = sum((F.col(c) * w for c, w in zip(names, curve[1:])), F.lit(curve[0]))
+    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
+    return features.select("h", score.alias("score")), float(1 / (1 + np.exp(-np.clip(curve[0], -30, 30))))
+
+
+def add_score(docs: DataFrame, labels: DataFrame, *columns: str, name: str = "score") -> DataFrame:
+    """`columns` of `docs` (all of them by default) and a column `name`, in 0 to 1. Rows stay
+    as they are: repeated rows score alike."""
+    found, empty = scores(docs, labels)
+    h = unused(docs, "_h")
+    found = found.select(F.col("h").alias(h), F.col("score").alias(name))
+    kept = [f"`{c}`" for c in columns or docs.columns]
+    rows = docs.select(*kept, _hash().alias(h)).join(_shuffled(found), h, "left")
+    return rows.select(*kept, F.coalesce(F.col(name), F.lit(empty)).alias(name))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`doc_id, held_out, score, predicted` for every row of `docs`."""
-    model = fit(training_rows(docs, labels), labels)
-    scored = add_score(docs.select("doc_id", "text"), model)
+    scored = add_score(docs, labels, "doc_id")
     return scored.select(
         "doc_id",
         (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
@@ -337,6 +295,5 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows predicted toxic; all columns as they are."""
-    model = fit(training_rows(docs, labels), labels)
     name = unused(docs, "toxicity_score")
-    return add_score(docs, model, name).filter(F.col(name) < CUT).drop(name)
+    return add_score(docs, labels, name=name).filter(F.col(name) < CUT).drop(name)

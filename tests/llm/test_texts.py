@@ -46,6 +46,61 @@ def test_toxicity_stands_awkward_rows(spark):
     assert toxicity.score_documents(table.limit(0), labels(spark, [])).count() == 0
 
 
+def plain_ratios(counts, words):
+    """Character evidence of words by plain dictionaries, every gram by itself."""
+    n, tables = toxicity.ORDER, {}
+    top = {}
+    for word, pair in counts.items():
+        padded = toxicity.PAD * (n - 1) + word + toxicity.END
+        for i in range(len(word) + 1):
+            old = top.setdefault(padded[i : i + n], [0, 0])
+            old[0], old[1] = old[0] + pair[0], old[1] + pair[1]
+    tables[n] = top
+    for k in range(n - 1, 0, -1):
+        tables[k] = {}
+        for gram, pair in tables[k + 1].items():
+            old = tables[k].setdefault(gram[1:], [0, 0])
+            for c in (0, 1):
+                old[c] += pair[c] > 0 if k >= toxicity.OWN else 1
+    before = {k: {} for k in tables}
+    for k, table in tables.items():
+        for gram, pair in table.items():
+            old = before[k].setdefault(gram[:-1], [0, 0, 0, 0])
+            for c in (0, 1):
+                old[c] += pair[c]
+                old[2 + c] += pair[c] > 0
+
+    def p(gram, c):
+        out = 1 / toxicity.ALPHABET
+        for k in range(1, n + 1):
+            total, types = before[k].get(gram[-k:][:-1], [0] * 4)[c::2]
+            if total:
+                count = tables[k].get(gram[-k:], [0, 0])[c]
+                out = min(1.0, max(count - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * types / total * out)
+        return out
+
+    for word in words:
+        padded = toxicity.PAD * (n - 1) + word + toxicity.END
+        grams = [padded[i : i + n] for i in range(len(word) + 1)]
+        yield word, sum(np.log(p(g, 0) + 1e-12) - np.log(p(g, 1) + 1e-12) for g in grams) / len(grams) ** 0.5
+
+
+def test_toxicity_keeps_each_gram_and_word_apart(spark):
+    rnd = random.Random(9)
+    words = ["".join(chr(rnd.randrange(0x4E00, 0x4F00)) for _ in range(rnd.randrange(2, 14))) for _ in range(30_000)]
+    texts = [(" ".join(words[i : i + 300]), int(i % 900 == 0)) for i in range(0, len(words), 300)] * 5
+    counts = {}
+    for text, toxic in texts:
+        for word in set(text.split()):
+            counts.setdefault(word, [0, 0])[1 - toxic] += 1
+    asked = words[:300] + [w[1:] + "x" for w in words[:300]]
+    vocabulary = spark.createDataFrame([(w,) for w in set(asked)], "word string")
+    got = toxicity.word_evidence(vocabulary, spark.createDataFrame(texts, "text string, toxic int"))
+    got = {w: (whole, parts) for w, whole, parts in rows(got, "word", "whole", "parts")}
+    assert all(abs(got[w][1] - want) < 1e-6 for w, want in plain_ratios(counts, set(asked)))
+    assert all((got[w][0] > 0) == (counts.get(w, [0, 0])[0] > 3) for w in got if counts.get(w, [0, 1])[1] == 0)
+
+
 # ------------------------------------------------------------------ language
 
 def test_language_of_held_out_documents(spark):
