@@ -4,8 +4,10 @@ Markup is stripped into lines, one for each block element. Parts that are never
 page (scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts, reader
 comments) end with their element. The text lengths of the lines, without link text, are
 summed over a sliding window; where the sum surges begins a run of text, where it dives
-ends it. The runs with most of the text name the smallest element that holds them all, and
-the text is what that element has left, in page order.
+ends it. The runs with most of the text name the smallest element that holds them all. It
+is widened to the article or main around it, or else as long as no such part is beside it,
+so that sections far shorter than the longest stay. The text is what that element has
+left, in page order.
 """
 
 from __future__ import annotations
@@ -87,6 +89,8 @@ class _Page:
 
     def __init__(self):
         self.lines: list[Line] = []
+        self.articles: dict[int, str] = {}  # elements article and main
+        self.mixed: set[int] = set()  # elements with parts outside
         self.stack: list[tuple[str, int, bool]] = []  # name, number, outside
         self.count = 0
         self.parts: list[str] = []
@@ -143,6 +147,10 @@ class _Page:
         if name in BLOCK or name in HOLDERS or name in NEVER or (attributes and name in ("span", "a", "label", "b", "i", "em", "small", "strong", "section", "ins")):
             self.count += 1
             out = self.outside() or _outside(name, attributes, self.inside("article", "main"))
+            if out and not self.outside():
+                self.mixed.update(number for _, number, _ in self.stack)
+            elif name in ("article", "main") and not out:
+                self.articles[self.count] = name
             self.stack.append((name, self.count, out))
 
     def end(self, name: str) -> None:
@@ -155,8 +163,8 @@ class _Page:
         self.pop(name)
 
 
-def lines(html: str) -> list[Line]:
-    """Lines of a page that aren't in parts outside its text."""
+def read(html: str) -> _Page:
+    """A page with its lines that aren't in parts outside its text."""
     page, at, end = _Page(), 0, len(html)
     while at < end:
         opened = html.find("<", at)
@@ -193,7 +201,7 @@ def lines(html: str) -> list[Line]:
         else:
             page.start(name, tag[3])
     page.flush()
-    return page.lines
+    return page
 
 
 def runs(weights: list[int]) -> list[tuple[int, int]]:
@@ -215,10 +223,23 @@ def runs(weights: list[int]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out if b > a]
 
 
+def widened(page: _Page, holder: tuple[int, ...]) -> tuple[int, ...]:
+    """The path of the innermost article around `holder`, else of the main element, else of
+    the highest element around it that has no part outside the text."""
+    for kind in ("article", "main"):
+        for n in range(len(holder), 0, -1):
+            if page.articles.get(holder[n - 1]) == kind:
+                return holder[:n]
+    while len(holder) > 1 and holder[-2] not in page.mixed:
+        holder = holder[:-1]
+    return holder
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, white space collapsed, joined by line feeds; empty for null,
     empty and text-free pages."""
-    page = lines(html or "")
+    read_page = read(html or "")
+    page = read_page.lines
     found = runs([line.weight for line in page])
     if not found:
         return ""
@@ -230,6 +251,7 @@ def main_text(html: str | None) -> str:
         while same < min(len(holder), len(line.path)) and holder[same] == line.path[same]:
             same += 1
         holder = holder[:same]
+    holder = widened(read_page, holder)
     return "\n".join(line.text for line in page if line.path[: len(holder)] == holder)
 
 

@@ -307,6 +307,16 @@ def test_main_text_of_odd_pages(page, text):
     assert html.main_text(page) == text
 
 
+UNEVEN = "<section><h2>One</h2><p>{}</p></section><section><h2>Two</h2>" + "<p>{}</p>" * 3 + "</section>"
+
+
+@pytest.mark.parametrize("holder", ["article", "main", "div"])
+def test_main_text_keeps_sections_far_shorter_than_the_longest(holder):
+    texts = ["long " * 6_000, *["short " * 30] * 3]
+    page = f"<body><nav>Menu and links</nav><{holder}>{UNEVEN.format(*texts)}</{holder}><footer>Foot</footer></body>"
+    assert html.main_text(page).split("\n") == ["One", texts[0].strip(), "Two", *[t.strip() for t in texts[1:]]]
+
+
 def test_extraction_stands_awkward_rows(spark):
     data = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "<p>" + "long text " * 20_000, 3)]
     table = spark.createDataFrame(data, "page_id long, url string, html string, text int")
