@@ -49,12 +49,17 @@ def fold(doc_id: Column, n: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % n, F.lit(-1)).cast("int")
 
 
+def hash_place(key: str, seed: int) -> tuple[Column, int]:
+    """The place of a row by its key's hash, and the number of places."""
+    span = 1 << 30
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(span)), span
+
+
 def bounded_sample(df: DataFrame, n: int, total: int, seed: int, key: str, *ties: Column | str) -> DataFrame:
     """The `n` rows of `df` first in the order of the key's hash. Of `total` rows (about),
     only those with a hash small enough for twice as many are gathered and sorted, so that
     the gathered part doesn't grow with the table."""
-    span = 1 << 30
-    place = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(span))
+    place, span = hash_place(key, seed)
     if total > 2 * n:
         df = df.filter(place < -(-2 * n * span // total))
     return df.orderBy(place, key, *ties).limit(n)

@@ -3,7 +3,8 @@ n-grams, trained by follow-the-regularised-leader with an elastic net, and calib
 temperature.
 
 Document frequencies cover all training documents. The regression is fitted on a bounded
-sample of them (`SAMPLE_ROWS`, in hash order), of which every fifth sets the temperature.
+sample of them (`SAMPLE_ROWS`, in hash order, and up to `LEAST_ROWS` of each language that
+is rare in it), of which every fifth sets the temperature.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import bounded_sample, code_points, fold, mix, slices, small_batches
+from boxlake.llm.common import bounded_sample, code_points, fold, hash_place, mix, slices, small_batches
 
 ORDERS = (1, 2, 3)
 PLACES = 1 << 14  # hashed n-grams
 SAMPLE_ROWS = 5_000
+LEAST_ROWS = 50  # of each language, if it has as many
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 UNKNOWN = "und"
@@ -152,11 +154,31 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
     return float(np.exp((low + high) / 2))
 
 
+def sample(usable: DataFrame) -> DataFrame:
+    """The rows to learn from: `LEAST_ROWS` of each language that would have fewer in a plain
+    sample (all, if it hasn't as many), and `SAMPLE_ROWS` of the others."""
+    counts = {r.lang: r["count"] for r in usable.groupBy("lang").count().collect()}
+    total = sum(counts.values())
+    rare = {lang: n for lang, n in counts.items() if n * SAMPLE_ROWS < LEAST_ROWS * total or n < LEAST_ROWS}
+    # Rows of one hash are settled by the text, so that reruns and row orders agree.
+    ties = F.xxhash64("text")
+    common = usable if not rare else usable.filter(~F.col("lang").isin(list(rare)))
+    chosen = bounded_sample(common, SAMPLE_ROWS, total - sum(rare.values()), 5, "doc_id", ties)
+    if rare:
+        # Of each language only a hash range for twice as many is gathered.
+        place, span = hash_place("doc_id", 5)
+        bounds = [F.lit(x) for lang, n in rare.items() for x in (lang, -(-2 * LEAST_ROWS * span // n))]
+        few = usable.filter(place < F.create_map(*bounds)[F.col("lang")])
+        number = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id", ties))
+        chosen = chosen.unionByName(few.withColumn("_number", number).filter(F.col("_number") <= LEAST_ROWS).drop("_number"))
+    return chosen
+
+
 def fit(training: DataFrame) -> Model | None:
     """The model of `doc_id, text, lang`; None without a row that has a text with a letter
     and a language."""
     usable = training.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    idf, total = document_frequencies(usable)
+    idf, _ = document_frequencies(usable)
 
     def sparse(batches) -> Iterator[pa.RecordBatch]:
         for piece, texts in _pieces(batches):
@@ -164,22 +186,27 @@ def fit(training: DataFrame) -> Model | None:
             filled = [np.flatnonzero(r).astype(np.int32) for r in x]
             yield pa.RecordBatch.from_arrays(
                 [
+                    piece.column("place"),
+                    piece.column("doc_id"),
+                    piece.column("tie"),
                     piece.column("lang"),
                     pa.array([f.tobytes() for f in filled], pa.binary()),
                     pa.array([r[f].tobytes() for r, f in zip(x, filled)], pa.binary()),
                 ],
-                ["lang", "places", "vals"],
+                ["place", "doc_id", "tie", "lang", "places", "vals"],
             )
 
-    # Rows of one hash are settled by the text, so that reruns and row orders agree.
-    chosen = bounded_sample(usable, SAMPLE_ROWS, total, 5, "doc_id", F.xxhash64("text"))
-    rows = chosen.select("lang", "text").mapInArrow(sparse, "lang string, places binary, vals binary").collect()
+    place, _ = hash_place("doc_id", 5)
+    ordered = sample(usable).select(place.alias("place"), F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("tie"), "lang", "text")
+    schema = "place long, doc_id string, tie long, lang string, places binary, vals binary"
+    rows = sorted(ordered.mapInArrow(sparse, schema).collect(), key=lambda r: (r.place, r.doc_id, r.tie))
     if not rows:
         return None
     labels = sorted({r.lang for r in rows})
     y = np.array([labels.index(r.lang) for r in rows])
     x = [(np.frombuffer(r.places, np.int32), np.frombuffer(r.vals, np.float32)) for r in rows]
     tuned = np.arange(len(x)) % 5 == 4
+    tuned[np.unique(y, return_index=True)[1]] = False  # no language is without a row to learn
     learned = np.flatnonzero(~tuned)
     weights, bias = train([x[i] for i in learned], y[learned], len(labels))
     model = Model(idf, labels, weights, bias)

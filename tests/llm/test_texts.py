@@ -112,6 +112,18 @@ def test_language_of_held_out_documents(spark):
     assert all(0 <= s <= 1 for *_, s in out)
 
 
+def test_language_learns_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 100)
+    rnd = random.Random(7)
+    kinds = {"xx": "ingthe andow rean ofth".split(), "yy": "schei ungde rüber ächt".split(), "zz": "давно вчера тогда".split()}
+    data = []
+    for i in range(3000):
+        k = "zz" if i % 150 == 0 else "xy"[i % 2] * 2
+        data.append((i, " ".join(rnd.choice(kinds[k]) for _ in range(20)), k))
+    out = rows(language.identify(spark.createDataFrame(data, "doc_id long, text string, lang string")), "doc_id", "lang_pred")
+    assert all(p == data[d][2] for d, p in out)
+
+
 def test_language_stands_awkward_rows(spark):
     table = awkward(spark)
     out = {r.doc_id: r for r in language.identify(table).collect()}
