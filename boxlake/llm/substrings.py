@@ -1,11 +1,10 @@
-"""Repeated passages by relative Lempel-Ziv parsing.
+"""Repeated passages by fingerprints of windows of words.
 
 The corpus is its own reference. It is written as blocks of about `BLOCK_BYTES` of text,
 and every start of `window` words in it is indexed by hash in shards spread over the
-cluster. Each document is then factored greedily from the left against all shards: a factor
-begins at a start that also occurs elsewhere and grows word by word while the next one
-does, so that its ends are checked to the word; what no factor covers stays literal.
-Factors of `window` words or more are the repeated passages.
+cluster. Of each document the windows whose hash occurs more than once are flagged, and
+those that meet or overlap are joined, from whatever sources: the repeated passages. There
+is no Lempel-Ziv parse: no longest match is looked for, and words aren't compared one by one.
 
 A block sends each shard one packed list of its different hashes and gets back one bit for
 each: a passage shared by a third of all documents costs a block one entry, and texts cross
@@ -117,7 +116,7 @@ def _settle(rows: pa.Table) -> pa.Table:
 
 
 def factors(known: np.ndarray, window: int) -> list[tuple[int, int]]:
-    """Greedy parse of one text of which `known[i]` tells whether the window at word i
+    """Joined windows of one text of which `known[i]` tells whether the window at word i
     occurs elsewhere: the factors as (first word, word after the last). A factor takes
     every word that its windows reach; factors that meet or overlap are joined."""
     out: list[tuple[int, int]] = []
