@@ -1,4 +1,4 @@
-"""Shared pieces: word splitting, folds, chunking of Arrow batches, numpy hashing."""
+"""Shared pieces: word splitting, folds, ranks, chunking of Arrow batches, numpy hashing."""
 
 from __future__ import annotations
 
@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxlake.session import cut_lineage
+
 # The word pattern of the contracts: runs of anything but space and \t \n \v \f \r.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -157,3 +159,29 @@ def window_hashes(h: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
             out *= BASE
             out += h[j : j + n] ^ salt
     return mix(out)
+
+
+def ranked(df: DataFrame, keys: list[str], order: list[Column], name: str, size: str) -> DataFrame:
+    """`df` with the place of each row in its group (`name`, from 0) and the rows of the group
+    (`size`). Rows are dealt out by ranges of group and order, so one group spreads over many
+    tasks; only one line for each group and range is gathered. Rows that tie in everything
+    are told apart by where they were read, so copies spread too."""
+    seq, at, part, ahead = (unused(df, c) for c in ("_seq", "_at", "_part", "_ahead"))
+    ties = [*[F.col(f"`{k}`") for k in keys], *order, F.col(seq)]
+    spread = df.withColumn(seq, F.monotonically_increasing_id()).repartitionByRange(*ties).sortWithinPartitions(*ties)
+    spread = cut_lineage(spread.drop(seq).withColumn(at, F.monotonically_increasing_id()))
+    spread = spread.withColumn(part, F.shiftrightunsigned(at, 33))
+    runs = spread.groupBy(*[f"`{k}`" for k in keys], part).agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n"))
+    group = Window.partitionBy(*[f"`{k}`" for k in keys])
+    before = F.sum("n").over(group.orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.select(
+        *[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col(part).alias("_p"),
+        (F.coalesce(before, F.lit(0)) - F.col("first")).alias(ahead),
+        F.sum("n").over(group).alias(size),
+    )
+    match = F.col(part) == F.col("_p")
+    for i, k in enumerate(keys):
+        match = match & F.col(f"`{k}`").eqNullSafe(F.col(f"_k{i}"))
+    found = spread.join(runs, match)
+    return found.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(at) + F.col(ahead)).alias(name), size)
