@@ -21,7 +21,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.llm.common import mix, slices, small_batches, window_hashes, word_hashes
@@ -33,7 +33,7 @@ BANDS = HASHES // ROWS
 BATCH = 32
 MISS = 1e-7
 LEAD_ROUNDS = 1
-# In bands of more unjoined groups than this, classes meet by what the centre lacks.
+# In bands of more classes than this, classes meet by what the centre lacks.
 CROWD = 16
 # Pairs for each row of the open bands up to which all are compared at once.
 FEW = 8
@@ -236,26 +236,39 @@ def _residues(size: int, percent: int):
 
 def _around_centres(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links with the centres of crowded bands, and the pairs of their other classes that may
-    be linked. Two classes of which one isn't linked with the centre share something that the
-    centre doesn't have, unless the other is small enough: sharing only what the centre has,
-    x and y have at most |x & centre| in common, which must reach s / (1 + s) (|x| + |y|). So
-    pairs come from an equal element beyond the centre, or from an equal size in that range."""
+    be linked. Sharing only what the centre has, x and y have at most |x & centre| in common,
+    which must reach s / (1 + s) (|x| + |y|), at least s |x|. So they share s |x| - |x & centre|
+    elements beyond the centre, or the other's size lies in the range that needs none. The
+    former meet in the rarest of x's elements beyond the centre, all but that many less one:
+    what many classes have is met only by classes that have little else. Pairs of one group,
+    and those of which both are linked with the centre, aren't needed."""
     centres = _lead_pairs(bands, 0, apart=False)
     for side in "ab":
         centres = centres.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
-    found = cut_lineage(
-        centres.select("a", "b", "ta", "tb").mapInArrow(
-            _residues(size, percent), "a long, b long, n long, linked boolean, low long, high long, own array<bigint>"
-        )
+    found = centres.select("a", "b", "ta", "tb").mapInArrow(
+        _residues(size, percent), "a long, b long, n long, linked boolean, low long, high long, own array<bigint>"
     )
-    parts = found.select("b", F.explode("own").alias("s"), "a", "linked")
-    shared = parts.groupBy("b", "s").agg(F.count(F.lit(1)).alias("n"), F.min("linked").alias("all")).filter("n > 1 and not all")
-    parts = parts.join(shared.select("b", "s"), ["b", "s"])
-    left, right = (parts.select("b", "s", F.col("a").alias(n), F.col("linked").alias(f"l{n}")) for n in ("x", "y"))
-    pairs = left.join(right, ["b", "s"]).filter("x < y and not (lx and ly)").select("x", "y")
+    groups = bands.select(F.col("doc_id").alias("a"), "grp").distinct()
+    found = cut_lineage(found.join(groups, "a"))
+
+    beyond = F.greatest(F.lit(1), F.col("low") - (F.col("n") - F.size("own")))
+    met = found.select("a", "b", "linked", "grp", (F.size("own") - beyond + 1).alias("rarest"), F.size("own").alias("all"), F.explode("own").alias("s"))
+    often = met.groupBy("b", "s").agg(
+        F.count(F.lit(1)).alias("df"), F.min("linked").alias("none"), F.min("grp").alias("g1"), F.max("grp").alias("g2")
+    )
+    met = met.filter("rarest > 0").join(often.filter("df > 1"), ["b", "s"])
+    # elements of one class only are the rarest, and lead nowhere
+    mine = Window.partitionBy("a", "b")
+    alone = F.col("all") - F.count(F.lit(1)).over(mine)
+    met = met.withColumns({"alone": alone, "place": F.row_number().over(mine.orderBy("df", "s"))})
+    met = met.filter("place + alone <= rarest and not none and g1 < g2").select("b", "s", "a", "linked", "grp")
+    met = cut_lineage(met)
+    left, right = (met.select("b", "s", F.col("a").alias(n), F.col("linked").alias(f"l{n}"), F.col("grp").alias(f"g{n}")) for n in ("x", "y"))
+    pairs = left.join(right, ["b", "s"]).filter("x < y and not (lx and ly) and gx <> gy").select("x", "y")
     open_ = found.filter("not linked and high >= low")
-    sized = open_.select("b", F.explode(F.sequence("low", "high")).alias("n"), F.col("a").alias("x"))
-    small = sized.join(found.select("b", "n", F.col("a").alias("y")), ["b", "n"]).filter("x <> y")
+    sized = open_.select("b", F.explode(F.sequence("low", "high")).alias("n"), F.col("a").alias("x"), F.col("grp").alias("gx"))
+    others = found.select("b", "n", F.col("a").alias("y"), F.col("grp").alias("gy"))
+    small = sized.join(others, ["b", "n"]).filter("x <> y and gx <> gy")
     pairs = pairs.union(small.select(F.least("x", "y"), F.greatest("x", "y"))).toDF("a", "b").distinct()
     return found.filter("linked").select("a", "b"), pairs
 
@@ -297,7 +310,7 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         last = turn == LEAD_ROUNDS or turn > 0 and _few_pairs(bands)
         pairs = None if last else _lead_pairs(bands, turn)
         if last:
-            crowded = bands.groupBy("key").agg(F.countDistinct("grp").alias("_n")).filter(F.col("_n") > CROWD)
+            crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWD)
             crowded = cut_lineage(crowded.select("key"))
             central, pairs = _around_centres(bands.join(crowded, "key", "left_semi"), texts, size, percent)
             links = central if links is None else links.unionByName(central)

@@ -175,3 +175,25 @@ def test_passages_stand_awkward_rows(spark):
     assert out[6].n_removed == out[6].n_words
     assert substrings.repeated_passages(awkward(spark).limit(0)).count() == 0
     assert substrings.factors(np.array([1, 0, 0, 1, 1, 0, 0, 0, 0, 1], bool), 3) == [(0, 7), (9, 12)]
+
+
+def test_pairs_of_two_clusters_grow_linearly(spark):
+    """Two clusters of 600 near copies that share a third of their text, so some bands."""
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    shared = [word() for _ in range(130)]
+    bases = [shared + [word() for _ in range(70)] for _ in range(2)]
+    docs = []
+    for i in range(1200):
+        words = list(bases[i % 2])
+        words[rnd.randrange(150, 200)] = word()
+        docs.append(" ".join(words))
+    df = documents(spark, docs)
+    known = neardup.sketches(df, 4)
+    keyed = known.select("doc_id", F.explode(neardup.band_keys(F.col("signature"))).alias("key")).withColumn("grp", F.col("doc_id") % 2)
+    bands = neardup._with_groups(keyed, None)
+    assert bands.count() > 2000
+    linked, pairs = neardup._around_centres(bands, df, 4, 80)
+    assert pairs.count() < 4 * 1200
+    got = {d: c for d, c in rows(neardup.components(df, 4), "doc_id", "component_id")}
+    assert got == {i: i % 2 for i in range(1200)}
