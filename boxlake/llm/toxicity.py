@@ -10,8 +10,9 @@ over its length, which a logistic curve, fitted on labelled documents left out o
 counts, turns into a score.
 
 The models grow with the corpus and stay in Spark: grams and words are tables keyed by
-themselves. The different words of the texts meet them by joins, and each word's evidence
-goes back to the texts by shuffle. Only totals and the curve come to the driver.
+themselves. Texts are packed into blocks that hold each of their words once; a block asks for
+each of its different grams and words once, by joins, and scores its texts with the answers.
+Only totals and the curve come to the driver.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import bounded_sample, fold, small_batches, unused
+from boxlake.llm.common import bounded_sample, fold, slices, small_batches, unused, window_hashes
 from boxlake.session import cut_lineage
 
 ORDER = 5
@@ -36,9 +37,10 @@ ALPHABET = 1 << 16  # of the uniform distribution below the lowest order
 CALIBRATION_ROWS = 20_000
 CUT = 0.7
 FEATURES = 5
+NAMES = [f"f{i}" for i in range(1, FEATURES)]
 STRONG = 1.0
-SUM_CAP = 10.0
 TEXT_AT_ONCE = 500_000  # bytes of text whose words a task holds as arrays
+BLOCK_BYTES = 8_000_000  # of text (or of words) that share a list of different words
 PAD = "\x02"
 END = "\x03"
 
@@ -153,70 +155,159 @@ def gram_ratios(seen: DataFrame, grams: dict[int, DataFrame]) -> DataFrame:
     return below.select(F.col("after").alias("gram"), (F.log(F.col("p_t") + 1e-12) - F.log(F.col("p_o") + 1e-12)).alias("ratio"))
 
 
-# ------------------------------------------------------------------ scores
+# ------------------------------------------------------------------ words in blocks
 
-def _different_words(batches) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text", TEXT_AT_ONCE):
-        vocabulary = split_words(batch.column("text"))[1]
-        yield pa.RecordBatch.from_arrays([vocabulary.filter(pc.not_equal(vocabulary, ""))], ["word"])
+def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write(table)
+    return sink.getvalue().to_pybytes()
 
 
-def _grams_of_words(batches) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "word", TEXT_AT_ONCE):
-        grams, lengths = [], []
-        for word in batch.column("word").to_pylist():
-            padded = PAD * (ORDER - 1) + word + END
-            grams.extend([padded[i : i + ORDER] for i in range(len(word) + 1)])
-            lengths.append(len(word) + 1)
-        owners = batch.column("w").take(pa.array(np.repeat(np.arange(len(lengths)), lengths)))
-        yield pa.RecordBatch.from_arrays([owners, pa.array(grams, pa.string())], ["w", "gram"])
+def _unpacked(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all().combine_chunks()
 
 
-def word_evidence(vocabulary: DataFrame, labelled: DataFrame) -> DataFrame:
-    """`word, whole, parts` of the different words `vocabulary` by the models of `labelled`
-    (`text, toxic`): the evidence of the word as a whole, 0 for one that doesn't point to the
-    toxic class, and of its characters, divided by the square root of its length (with its
-    end), so that neither many common characters nor few rare ones decide alone."""
-    counts = cut_lineage(word_counts(labelled))
-    grams = gram_counts(counts)
-    named = cut_lineage(vocabulary.select("word", F.xxhash64("word").alias("w")))
-    placed = named.select("w", "word").mapInArrow(_grams_of_words, "w long, gram string")
-    ratios = gram_ratios(cut_lineage(placed.select("gram").distinct()), grams)
-    parts = placed.join(_shuffled(ratios), "gram").groupBy("w")
-    parts = parts.agg((F.sum("ratio") / F.sqrt(F.count(F.lit(1)))).alias("parts"))
-    both = named.join(_shuffled(parts), "w").join(_shuffled(known_words(counts)), "word", "left")
-    return cut_lineage(both.select("word", F.coalesce("evidence", F.lit(0.0)).alias("whole"), "parts"))
-
-
-def _words_of_texts(batches) -> Iterator[pa.RecordBatch]:
-    for batch in small_batches(batches, "text", TEXT_AT_ONCE):
-        numbers, vocabulary, rows = split_words(batch.column("text"))
-        if not len(numbers):
-            continue
-        totals = np.bincount(rows, minlength=batch.num_rows)
-        pairs, n = np.unique(rows.astype(np.int64) * len(vocabulary) + numbers, return_counts=True)
-        rows, numbers = np.divmod(pairs, len(vocabulary))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("h").take(pa.array(rows)), vocabulary.take(pa.array(numbers)), pa.array(n), pa.array(totals[rows])],
-            ["h", "word", "n", "n_words"],
-        )
+def _grams_of(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The words with their padding in one text, where each of their different grams first
+    begins, the number of the gram at each character, and the characters of each word."""
+    joined = "".join([PAD * (ORDER - 1) + word + END for word in words])
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    lengths = np.array([len(word) + 1 for word in words], dtype=np.int64)
+    at = np.arange(lengths.sum()) + np.repeat(np.arange(len(words)) * (ORDER - 1), lengths)
+    _, first, number = np.unique(window_hashes(codes, ORDER)[at], return_index=True, return_inverse=True)
+    return joined, at[first], number, lengths
 
 
-def text_features(texts: DataFrame, evidence: DataFrame) -> DataFrame:
-    """For each different text with words (`h, text`): the strongest evidence of a word
-    (f1), the sum of that over `STRONG`, at most `SUM_CAP` (f2), the strongest of a word's
-    characters (f3), and the characters' mean over the words (f4). Copies of a text add the
-    same to sums and counts, so they don't change it."""
-    found = texts.mapInArrow(_words_of_texts, "h long, word string, n long, n_words long")
-    n, strong = F.sum("n"), F.when(F.col("whole") > STRONG, F.col("whole")).otherwise(0.0)
-    return found.join(_shuffled(evidence), "word").groupBy("h").agg(
-        F.max("whole").alias("f1"),
-        F.least(F.sum(F.col("n") * strong) / n * F.max("n_words"), F.lit(SUM_CAP)).alias("f2"),
-        F.max("parts").alias("f3"),
-        (F.sum(F.col("n") * F.col("parts")) / n).alias("f4"),
-    )
+def _ask_grams(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, payload in zip(batch.column("block").to_pylist(), batch.column("words")):
+            joined, first, _, _ = _grams_of(_unpacked(payload.as_py())["word"].to_pylist())
+            grams = pa.array([joined[i : i + ORDER] for i in first.tolist()], pa.string())
+            n = len(grams)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), grams], ["block", "i", "gram"])
+
+
+def _ask_words(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, payload in zip(batch.column("block").to_pylist(), batch.column("words")):
+            words = _unpacked(payload.as_py())["word"].combine_chunks()
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), words], ["block", "i", "word"])
+
+
+def _answered(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """`blocks` (`block, words, ...`) with `ratios` and `wholes`, lists of `i, v`: the ratio of
+    the block's i-th different gram, and the evidence of its i-th word if it has any. A block
+    asks for each of its grams and words once, however often they come up in it."""
+    asked = cut_lineage(blocks.select("block", "words").mapInArrow(_ask_grams, "block long, i int, gram string"))
+    ratios = gram_ratios(cut_lineage(asked.select("gram").distinct()), gram_counts(counts))
+    told = asked.join(ratios.hint("shuffle_hash"), "gram").groupBy("block")
+    told = told.agg(F.collect_list(F.struct("i", F.col("ratio").cast("float").alias("v"))).alias("ratios"))
+    words = blocks.select("block", "words").mapInArrow(_ask_words, "block long, i int, word string")
+    known = words.join(known_words(counts).hint("shuffle_hash"), "word").groupBy("block")
+    known = known.agg(F.collect_list(F.struct("i", F.col("evidence").alias("v"))).alias("wholes"))
+    return blocks.join(_shuffled(told), "block", "left").join(_shuffled(known), "block", "left")
+
+
+def _of_words(words: list[str], ratios: pa.ListScalar, wholes: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+    """The evidence of each word as a whole and of its characters, the latter divided by the
+    root of their number, so that neither many common characters nor few rare ones decide
+    alone. A word that doesn't point to the toxic class has 0 as a whole."""
+    _, first, number, lengths = _grams_of(words)
+    values = []
+    for n, told in ((len(first), ratios), (len(words), wholes)):
+        value = np.zeros(n)
+        if told.is_valid:
+            value[np.asarray(told.values.field("i"))] = np.asarray(told.values.field("v"))
+        values.append(value)
+    parts = np.add.reduceat(values[0][number], np.cumsum(lengths) - lengths) / np.sqrt(lengths) if words else np.zeros(0)
+    return values[1], parts
 
 
+def _pack_vocabulary(batches) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "word", BLOCK_BYTES):
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(batch.select(["word"]))], pa.binary())], ["words"])
+
+
+def _unpack_vocabulary(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for payload, ratios, wholes in zip(*(batch.column(c) for c in ("words", "ratios", "wholes"))):
+            words = _unpacked(payload.as_py())["word"].combine_chunks()
+            whole, parts = _of_words(words.to_pylist(), ratios, wholes)
+            yield pa.RecordBatch.from_arrays([words, pa.array(whole), pa.array(parts)], ["word", "whole", "parts"])
+
+
+def word_evidence(vocabulary: DataFrame, labelled: DataFrame) -> DataFrame:
+    """`word, whole, parts` of the words `vocabulary` by the models of `labelled` (`text,
+    toxic`): see `_of_words`."""
+    blocks = vocabulary.select("word").mapInArrow(_pack_vocabulary, "words binary")
+    blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
+    told = _answered(blocks, cut_lineage(word_counts(labelled))).select("words", "ratios", "wholes")
+    return told.mapInArrow(_unpack_vocabulary, "word string, whole double, parts double")
+
+
+# ------------------------------------------------------------------ texts
+
+def _pack_texts(batches) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches, "text", BLOCK_BYTES):
+        counted, vocabulary, rows = [], pa.array([], pa.string()), []
+        lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
+        for part in slices(lengths, TEXT_AT_ONCE):  # words as arrays are many times their text
+            numbers, words, at = split_words(batch.column("text").slice(part.start, part.stop - part.start))
+            pairs, n = np.unique(at.astype(np.int64) * max(1, len(words)) + numbers, return_counts=True)
+            at, numbers = np.divmod(pairs, max(1, len(words)))
+            used, numbers = np.unique(numbers, return_inverse=True)
+            counted.append(words.take(pa.array(used)))
+            rows.append((at + part.start, numbers, n))
+        coded = pa.chunked_array(counted, pa.string()).dictionary_encode().combine_chunks() if counted else None
+        if coded is not None:
+            vocabulary = coded.dictionary
+            back, start, found = np.asarray(coded.indices), 0, []
+            for words, (at, numbers, n) in zip(counted, rows):
+                found.append((at, back[start + numbers], n))
+                start += len(words)
+            rows = found
+        row, word, n = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3))
+        pairs = pa.table({"row": row.astype(np.int32), "word": word.astype(np.int32), "n": n.astype(np.int32)})
+        parts = [pa.table({"word": vocabulary}), pairs, batch.select(["doc_id", "h"])]
+        yield pa.RecordBatch.from_arrays([pa.array([_packed(p)], pa.binary()) for p in parts], ["words", "pairs", "rows"])
+
+
+def _features(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            words, pairs, rows, ratios, wholes = (batch.column(c)[i] for c in ("words", "pairs", "rows", "ratios", "wholes"))
+            whole, parts = _of_words(_unpacked(words.as_py())["word"].to_pylist(), ratios, wholes)
+            rows, pairs = _unpacked(rows.as_py()), _unpacked(pairs.as_py())
+            row, word, n = (np.asarray(pairs[c]) for c in ("row", "word", "n"))
+            first = np.flatnonzero(np.diff(row, prepend=-1))  # pairs are in order of their rows
+            values = np.zeros((FEATURES - 1, rows.num_rows))
+            if len(first):
+                at, whole, parts = row[first], whole[word], parts[word]
+                values[0, at] = np.maximum.reduceat(whole, first)
+                values[1, at] = np.log1p(np.add.reduceat(n * np.where(whole > STRONG, whole, 0.0), first))
+                values[2, at] = np.maximum.reduceat(parts, first)
+                values[3, at] = np.add.reduceat(n * parts, first) / np.add.reduceat(n, first)
+            yield pa.RecordBatch.from_arrays(
+                [*(rows[c].combine_chunks() for c in ("doc_id", "h")), *map(pa.array, values)], ["doc_id", "h", *NAMES]
+            )
+
+
+def text_features(docs: DataFrame, counts: DataFrame) -> DataFrame:
+    """For each row of `docs` (`doc_id, h, text`): `doc_id, h`, the strongest evidence of a word
+    (f1), the logarithm of 1 + the sum of that over `STRONG` (f2), the strongest of a word's
+    characters (f3), and the characters' mean over the words (f4); all 0 without words. Texts
+    are packed into blocks, each with its different words once; only these blocks and the
+    answers to what they ask are shuffled."""
+    packed = docs.select("doc_id", "h", "text").mapInArrow(_pack_texts, "words binary, pairs binary, rows binary")
+    blocks = cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
+    told = _answered(blocks, counts).select("words", "pairs", "rows", "ratios", "wholes")
+    return cut_lineage(told.mapInArrow(_features, f"doc_id long, h long, {', '.join(f'{c} double' for c in NAMES)}"))
+
+
+# ------------------------------------------------------------------ scores
+
 def fit_curve(features: np.ndarray, toxic: np.ndarray, steps: int = 50, ridge: float = 1e-2) -> np.ndarray:
     """Logistic regression by Newton's method."""
     w = np.zeros(features.shape[1])
@@ -245,47 +336,32 @@ def _hash(text: str = "text") -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def scores(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
-    """`h, score` of the different texts with words of `docs` by their hash, score in 0 to 1,
-    and the score of a text without words. Documents whose crc32(doc_id) mod 7 is 0 are left
-    out of the counts and fit the curve. Without rows of both classes there is no curve and
-    every text scores 0."""
+def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """`doc_id, h, score` for each row of `docs`: its id, the hash of its text, and the score
+    in 0 to 1. Documents whose crc32(doc_id) mod 7 is 0 are left out of the counts and fit the
+    curve. Without rows of both classes there is no curve and every text scores 0."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("h"), "text")
     labelled = training_rows(docs, labels)
     left_out = fold(F.col("doc_id"), 7) == 0
     usable = labels.filter(left_out & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
     chosen = bounded_sample(labelled.filter(left_out), CALIBRATION_ROWS, usable.count(), 1, "doc_id", F.xxhash64("text"))
     chosen = cut_lineage(chosen.select(_hash().alias("h"), F.col("toxic").cast("int").alias("toxic")))
-    none = docs.sparkSession.createDataFrame([], "h long, score double")
     if chosen.select("toxic").distinct().count() < 2:
-        return none, 0.0
-    texts = docs.select(_hash().alias("h"), "text")
-    vocabulary = texts.select("text").mapInArrow(_different_words, "word string").distinct()
-    evidence = word_evidence(vocabulary, labelled.filter(~left_out))
-    features = cut_lineage(text_features(texts, evidence))
-    names = [f"f{i}" for i in range(1, FEATURES)]
-    rows = chosen.join(_shuffled(features), "h", "left").fillna(0.0, names).select("toxic", *names).toArrow()
-    x = np.column_stack([np.ones(rows.num_rows), *[np.asarray(rows[c]) for c in names]])
+        return docs.select("doc_id", "h", F.lit(0.0).alias("score"))
+    features = text_features(docs, cut_lineage(word_counts(labelled.filter(~left_out))))
+    once = features.join(chosen.select("h").distinct(), "h", "left_semi").groupBy("h").agg(*[F.first(c).alias(c) for c in NAMES])
+    rows = chosen.join(once, "h").select("toxic", *NAMES).toArrow()
+    x = np.column_stack([np.ones(rows.num_rows), *[np.asarray(rows[c]) for c in NAMES]])
     curve = fit_curve(x, np.asarray(rows["toxic"]).astype(float)).tolist()
-    z = sum((F.col(c) * w for c, w in zip(names, curve[1:])), F.lit(curve[0]))
-    score = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))
-    return features.select("h", score.alias("score")), float(1 / (1 + np.exp(-np.clip(curve[0], -30, 30))))
-
-
-def add_score(docs: DataFrame, labels: DataFrame, *columns: str, name: str = "score") -> DataFrame:
-    """`columns` of `docs` (all of them by default) and a column `name`, in 0 to 1. Rows stay
-    as they are: repeated rows score alike."""
-    found, empty = scores(docs, labels)
-    h = unused(docs, "_h")
-    found = found.select(F.col("h").alias(h), F.col("score").alias(name))
-    kept = [f"`{c}`" for c in columns or docs.columns]
-    rows = docs.select(*kept, _hash().alias(h)).join(_shuffled(found), h, "left")
-    return rows.select(*kept, F.coalesce(F.col(name), F.lit(empty)).alias(name))
+    z = sum((F.col(c) * w for c, w in zip(NAMES, curve[1:])), F.lit(curve[0]))
+    return features.select("doc_id", "h", (1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), z))))).alias("score"))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`doc_id, held_out, score, predicted` for every row of `docs`."""
-    scored = add_score(docs, labels, "doc_id")
-    return scored.select(
+    """`doc_id, held_out, score, predicted` for every row of `docs` (`doc_id, text`; other
+    columns don't count). Null and empty texts score alike, as texts without words; long texts
+    count whole; repeated rows score alike, each in a row of its own."""
+    return scores(docs, labels).select(
         "doc_id",
         (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
         "score",
@@ -295,5 +371,6 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """`docs` without the rows predicted toxic; all columns as they are."""
-    name = unused(docs, "toxicity_score")
-    return add_score(docs, labels, name=name).filter(F.col(name) < CUT).drop(name)
+    h = unused(docs, "_h")
+    toxic = cut_lineage(scores(docs, labels).filter(F.col("score") >= CUT).select(F.col("h").alias(h)).distinct())
+    return docs.withColumn(h, _hash()).join(toxic, h, "left_anti").select(*[f"`{c}`" for c in docs.columns])
