@@ -17,6 +17,7 @@ Only totals and the curve come to the driver.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,8 @@ FEATURES = 5
 NAMES = [f"f{i}" for i in range(1, FEATURES)]
 STRONG = 1.0
 TEXT_AT_ONCE = 500_000  # bytes of text whose words a task holds as arrays
+# Different words, counted by block, for each shard that answers what blocks ask.
+SHARD_WORDS = 250_000
 BLOCK_BYTES = 8_000_000  # of text (or of words) that share a list of different words
 PAD = "\x02"
 END = "\x03"
@@ -179,72 +182,121 @@ def _grams_of(words: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray
     return joined, at[first], number, lengths
 
 
-def _ask_grams(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, payload in zip(batch.column("block").to_pylist(), batch.column("words")):
-            joined, first, _, _ = _grams_of(_unpacked(payload.as_py())["word"].to_pylist())
-            grams = pa.array([joined[i : i + ORDER] for i in first.tolist()], pa.string())
-            n = len(grams)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), grams], ["block", "i", "gram"])
-
-
-def _ask_words(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for block, payload in zip(batch.column("block").to_pylist(), batch.column("words")):
-            words = _unpacked(payload.as_py())["word"].combine_chunks()
-            n = len(words)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), words], ["block", "i", "word"])
-
-
-def _answered(blocks: DataFrame, counts: DataFrame) -> DataFrame:
-    """`blocks` (`block, words, ...`) with `ratios` and `wholes`, lists of `i, v`: the ratio of
-    the block's i-th different gram, and the evidence of its i-th word if it has any. A block
-    asks for each of its grams and words once, however often they come up in it."""
-    asked = cut_lineage(blocks.select("block", "words").mapInArrow(_ask_grams, "block long, i int, gram string"))
-    ratios = gram_ratios(cut_lineage(asked.select("gram").distinct()), gram_counts(counts))
-    told = asked.join(ratios.hint("shuffle_hash"), "gram").groupBy("block")
-    told = told.agg(F.collect_list(F.struct("i", F.col("ratio").cast("float").alias("v"))).alias("ratios"))
-    words = blocks.select("block", "words").mapInArrow(_ask_words, "block long, i int, word string")
-    known = words.join(known_words(counts).hint("shuffle_hash"), "word").groupBy("block")
-    known = known.agg(F.collect_list(F.struct("i", F.col("evidence").alias("v"))).alias("wholes"))
-    return blocks.join(_shuffled(told), "block", "left").join(_shuffled(known), "block", "left")
-
-
-def _of_words(words: list[str], ratios: pa.ListScalar, wholes: pa.ListScalar) -> tuple[np.ndarray, np.ndarray]:
+def _shards(strings: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings' places in order of their shards, and where each shard begins."""
+    of = np.fromiter((zlib.crc32(s.encode()) for s in strings), np.int64, len(strings)) % n
+    order = np.argsort(of, kind="stable")
+    return order, np.searchsorted(of[order], np.arange(n + 1))
+
+
+def _asked_of(words: list[str], kind: str) -> list[str]:
+    if kind == "word":
+        return words
+    joined, first, _, _ = _grams_of(words)
+    return [joined[i : i + ORDER] for i in first.tolist()]
+
+
+def _ask(kind: str, shards: int):
+    def ask(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column("block").to_pylist(), batch.column("words")):
+                keys = _asked_of(_unpacked(payload.as_py())["word"].to_pylist(), kind)
+                order, bounds = _shards(keys, shards)
+                sorted_ = pa.array(keys, pa.string()).take(pa.array(order))
+                full = np.flatnonzero(np.diff(bounds))
+                lists = [_packed(pa.table({"key": sorted_.slice(bounds[s], bounds[s + 1] - bounds[s])})) for s in full]
+                n = len(full)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(full.astype(np.int64)), pa.array([block] * n, pa.int64()), pa.array(lists, pa.binary())], ["shard", "block", "keys"]
+                )
+
+    return ask
+
+
+def _different(rows: pa.Table) -> pa.Table:
+    """The different keys that the blocks ask one shard for."""
+    lists = [_unpacked(k.as_py())["key"] for k in rows["keys"]]
+    return pa.table({"gram": pa.chunked_array([c for column in lists for c in column.chunks], pa.string()).unique()})
+
+
+def _tell(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """One shard: for each block the values of its keys, in the order asked; 0 where unknown."""
+    index = known["key"].combine_chunks()
+    values = np.append(np.asarray(known["v"], dtype=np.float32), np.float32(0))
+    told = []
+    for keys in asked["keys"]:
+        found = pc.fill_null(pc.index_in(_unpacked(keys.as_py())["key"].combine_chunks(), index), len(values) - 1)
+        told.append(_packed(pa.table({"v": values[np.asarray(found)]})))
+    return pa.table({"block": asked["block"], "shard": asked["shard"], "values": pa.array(told, pa.binary())})
+
+
+def _answers(asked: DataFrame, known: DataFrame, shards: int, kind: str) -> DataFrame:
+    """`block, kind, shard, values` from what blocks ask and `key, v`."""
+    shard = (F.crc32(F.col("key").cast("binary")) % shards).alias("shard")
+    told = asked.groupBy("shard").cogroup(known.select(shard, "key", "v").groupBy("shard"))
+    told = told.applyInArrow(lambda a, k: _tell(a, k), "block long, shard long, values binary")
+    return told.select("block", F.lit(kind).alias("kind"), "shard", "values")
+
+
+def _answered(blocks: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
+    """`blocks` (`block, n_words, words, ...`) with `answers`, a list of `kind, shard, values`, and
+    the number of shards. A block sends each shard one packed list of its different grams
+    (words) and gets one of their ratios (evidence) back."""
+    shards = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS))
+    schema = "shard long, block long, keys binary"
+    grams = cut_lineage(blocks.select("block", "words").mapInArrow(_ask("gram", shards), schema))
+    seen = grams.groupBy("shard").applyInArrow(lambda rows: _different(rows), "gram string")
+    ratios = gram_ratios(cut_lineage(seen), gram_counts(counts))
+    words = blocks.select("block", "words").mapInArrow(_ask("word", shards), schema)
+    told = _answers(grams, ratios.select(F.col("gram").alias("key"), F.col("ratio").alias("v")), shards, "gram")
+    told = told.unionByName(_answers(words, known_words(counts).select(F.col("word").alias("key"), F.col("evidence").alias("v")), shards, "word"))
+    told = told.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "values")).alias("answers"))
+    return blocks.join(_shuffled(told), "block", "left"), shards
+
+
+def _of_words(words: list[str], answers: list[dict] | None, shards: int) -> tuple[np.ndarray, np.ndarray]:
     """The evidence of each word as a whole and of its characters, the latter divided by the
     root of their number, so that neither many common characters nor few rare ones decide
     alone. A word that doesn't point to the toxic class has 0 as a whole."""
-    _, first, number, lengths = _grams_of(words)
-    values = []
-    for n, told in ((len(first), ratios), (len(words), wholes)):
-        value = np.zeros(n)
-        if told.is_valid:
-            value[np.asarray(told.values.field("i"))] = np.asarray(told.values.field("v"))
-        values.append(value)
-    parts = np.add.reduceat(values[0][number], np.cumsum(lengths) - lengths) / np.sqrt(lengths) if words else np.zeros(0)
-    return values[1], parts
+    values = {}
+    for kind in ("gram", "word"):
+        keys = _asked_of(words, kind)
+        order, bounds = _shards(keys, shards)
+        values[kind] = np.zeros(len(keys))
+        for told in answers or []:
+            if told["kind"] == kind:
+                at = order[bounds[told["shard"]] : bounds[told["shard"] + 1]]
+                values[kind][at] = np.asarray(_unpacked(told["values"])["v"])
+    if not words:
+        return np.zeros(0), np.zeros(0)
+    _, _, number, lengths = _grams_of(words)
+    sums = np.add.reduceat(values["gram"][number], np.cumsum(lengths) - lengths)
+    return values["word"], sums / np.sqrt(lengths)
 
 
 def _pack_vocabulary(batches) -> Iterator[pa.RecordBatch]:
     for batch in small_batches(batches, "word", BLOCK_BYTES):
-        yield pa.RecordBatch.from_arrays([pa.array([_packed(batch.select(["word"]))], pa.binary())], ["words"])
+        yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([_packed(batch.select(["word"]))], pa.binary())], ["n_words", "words"])
+
 
+def _unpack_vocabulary(shards: int):
+    def unpack(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload, answers in zip(batch.column("words"), batch.column("answers")):
+                words = _unpacked(payload.as_py())["word"].combine_chunks()
+                whole, parts = _of_words(words.to_pylist(), answers.as_py(), shards)
+                yield pa.RecordBatch.from_arrays([words, pa.array(whole), pa.array(parts)], ["word", "whole", "parts"])
 
-def _unpack_vocabulary(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for payload, ratios, wholes in zip(*(batch.column(c) for c in ("words", "ratios", "wholes"))):
-            words = _unpacked(payload.as_py())["word"].combine_chunks()
-            whole, parts = _of_words(words.to_pylist(), ratios, wholes)
-            yield pa.RecordBatch.from_arrays([words, pa.array(whole), pa.array(parts)], ["word", "whole", "parts"])
+    return unpack
 
 
 def word_evidence(vocabulary: DataFrame, labelled: DataFrame) -> DataFrame:
     """`word, whole, parts` of the words `vocabulary` by the models of `labelled` (`text,
     toxic`): see `_of_words`."""
-    blocks = vocabulary.select("word").mapInArrow(_pack_vocabulary, "words binary")
+    blocks = vocabulary.select("word").mapInArrow(_pack_vocabulary, "n_words long, words binary")
     blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
-    told = _answered(blocks, cut_lineage(word_counts(labelled))).select("words", "ratios", "wholes")
-    return told.mapInArrow(_unpack_vocabulary, "word string, whole double, parts double")
+    told, shards = _answered(blocks, cut_lineage(word_counts(labelled)))
+    return told.select("words", "answers").mapInArrow(_unpack_vocabulary(shards), "word string, whole double, parts double")
 
 
 # ------------------------------------------------------------------ texts
@@ -271,27 +323,31 @@ def _pack_texts(batches) -> Iterator[pa.RecordBatch]:
         row, word, n = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3))
         pairs = pa.table({"row": row.astype(np.int32), "word": word.astype(np.int32), "n": n.astype(np.int32)})
         parts = [pa.table({"word": vocabulary}), pairs, batch.select(["doc_id", "h"])]
-        yield pa.RecordBatch.from_arrays([pa.array([_packed(p)], pa.binary()) for p in parts], ["words", "pairs", "rows"])
-
-
-def _features(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            words, pairs, rows, ratios, wholes = (batch.column(c)[i] for c in ("words", "pairs", "rows", "ratios", "wholes"))
-            whole, parts = _of_words(_unpacked(words.as_py())["word"].to_pylist(), ratios, wholes)
-            rows, pairs = _unpacked(rows.as_py()), _unpacked(pairs.as_py())
-            row, word, n = (np.asarray(pairs[c]) for c in ("row", "word", "n"))
-            first = np.flatnonzero(np.diff(row, prepend=-1))  # pairs are in order of their rows
-            values = np.zeros((FEATURES - 1, rows.num_rows))
-            if len(first):
-                at, whole, parts = row[first], whole[word], parts[word]
-                values[0, at] = np.maximum.reduceat(whole, first)
-                values[1, at] = np.log1p(np.add.reduceat(n * np.where(whole > STRONG, whole, 0.0), first))
-                values[2, at] = np.maximum.reduceat(parts, first)
-                values[3, at] = np.add.reduceat(n * parts, first) / np.add.reduceat(n, first)
-            yield pa.RecordBatch.from_arrays(
-                [*(rows[c].combine_chunks() for c in ("doc_id", "h")), *map(pa.array, values)], ["doc_id", "h", *NAMES]
-            )
+        packed = [pa.array([_packed(p)], pa.binary()) for p in parts]
+        yield pa.RecordBatch.from_arrays([pa.array([len(vocabulary)]), *packed], ["n_words", "words", "pairs", "rows"])
+
+
+def _features(shards: int):
+    def features(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                words, pairs, rows, answers = (batch.column(c)[i] for c in ("words", "pairs", "rows", "answers"))
+                whole, parts = _of_words(_unpacked(words.as_py())["word"].to_pylist(), answers.as_py(), shards)
+                rows, pairs = _unpacked(rows.as_py()), _unpacked(pairs.as_py())
+                row, word, n = (np.asarray(pairs[c]) for c in ("row", "word", "n"))
+                first = np.flatnonzero(np.diff(row, prepend=-1))  # pairs are in order of their rows
+                values = np.zeros((FEATURES - 1, rows.num_rows))
+                if len(first):
+                    at, whole, parts = row[first], whole[word], parts[word]
+                    values[0, at] = np.maximum.reduceat(whole, first)
+                    values[1, at] = np.log1p(np.add.reduceat(n * np.where(whole > STRONG, whole, 0.0), first))
+                    values[2, at] = np.maximum.reduceat(parts, first)
+                    values[3, at] = np.add.reduceat(n * parts, first) / np.add.reduceat(n, first)
+                yield pa.RecordBatch.from_arrays(
+                    [*(rows[c].combine_chunks() for c in ("doc_id", "h")), *map(pa.array, values)], ["doc_id", "h", *NAMES]
+                )
+
+    return features
 
 
 def text_features(docs: DataFrame, counts: DataFrame) -> DataFrame:
@@ -300,10 +356,11 @@ def text_features(docs: DataFrame, counts: DataFrame) -> DataFrame:
     characters (f3), and the characters' mean over the words (f4); all 0 without words. Texts
     are packed into blocks, each with its different words once; only these blocks and the
     answers to what they ask are shuffled."""
-    packed = docs.select("doc_id", "h", "text").mapInArrow(_pack_texts, "words binary, pairs binary, rows binary")
+    packed = docs.select("doc_id", "h", "text").mapInArrow(_pack_texts, "n_words long, words binary, pairs binary, rows binary")
     blocks = cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
-    told = _answered(blocks, counts).select("words", "pairs", "rows", "ratios", "wholes")
-    return cut_lineage(told.mapInArrow(_features, f"doc_id long, h long, {', '.join(f'{c} double' for c in NAMES)}"))
+    told, shards = _answered(blocks, counts)
+    told = told.select("words", "pairs", "rows", "answers")
+    return cut_lineage(told.mapInArrow(_features(shards), f"doc_id long, h long, {', '.join(f'{c} double' for c in NAMES)}"))
 
 
 # ------------------------------------------------------------------ scores
