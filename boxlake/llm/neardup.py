@@ -248,26 +248,35 @@ def _around_centres(bands: DataFrame, texts: DataFrame, size: int, percent: int)
     found = centres.select("a", "b", "ta", "tb").mapInArrow(
         _residues(size, percent), "a long, b long, n long, linked boolean, low long, high long, own array<bigint>"
     )
-    groups = bands.select(F.col("doc_id").alias("a"), "grp").distinct()
-    found = cut_lineage(found.join(groups, "a"))
-
-    beyond = F.greatest(F.lit(1), F.col("low") - (F.col("n") - F.size("own")))
-    met = found.select("a", "b", "linked", "grp", (F.size("own") - beyond + 1).alias("rarest"), F.size("own").alias("all"), F.explode("own").alias("s"))
-    often = met.groupBy("b", "s").agg(
-        F.count(F.lit(1)).alias("df"), F.min("linked").alias("none"), F.min("grp").alias("g1"), F.max("grp").alias("g2")
+    found = cut_lineage(found)
+
+    # Each class once: what it has beyond any of its centres, the least it must share of that,
+    # and its group, that of a centre it is linked with if there is one.
+    groups = bands.select("doc_id", "grp").distinct()
+    classes = found.groupBy("a").agg(
+        F.array_distinct(F.flatten(F.collect_list("own"))).alias("own"),
+        F.greatest(F.lit(1), F.min(F.col("low") - (F.col("n") - F.size("own")))).alias("beyond"),
+        F.min(F.when(F.col("linked"), F.col("b"))).alias("_c"),
     )
-    met = met.filter("rarest > 0").join(often.filter("df > 1"), ["b", "s"])
+    classes = classes.join(groups.select(F.col("doc_id").alias("a"), "grp"), "a")
+    classes = classes.join(groups.select(F.col("doc_id").alias("_c"), F.col("grp").alias("_g")), "_c", "left")
+    classes = cut_lineage(classes.select("a", "own", "beyond", F.coalesce("_g", "grp").alias("grp")))
+
+    rarest = (F.size("own") - F.col("beyond") + 1).alias("rarest")
+    met = classes.select("a", "grp", rarest, F.size("own").alias("all"), F.explode("own").alias("s")).filter("rarest > 0")
+    often = met.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("grp").alias("g1"), F.max("grp").alias("g2"))
+    met = met.join(often.filter("df > 1"), "s")
     # elements of one class only are the rarest, and lead nowhere
-    mine = Window.partitionBy("a", "b")
+    mine = Window.partitionBy("a")
     alone = F.col("all") - F.count(F.lit(1)).over(mine)
     met = met.withColumns({"alone": alone, "place": F.row_number().over(mine.orderBy("df", "s"))})
-    met = met.filter("place + alone <= rarest and not none and g1 < g2").select("b", "s", "a", "linked", "grp")
-    met = cut_lineage(met)
-    left, right = (met.select("b", "s", F.col("a").alias(n), F.col("linked").alias(f"l{n}"), F.col("grp").alias(f"g{n}")) for n in ("x", "y"))
-    pairs = left.join(right, ["b", "s"]).filter("x < y and not (lx and ly) and gx <> gy").select("x", "y")
-    open_ = found.filter("not linked and high >= low")
-    sized = open_.select("b", F.explode(F.sequence("low", "high")).alias("n"), F.col("a").alias("x"), F.col("grp").alias("gx"))
-    others = found.select("b", "n", F.col("a").alias("y"), F.col("grp").alias("gy"))
+    met = cut_lineage(met.filter("place + alone <= rarest and g1 < g2").select("s", "a", "grp"))
+    left, right = (met.select("s", F.col("a").alias(n), F.col("grp").alias(f"g{n}")) for n in ("x", "y"))
+    pairs = left.join(right, "s").filter("x < y and gx <> gy").select("x", "y")
+    sizes = found.filter("not linked and high >= low").select("a", "b", "low", "high")
+    grp = classes.select("a", "grp")
+    sized = sizes.join(grp, "a").select("b", F.explode(F.sequence("low", "high")).alias("n"), F.col("a").alias("x"), F.col("grp").alias("gx"))
+    others = found.join(grp, "a").select("b", "n", F.col("a").alias("y"), F.col("grp").alias("gy"))
     small = sized.join(others, ["b", "n"]).filter("x <> y and gx <> gy")
     pairs = pairs.union(small.select(F.least("x", "y"), F.greatest("x", "y"))).toDF("a", "b").distinct()
     return found.filter("linked").select("a", "b"), pairs
