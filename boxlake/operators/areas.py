@@ -11,6 +11,9 @@ from boxlake.functions import geometry as G
 from boxlake.functions import text as T
 from boxlake.operators.ranking import HOT_GROUP, numbered
 
+# Texts of one row of the tag list.
+PART_TEXTS = 10_000
+
 # Area type by symbol class; other classes are "symbol".
 AREA_TYPES = {
     "resistor": "component",
@@ -106,17 +109,19 @@ def area_groups(rows: DataFrame, by_page: bool = True) -> DataFrame:
     )
 
 
-def tag_rows(rows: DataFrame, by_page: bool = True, alphanumeric: bool = True) -> DataFrame:
-    """One row per tag area, however many texts it has: its texts joined by spaces from top
-    to bottom, and the box around them."""
+def tag_rows(rows: DataFrame, by_page: bool = True, alphanumeric: bool = True, part_texts: int = PART_TEXTS) -> DataFrame:
+    """Tag areas as rows: the texts joined by spaces from top to bottom, and the box around
+    them. An area's texts are cut every `part_texts`, whatever its size: one of more texts
+    comes as several rows, each with its own box, in the order of their boxes' tops."""
     keys = _keys(by_page)
     tags = rows.filter(F.col("area_id").startswith(TAG_AREA))
     place = [F.col("y"), F.col("x"), *_order(alphanumeric)]
-    named = [c.alias(f"k{i}") for i, c in enumerate(place)]
+    kept = ["page", "x", "y", "width", "height", "text_content", "text_idx", *[k for k in keys if k != "page"]]
+    placed = numbered(tags.select(*kept), keys, place, "_n")
     b = G.Box(F.col("x"), F.col("y"), F.col("x") + F.col("width"), F.col("y") + F.col("height"))
-    words = F.transform(F.array_sort(F.collect_list(F.struct(*named, "text_content"))), lambda s: s["text_content"])
-    first_page = [] if by_page else [F.min(F.struct(*named, F.col("page").alias("p")))["p"].alias("page")]
-    out = tags.groupBy(*keys).agg(
+    words = F.transform(F.array_sort(F.collect_list(F.struct("_n", "text_content"))), lambda s: s["text_content"])
+    first_page = [] if by_page else [F.min_by("page", "_n").alias("page")]
+    out = placed.groupBy(*keys, F.expr(f"(_n - 1) div {part_texts}").alias("_part")).agg(
         F.array_join(words, " ").alias("tag_text"),
         F.min(b.x1).alias("bbox_x1"),
         F.min(b.y1).alias("bbox_y1"),

@@ -8,11 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.functions import geometry as G
-from boxlake.operators.ranking import HOT_GROUP, hot_groups, numbered
 from boxlake.session import cut_lineage
 
 # Offsets beyond these, or a spread beyond this share of the mean,
@@ -21,6 +20,10 @@ MAX_MEAN_X = 1000.0
 MAX_MEAN_Y = 500.0
 MAX_VARIATION = 0.5
 
+# Approximate quantiles are off by at most a row in so many; the band leaves ten times that.
+QUANTILE_ACCURACY = 10_000
+MARGIN = 10.0
+
 
 def offsets(texts: DataFrame) -> DataFrame:
     """Texts that have a symbol, with the offset of their corners from it."""
@@ -30,13 +33,19 @@ def offsets(texts: DataFrame) -> DataFrame:
 
 
 def offset_statistics(
-    texts: DataFrame, keys: Sequence[str] = ("doc",), hot: int = HOT_GROUP
+    texts: DataFrame, keys: Sequence[str] = ("doc",), hot: int = QUANTILE_ACCURACY
 ) -> DataFrame:
     """Mean, population deviation, range and exact median of the offsets, and
-    whether they call for a correction."""
+    whether they call for a correction.
+
+    The offsets are written once and read twice: first for everything but the medians, with
+    approximate quantiles just below and above each, whose error is bounded; then the values
+    between these two are counted one by one, which gives the exact median. Only that band
+    of a group's different values, about 20 in `hot`, is ever ordered."""
     keys = list(keys)
-    off = offsets(texts).select(*keys, "off_x", "off_y")
+    off = cut_lineage(offsets(texts).select(*keys, "off_x", "off_y"))
     basic = [F.count(F.lit(1)).alias("sample_count")]
+    bands = []
     for axis in ("x", "y"):
         c = F.col(f"off_{axis}")
         basic += [
@@ -45,27 +54,32 @@ def offset_statistics(
             F.min(c).alias(f"min_{axis}"),
             F.max(c).alias(f"max_{axis}"),
         ]
-    large = hot_groups(off, keys, hot)
-    if not large.limit(1).count():
-        medians = [F.percentile(f"off_{a}", F.lit(0.5)).alias(f"median_{a}") for a in ("x", "y")]
-        stats = off.groupBy(*keys).agg(*basic, *medians)
-    else:
-        # `percentile` holds all distinct values of a group in one task; rank the
-        # values of large groups instead
-        large = cut_lineage(large)
-        few, many = off.join(large, keys, "left_anti"), off.join(large, keys, "left_semi")
-        stats = off.groupBy(*keys).agg(*basic)
-        for a in ("x", "y"):
-            small = few.groupBy(*keys).agg(F.percentile(f"off_{a}", F.lit(0.5)).alias(f"median_{a}"))
-            ranked = numbered(many.select(*keys, f"off_{a}"), keys, [F.col(f"off_{a}")], "_n", hot)
-            sizes = many.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
-            middle = (F.col("_n") == F.floor((F.col("_size") + 1) / 2)) | (
-                F.col("_n") == F.floor(F.col("_size") / 2) + 1
-            )
-            exact = (
-                ranked.join(sizes, keys).filter(middle).groupBy(*keys).agg(F.avg(f"off_{a}").alias(f"median_{a}"))
-            )
-            stats = stats.join(small.unionByName(exact), keys)
+        around = [max(0.0, 0.5 - MARGIN / hot), min(1.0, 0.5 + MARGIN / hot)]
+        bands.append(F.percentile_approx(c, around, hot).alias(f"_band_{axis}"))
+    stats = cut_lineage(off.groupBy(*keys).agg(*basic, *bands))
+
+    # One row for each offset and axis; values below the band count together.
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"o.{k}").eqNullSafe(F.col(f"s.{k}"))
+    axes = F.array(*[F.struct(F.lit(a).alias("axis"), F.col(f"off_{a}").alias("v"), F.col(f"_band_{a}").alias("band")) for a in ("x", "y")])
+    values = off.alias("o").join(stats.alias("s"), on).select(*[f"o.{k}" for k in keys], "sample_count", F.explode(axes).alias("a"))
+    values = values.filter("a.v <= a.band[1]").select(*keys, "sample_count", "a.axis", F.when(F.expr("a.v >= a.band[0]"), F.col("a.v")).alias("v"))
+    counts = values.groupBy(*keys, "axis", "v").agg(F.count(F.lit(1)).alias("n"), F.first("sample_count").alias("all"))
+    upto = F.sum("n").over(Window.partitionBy(*keys, "axis").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0))
+    placed = counts.withColumn("upto", upto)
+    low, high = F.floor((F.col("all") + 1) / 2), F.floor(F.col("all") / 2) + 1
+
+    def at(rank):
+        return F.max(F.when((F.col("upto") - F.col("n") < rank) & (rank <= F.col("upto")), F.col("v")))
+
+    middle = placed.groupBy(*keys, "axis").agg(((at(low) + at(high)) / 2).alias("m"))
+    medians = middle.groupBy(*keys).agg(*[F.max(F.when(F.col("axis") == a, F.col("m"))).alias(f"median_{a}") for a in ("x", "y")])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}"))
+    stats = stats.alias("s").join(medians.alias("m"), on)
+    stats = stats.select(*[f"s.{k}" for k in keys], *[c for c in stats.columns if c not in keys and c[0] != "_"])
 
     def variation(axis):
         return F.col(f"std_{axis}") / (F.abs(f"mean_{axis}") + 1e-6)
@@ -115,7 +129,7 @@ def corrected(texts: DataFrame, chosen: DataFrame, tiles: DataFrame, by_page: bo
     return out.select(*texts.columns, "correction")
 
 
-def calibrate(texts: DataFrame, by_page: bool = True, hot: int = HOT_GROUP) -> tuple[DataFrame, DataFrame]:
+def calibrate(texts: DataFrame, by_page: bool = True, hot: int = QUANTILE_ACCURACY) -> tuple[DataFrame, DataFrame]:
     """Diagnose and correct: `(corrected texts, statistics with the choice)`."""
     statistics = offset_statistics(texts, hot=hot)
     tiles = tile_offsets(texts, by_page)

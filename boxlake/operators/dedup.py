@@ -10,17 +10,20 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxlake.functions import cells as C
 from boxlake.functions import geometry as G
-from boxlake.operators.ranking import first_n, hot_groups
+from boxlake.operators.celltree import PAIR_LIMIT, inside, lattice, slightly_larger, tier
+from boxlake.operators.ranking import first_n, hot_groups, numbered
 from boxlake.schemas import PAGE_KEYS
 from boxlake.session import cut_lineage
 
 # Boxes of one group that are folded in one array.
 FOLD_LIMIT = 512
+# Boxes whose pairs are looked for first, and growth of the blocks after them.
+FIRST_BLOCK, NEXT_BLOCK = 256, 8
 # Boxes of one grid cell that may be compared pairwise.
 CELL_LIMIT = 1000
 
@@ -56,6 +59,7 @@ def suppress(
 
 def _suppress(df, iou_threshold, class_specific, inclusive, unboxed, keys, fold_limit, cell_limit) -> DataFrame:
     group = [*keys, "class_name"] if class_specific else list(keys)
+    df = cut_lineage(df)  # read for the sizes of groups and by both ways
     large = hot_groups(df, group, fold_limit)
     if not large.limit(1).count():
         return _suppress_folded(df, group, iou_threshold, inclusive, unboxed)
@@ -242,33 +246,41 @@ def _copies(df: DataFrame, keys: Sequence[str]) -> DataFrame:
         df.filter((G.width(b) > 0) & (G.height(b) > 0))
         .groupBy(*keys, "x1", "y1", "x2", "y2")
         .agg(F.count(F.lit(1)).alias("n"), F.min("det_idx").alias("rank"))
-        .withColumn("octave", C.octave_of(b))
     )
 
 
+def overlapping(smaller: DataFrame, larger: DataFrame, keys: Sequence[str], iou_threshold: float, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+    """Pairs of a box of `smaller` and a larger one of `larger` whose IoU exceeds the threshold,
+    each once: the columns of the first, and those of the second as `o_...`. Of boxes with
+    equal areas the one of the smaller `rank` counts as smaller. The larger box holds one of
+    a few points of the smaller, and is at most `1 / iou_threshold` times as long."""
+    keys = list(keys)
+    a, b = G.box(), G.box("o_")
+    points, per_axis = lattice(a, iou_threshold)
+    longest = F.greatest(G.width(a), G.height(a))
+    asking = smaller.withColumns({"_lo": tier(longest * iou_threshold * 0.999), "_hi": tier(longest / iou_threshold * 1.001)})
+    asking = asking.withColumn("_p", F.explode(points)).select("*", "_p.*").drop("_p")
+    others = [F.col(c).alias(f"o_{c}") for c in larger.columns if c not in keys]
+    pairs = inside(asking, larger.select(*keys, *slightly_larger(a), *others), keys, ("_lo", "_hi"), pair_limit)
+    small, large = G.area(a), G.area(b)
+    pairs = pairs.filter((small < large) | ((small == large) & (F.col("rank") < F.col("o_rank"))))
+    for axis, i in (("x", "i"), ("y", "j")):  # count the pair at the first point held
+        low, high = F.col(f"{axis}1"), F.col(f"{axis}2")
+        before = low + (high - low) * ((F.col(i) - 1) / (per_axis + 1))
+        pairs = pairs.filter((F.col(i) == 1) | (before < F.col(f"b{axis}1")))
+    kept = [*smaller.columns, *[f"o_{c}" for c in larger.columns if c not in keys]]
+    return pairs.filter(G.exceeds_iou(a, b, iou_threshold)).select(*kept)
+
+
 def overlap_summary(
-    df: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = PAGE_KEYS
+    df: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = PAGE_KEYS, pair_limit: int = PAIR_LIMIT
 ) -> DataFrame:
     """Detections and overlapping pairs (IoU over the threshold) per page. Copies of
     a box are counted by multiplication, not by pairing them."""
     keys = list(keys)
     distinct = _copies(df, keys)
-    left = C.spread_octaves(distinct, iou_threshold)
-    right = left.select(
-        *keys, "tier", "cx", "cy",
-        *[F.col(c).alias(f"o_{c}") for c in ("rank", "own", "n", "x1", "y1", "x2", "y2")],
-    )
-    side = F.pow(F.lit(2.0), F.col("tier"))
-    a, b = G.box(), G.box("o_")
-    across = (
-        left.join(right, [*keys, "tier", "cx", "cy"])
-        .filter(F.col("rank") < F.col("o_rank"))
-        .filter(F.col("own") | F.col("o_own"))
-        .filter(C.cell(F.greatest(a.x1, b.x1), side) == F.col("cx"))
-        .filter(C.cell(F.greatest(a.y1, b.y1), side) == F.col("cy"))
-        .filter(G.exceeds_iou(a, b, iou_threshold))
-        .select(*keys, (F.col("n") * F.col("o_n")).alias("pairs"), F.lit(0).alias("rows"))
-    )
+    met = overlapping(distinct, distinct, keys, iou_threshold, pair_limit)
+    across = met.select(*keys, (F.col("n") * F.col("o_n")).alias("pairs"), F.lit(0).alias("rows"))
     n = F.col("n")
     within = distinct.select(*keys, F.floor(n * (n - 1) / 2).alias("pairs"), F.lit(0).alias("rows"))
     if iou_threshold >= 1.0:
@@ -283,21 +295,47 @@ def overlap_summary(
 
 
 def overlap_sample(
-    df: DataFrame, iou_threshold: float = 0.5, n: int = 10, keys: Sequence[str] = PAGE_KEYS
+    df: DataFrame, iou_threshold: float = 0.5, n: int = 10, keys: Sequence[str] = PAGE_KEYS, block: int = FIRST_BLOCK
 ) -> DataFrame:
     """The first `n` overlapping pairs of each page in list order.
 
-    A box that is the k-th copy of its kind pairs with the k-1 copies before it, so
-    pairs with later copies than the n+1-th cannot be among the first n.
+    A page's boxes are walked in blocks in list order, the first of `block` boxes, each
+    following one `NEXT_BLOCK` times as long: the pairs whose first box lies in the block are
+    found, and the page is done once it has `n`. A box that is the k-th copy of its kind
+    pairs with the k-1 copies before it, so pairs with later copies than the n+1-th cannot
+    be among the first n.
     """
     keys = list(keys)
     b = G.box()
     solid = df.filter((G.width(b) > 0) & (G.height(b) > 0))
     copies = [*keys, "x1", "y1", "x2", "y2"]
     thin = first_n(solid, copies, [F.col("det_idx")], n + 1) if iou_threshold < 1.0 else solid
-    thin = thin.select(*copies, F.col("det_idx").alias("rank")).withColumn("octave", C.octave_of(b))
-    pairs = _paired(thin, keys, iou_threshold, False)
-    pairs = first_n(pairs, keys, [F.col("hi"), F.col("lo")], n)
+    thin = thin.select(*copies, F.col("det_idx").alias("rank"))
+    open_ = cut_lineage(numbered(thin, keys, [F.col("rank")], "_k"))
+    start, found, left = 0, [], None
+    while True:
+        end = start + block
+        mine = open_.filter((F.col("_k") > start) & (F.col("_k") <= end)).drop("_k")
+        rest = open_.filter(F.col("_k") > start).drop("_k")
+        up = overlapping(mine, rest, keys, iou_threshold).filter("rank < o_rank").select(*keys, F.col("rank").alias("hi"), F.col("o_rank").alias("lo"))
+        down = overlapping(rest, mine, keys, iou_threshold).filter("o_rank < rank").select(*keys, F.col("o_rank").alias("hi"), F.col("rank").alias("lo"))
+        left_n = F.lit(n) if left is None else F.col("_left")
+        met = up.unionByName(down)
+        met = met if left is None else met.join(left, keys)
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("hi", "lo"))
+        pairs = cut_lineage(met.withColumn("_n", place).filter(F.col("_n") <= left_n).select(*keys, "hi", "lo"))
+        found.append(pairs)
+        # pages with boxes beyond the block that still lack pairs
+        more = open_.filter(F.col("_k") > end).select(*keys).distinct()
+        more = more.withColumn("_left", F.lit(n)) if left is None else more.join(left, keys)
+        got = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("_got"))
+        left = more.join(got, keys, "left").select(*keys, (F.col("_left") - F.coalesce("_got", F.lit(0))).alias("_left"))
+        left = cut_lineage(left.filter("_left > 0"))
+        if not left.limit(1).count():
+            break
+        open_ = cut_lineage(open_.filter(F.col("_k") > end).join(left.select(*keys), keys, "left_semi"))
+        start, block = end, block * NEXT_BLOCK
+    pairs = reduce(DataFrame.unionByName, found)
     described = df.select(*keys, "det_idx", "class_name", "confidence", *G.Box._fields)
     first, second = (
         described.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in described.columns if c not in keys])

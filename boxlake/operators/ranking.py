@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.session import cut_lineage
-
 # Rows one task may sort for one group before the group is split.
 HOT_GROUP = 1_000_000
 
@@ -18,8 +18,10 @@ def hot_groups(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).drop("_n")
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int) -> bool:
-    return bool(hot_groups(df, keys, limit).limit(1).count())
+class Falling(NamedTuple):
+    """A column that an order goes down by, nulls last."""
+
+    column: Column
 
 
 def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
@@ -29,37 +31,62 @@ def same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> Column:
     return cond
 
 
+def _not_after(cut: Column, row: list[Column], falling: list[bool]) -> Column:
+    """Whether a sampled row comes before a row, or ties with it, in the order."""
+    out = F.lit(True)
+    for i in reversed(range(len(row))):
+        a, b = cut[f"o{i}"], row[i]
+        first = (a > b) | (a.isNotNull() & b.isNull()) if falling[i] else (a < b) | (a.isNull() & b.isNotNull())
+        out = F.coalesce(first, F.lit(False)) | (a.eqNullSafe(b) & out)
+    return out
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
+    order: Sequence[Column | Falling],
     name: str,
     hot: int = HOT_GROUP,
 ) -> DataFrame:
-    """`row_number()` within `keys`. When a group exceeds `hot` rows, the rows are
-    range-partitioned by group and order instead: each range is numbered on its own
-    and shifted by the sizes of the ranges before it."""
-    if not has_hot_group(df, keys, hot):
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
-    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    spread = cut_lineage(spread.withColumn("_range", F.spark_partition_id()))
-    sizes = spread.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_size"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
+    """`row_number()` within `keys`. Groups are cut in ranges of about `hot` rows: about one
+    row in `hot`, by the hash of its keys and place, is a cut, and a row's range is the
+    number of cuts of its group up to it. Ranges are numbered one by one and shifted by the
+    sizes of those before. Everything is decided inside the plan, for groups of any size
+    alike. Cuts are broadcast: they are a `hot`-th of the rows. An order given as sorted
+    columns (`.desc()`) can't be cut; its groups are numbered whole."""
+    keys = list(keys)
+    plain = [o.column if isinstance(o, Falling) else o for o in order]
+    falling = [isinstance(o, Falling) for o in order]
+    sort = [c.desc() if f else c for c, f in zip(plain, falling)]
+    if any(re.search(r"(ASC|DESC) NULLS (FIRST|LAST)'>$", repr(c)) for c in plain):
+        return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*sort)).cast("long"))
+    drawn = df.filter(F.pmod(F.xxhash64(*keys, *plain), F.lit(max(1, hot))) == 0)
+    spot = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(plain)])
+    cuts = drawn.groupBy(*keys).agg(F.collect_set(spot).alias("_cuts"))
+    cuts = cuts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_cuts")
+
+    def in_group(left: DataFrame, right: DataFrame) -> Column:
+        cond = F.lit(True)
+        for i, k in enumerate(keys):
+            cond = cond & left[k].eqNullSafe(right[f"_k{i}"])
+        return cond
+
+    placed = df.join(F.broadcast(cuts), in_group(df, cuts), "left")
+    before = F.size(F.filter("_cuts", lambda cut: _not_after(cut, plain, falling)))
+    placed = placed.select(*df.columns, F.coalesce(F.when(F.col("_cuts").isNotNull(), before), F.lit(0)).alias("_range"))
+    local = placed.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*sort)))
+    # The last row of each range is read whole, which makes this the same shuffle as that of
+    # the rows: it runs once.
+    ends = local.groupBy(*keys, "_range").agg(F.max("_local").alias("_size"), F.max_by(F.struct(*df.columns), "_local").alias("_last"))
+    size = F.when(F.col("_last").isNotNull(), F.col("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ends.select(
         *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.col("_range").alias("_r"),
-        F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"),
-    )
-    match = F.col("_range") == F.col("_r")
-    for i, k in enumerate(keys):
-        match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    within = Window.partitionBy(*keys, "_range").orderBy(*order)
-    return (
-        spread.withColumn("_local", F.row_number().over(within))
-        .join(offsets, match)
-        .withColumn(name, F.col("_local") + F.col("_offset"))
-        .select(*df.columns, name)
+        F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias("_offset"),
     )
+    found = local.join(offsets, in_group(local, offsets) & (F.col("_range") == F.col("_r")))
+    return found.select(*df.columns, (F.col("_local") + F.col("_offset")).alias(name))
 
 
 def first_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

@@ -212,3 +212,98 @@ def test_documents_without_texts_have_statistics(spark):
     found = fusion.extraction_statistics(tagged, documents=read)
     assert {(r.doc, r.total_texts) for r in found.collect()} == {("d", 1), ("e", 0)}
     assert fusion.run_summary(found, read).first().processed_files == 2
+
+
+def test_a_document_of_any_size_comes_in_bounded_records(spark):
+    import json
+
+    df = flat(spark, 50)
+    pages = spark.createDataFrame([("d", p, 100, 80) for p in (1, 2, 3, 4)] + [("e", 1, 9, 9)], "doc string, page int, page_w int, page_h int")
+    for spelling in ("bbox_global", "global_bbox"):
+        records = documents.detection_documents(pages, df, spelling, record_rows=7).collect()
+        sizes = [sum(len(p["detections"]) for p in json.loads(r.value)["pages"]) for r in records]
+        assert max(sizes) <= 7 and sum(sizes) == 50
+        assert {json.loads(r.value)["last_part"] for r in records if r.doc == "d"} == {7}
+        again = spark.createDataFrame(records)
+        back = documents.parse_detections(again).orderBy("page", "det_idx").collect()
+        assert [(r.page, r.det_idx, r.x1) for r in back] == [(p, i, 2.0 * i + p - 1) for p in (1, 2) for i in range(25)]
+        assert sorted((r.doc, r.page) for r in documents.parse_pages(again).collect()) == [("d", 1), ("d", 2), ("d", 3), ("d", 4), ("e", 1)]
+
+
+def tag_area(spark, n, doc="d"):
+    return spark.createDataFrame(
+        [(doc, 1, "area_Tag-ID_000_000", "symbol", f"w{i}", 1.0, float(i % 5), float(i // 5), 1.0, 1.0, "ocr", i) for i in range(n)],
+        "document string, page int, area_id string, area_type string, text_content string, confidence double, x double, y double, width double, height double, source string, text_idx bigint",
+    )
+
+
+def test_tag_rows_are_cut_by_position(spark):
+    parts = areas.tag_rows(tag_area(spark, 23), part_texts=10).orderBy("bbox_y1").collect()
+    assert [p.tag_text for p in parts] == [" ".join(f"w{i}" for i in range(lo, min(lo + 10, 23))) for lo in (0, 10, 20)]
+    assert [(p.bbox_y1, p.bbox_y2) for p in parts] == [(0.0, 2.0), (2.0, 4.0), (4.0, 5.0)]
+
+
+def lines_of(folder):
+    return [line for f in sorted(folder.glob("part-*")) for line in f.read_text().splitlines()]
+
+
+def test_tag_lists_are_written_and_read_back(spark, tmp_path):
+    rows = areas.tag_rows(tag_area(spark, 4).unionByName(tag_area(spark, 3, "e")))
+    documents.write_tag_csv(rows, str(tmp_path / "all"))
+    back = spark.read.option("header", True).csv(str(tmp_path / "all"))
+    assert back.columns[:2] == ["document", "TAG_TEXT"] and len(back.columns) == 10
+    assert {(r.document, r.TAG_TEXT) for r in back.collect()} == {("d", "w0 w1 w2 w3"), ("e", "w0 w1 w2")}
+    known = spark.createDataFrame([("d",), ("none",)], "document string")
+    documents.write_tag_csv(rows, str(tmp_path / "by"), known, by_doc=True)
+    head = "TAG_TEXT,BBOX_X1,BBOX_Y1,BBOX_X2,BBOX_Y2,BBOX_WIDTH,BBOX_HEIGHT,CONFIDENCE,PAGE"
+    assert lines_of(tmp_path / "by" / "document=none") == [head]
+    assert lines_of(tmp_path / "by" / "document=d") == [head, "w0 w1 w2 w3,0.0,0.0,4.0,1.0,4.0,1.0,0.950,1"]
+    assert len(lines_of(tmp_path / "by" / "document=e")) == 2
+
+
+def test_reports_are_written_and_read_back(spark, tmp_path):
+    pages = spark.createDataFrame([("d", p, 100, 80) for p in (1, 2, 3)], "doc string, page int, page_w int, page_h int")
+    report = documents.coordinate_report(pages, flat(spark, 5))
+    documents.write_report(report, str(tmp_path / "all"))
+    want = [r.line for r in report.orderBy("doc", "page", "ord").collect()]
+    assert [r.line for r in spark.read.parquet(str(tmp_path / "all")).orderBy("doc", "page", "ord").collect()] == want
+    documents.write_report(report, str(tmp_path / "by"), by_doc=True)
+    assert lines_of(tmp_path / "by" / "doc=d") == "\n".join(want).split("\n")
+
+
+def test_documents_are_read_from_files(spark, tmp_path):
+    pages = spark.createDataFrame([("d", p, 100, 80) for p in (1, 2)], "doc string, page int, page_w int, page_h int")
+    docs = documents.detection_documents(pages, flat(spark, 6))
+    documents.write_documents(docs, str(tmp_path / "lines"))
+    back = documents.parse_detections(documents.read_lines(spark, str(tmp_path / "lines")))
+    assert {(r.doc, r.page, r.det_idx) for r in back.collect()} == {("d", p, i) for p in (1, 2) for i in range(3)}
+    (tmp_path / "files").mkdir()
+    (tmp_path / "files" / "d_detections.json").write_text(docs.first().value)
+    files = documents.files_with_documents(documents.read_files(spark, str(tmp_path / "files")))
+    assert documents.parse_detections(files.select("doc", "value")).count() == 6 and files.first().doc == "d"
+
+
+def test_later_load_wins_whatever_the_clock_says(spark, tmp_path, monkeypatch):
+    import json
+    import time
+
+    folder, table = tmp_path / "in", str(tmp_path / "table")
+    folder.mkdir()
+
+    def load(name, x, clock, force=True):
+        value = {"original_pdf": "d.pdf", "pages": [{"page": 1, "detections": [{"global_bbox": [x, 0, 9, 9]}] * int(x)}]}
+        (folder / f"{name}.txt").write_text(json.dumps(value) + "\n")
+        monkeypatch.setattr(time, "time", lambda: clock)
+        ingest.ingest_documents(ingest.document_stream(spark, str(folder)), table, str(tmp_path / name), force=force).awaitTermination()
+        monkeypatch.undo()
+        return sorted(r.x1 for r in ingest.current_documents(spark, table).collect())
+
+    assert load("one", 3.0, 9e9) == [3.0] * 3
+    (folder / "one.txt").unlink()
+    assert load("two", 2.0, 5.0) == [2.0] * 2
+    target = str(tmp_path / "compact")
+    ingest.compact_documents(spark, table, target)
+    assert sorted(r.x1 for r in ingest.current_documents(spark, target).collect()) == [2.0] * 2
+    table = target
+    (folder / "two.txt").unlink()
+    assert load("three", 1.0, 1.0) == [1.0]
