@@ -322,7 +322,8 @@ def _pack_texts(batches) -> Iterator[pa.RecordBatch]:
             rows = found
         row, word, n = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(3))
         pairs = pa.table({"row": row.astype(np.int32), "word": word.astype(np.int32), "n": n.astype(np.int32)})
-        parts = [pa.table({"word": vocabulary}), pairs, batch.select(["doc_id", "h"])]
+        filled = batch.column("text").is_valid()
+        parts = [pa.table({"word": vocabulary}), pairs, pa.table({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "filled": filled})]
         packed = [pa.array([_packed(p)], pa.binary()) for p in parts]
         yield pa.RecordBatch.from_arrays([pa.array([len(vocabulary)]), *packed], ["n_words", "words", "pairs", "rows"])
 
@@ -350,14 +351,49 @@ def _features(shards: int):
     return features
 
 
-def text_features(docs: DataFrame, counts: DataFrame) -> DataFrame:
-    """For each row of `docs` (`doc_id, h, text`): `doc_id, h`, the strongest evidence of a word
-    (f1), the logarithm of 1 + the sum of that over `STRONG` (f2), the strongest of a word's
-    characters (f3), and the characters' mean over the words (f4); all 0 without words. Texts
-    are packed into blocks, each with its different words once; only these blocks and the
-    answers to what they ask are shuffled."""
+def _unpack_rows(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for block, payload in zip(batch.column("block").to_pylist(), batch.column("rows")):
+            rows = _unpacked(payload.as_py())
+            rows = rows.append_column("row", pa.array(np.arange(rows.num_rows, dtype=np.int32)))
+            rows = rows.append_column("block", pa.array([block] * rows.num_rows, pa.int64()))
+            yield from rows.filter(rows["filled"]).select(["block", "row", "doc_id", "h"]).combine_chunks().to_batches()
+
+
+def text_blocks(docs: DataFrame) -> DataFrame:
+    """The rows `doc_id, h, text` of `docs` as blocks: their words once each, which row has
+    which word how often, and the rows themselves without their texts."""
     packed = docs.select("doc_id", "h", "text").mapInArrow(_pack_texts, "n_words long, words binary, pairs binary, rows binary")
-    blocks = cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
+    return cut_lineage(packed.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _count_words_of_blocks(batches) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, pairs, marks in zip(*(batch.column(c) for c in ("words", "pairs", "marks"))):
+            words, pairs = _unpacked(words.as_py())["word"].combine_chunks(), _unpacked(pairs.as_py())
+            row, word = (np.asarray(pairs[c]) for c in ("row", "word"))
+            weight = np.zeros((2, int(row.max(initial=0)) + 1), dtype=np.int64)
+            for mark in marks.as_py():  # a row has one text, and a line for each labelled copy of its id
+                if mark["row"] < weight.shape[1]:
+                    weight[1 - int(mark["toxic"] > 0), mark["row"]] += 1
+            t, o = (np.bincount(word, weights=w[row], minlength=len(words)).astype(np.int64) for w in weight)
+            seen = np.flatnonzero(t + o)
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(seen)), pa.array(t[seen]), pa.array(o[seen])], ["word", "t", "o"])
+
+
+def block_word_counts(blocks: DataFrame, marked: DataFrame) -> DataFrame:
+    """`word, t, o` as of `word_counts`, of the rows `marked` (`block, row, toxic`). Labels travel
+    to the blocks, so no text is shuffled for them."""
+    marks = marked.groupBy("block").agg(F.collect_list(F.struct("row", "toxic")).alias("marks"))
+    met = blocks.select("block", "words", "pairs").join(_shuffled(marks), "block").select("words", "pairs", "marks")
+    counted = met.mapInArrow(_count_words_of_blocks, "word string, t long, o long")
+    return counted.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
+
+
+def block_features(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """For each row of the blocks: `doc_id, h`, the strongest evidence of a word (f1), the
+    logarithm of 1 + the sum of that over `STRONG` (f2), the strongest of a word's characters
+    (f3), and the characters' mean over the words (f4); all 0 without words."""
     told, shards = _answered(blocks, counts)
     told = told.select("words", "pairs", "rows", "answers")
     return cut_lineage(told.mapInArrow(_features(shards), f"doc_id long, h long, {', '.join(f'{c} double' for c in NAMES)}"))
@@ -379,14 +415,14 @@ def fit_curve(features: np.ndarray, toxic: np.ndarray, steps: int = 50, ridge: f
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`doc_id, text, toxic` of the labelled documents whose crc32(doc_id) mod 3 is not 1.
+def marked_rows(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """`block, row, doc_id, h, toxic` of the labelled rows whose crc32(doc_id) mod 3 is not 1.
     Rows without an id, text or label are left out. A document labelled twice with
     different labels counts as toxic."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & ~fold(F.col("doc_id"), 3).isin(1, -1))
+    rows = blocks.select("block", "rows").mapInArrow(_unpack_rows, "block long, row int, doc_id long, h long")
     # Both sides grow with the corpus, so neither is ever broadcast.
-    return texts.join(known.hint("merge"), "doc_id")
+    return cut_lineage(rows.filter(~fold(F.col("doc_id"), 3).isin(1, -1)).join(known.hint("merge"), "doc_id"))
 
 
 def _hash(text: str = "text") -> Column:
@@ -398,14 +434,15 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     in 0 to 1. Documents whose crc32(doc_id) mod 7 is 0 are left out of the counts and fit the
     curve. Without rows of both classes there is no curve and every text scores 0."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _hash().alias("h"), "text")
-    labelled = training_rows(docs, labels)
+    blocks = text_blocks(docs)
+    labelled = marked_rows(blocks, labels)
     left_out = fold(F.col("doc_id"), 7) == 0
-    usable = labels.filter(left_out & F.col("toxic").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    chosen = bounded_sample(labelled.filter(left_out), CALIBRATION_ROWS, usable.count(), 1, "doc_id", F.xxhash64("text"))
-    chosen = cut_lineage(chosen.select(_hash().alias("h"), F.col("toxic").cast("int").alias("toxic")))
+    chosen = labelled.filter(left_out)
+    chosen = bounded_sample(chosen, CALIBRATION_ROWS, chosen.count(), 1, "doc_id", "h")
+    chosen = cut_lineage(chosen.select("h", F.col("toxic").cast("int").alias("toxic")))
     if chosen.select("toxic").distinct().count() < 2:
         return docs.select("doc_id", "h", F.lit(0.0).alias("score"))
-    features = text_features(docs, cut_lineage(word_counts(labelled.filter(~left_out))))
+    features = block_features(blocks, cut_lineage(block_word_counts(blocks, labelled.filter(~left_out))))
     once = features.join(chosen.select("h").distinct(), "h", "left_semi").groupBy("h").agg(*[F.first(c).alias(c) for c in NAMES])
     rows = chosen.join(once, "h").select("toxic", *NAMES).toArrow()
     x = np.column_stack([np.ones(rows.num_rows), *[np.asarray(rows[c]) for c in NAMES]])
