@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from boxlake.functions.geometry import Box
 from boxlake.session import cut_lineage
 
-BASE, SPAN = 8, 4
+BASE, SPAN = 2, 1
 SPLIT = 4
 # Pairs of one cell that are compared as they are, and that one task takes of a cell.
 PAIR_LIMIT = 1_000_000

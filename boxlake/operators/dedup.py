@@ -22,8 +22,8 @@ from boxlake.session import cut_lineage
 
 # Boxes of one group that are folded in one array.
 FOLD_LIMIT = 512
-# Boxes whose pairs are looked for first, and growth of the blocks after them.
-FIRST_BLOCK, NEXT_BLOCK = 256, 8
+# Growth of the blocks of boxes whose pairs are looked for.
+NEXT_BLOCK = 8
 # Boxes of one grid cell that may be compared pairwise.
 CELL_LIMIT = 1000
 
@@ -273,14 +273,33 @@ def overlapping(smaller: DataFrame, larger: DataFrame, keys: Sequence[str], iou_
 
 
 def overlap_summary(
-    df: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = PAGE_KEYS, pair_limit: int = PAIR_LIMIT
+    df: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = PAGE_KEYS, pair_limit: int | None = None
 ) -> DataFrame:
     """Detections and overlapping pairs (IoU over the threshold) per page. Copies of
     a box are counted by multiplication, not by pairing them."""
     keys = list(keys)
     distinct = _copies(df, keys)
-    met = overlapping(distinct, distinct, keys, iou_threshold, pair_limit)
-    across = met.select(*keys, (F.col("n") * F.col("o_n")).alias("pairs"), F.lit(0).alias("rows"))
+    if pair_limit is not None:
+        met = overlapping(distinct, distinct, keys, iou_threshold, pair_limit)
+        across = met.select(*keys, (F.col("n") * F.col("o_n")).alias("pairs"), F.lit(0).alias("rows"))
+    else:
+        distinct = distinct.withColumn("octave", C.octave_of(G.box()))
+        left = C.spread_octaves(distinct, iou_threshold)
+        right = left.select(
+            *keys, "tier", "cx", "cy",
+            *[F.col(c).alias(f"o_{c}") for c in ("rank", "own", "n", "x1", "y1", "x2", "y2")],
+        )
+        side = F.pow(F.lit(2.0), F.col("tier"))
+        a, b = G.box(), G.box("o_")
+        across = (
+            left.join(right, [*keys, "tier", "cx", "cy"])
+            .filter(F.col("rank") < F.col("o_rank"))
+            .filter(F.col("own") | F.col("o_own"))
+            .filter(C.cell(F.greatest(a.x1, b.x1), side) == F.col("cx"))
+            .filter(C.cell(F.greatest(a.y1, b.y1), side) == F.col("cy"))
+            .filter(G.exceeds_iou(a, b, iou_threshold))
+            .select(*keys, (F.col("n") * F.col("o_n")).alias("pairs"), F.lit(0).alias("rows"))
+        )
     n = F.col("n")
     within = distinct.select(*keys, F.floor(n * (n - 1) / 2).alias("pairs"), F.lit(0).alias("rows"))
     if iou_threshold >= 1.0:
@@ -294,23 +313,8 @@ def overlap_summary(
     )
 
 
-def overlap_sample(
-    df: DataFrame, iou_threshold: float = 0.5, n: int = 10, keys: Sequence[str] = PAGE_KEYS, block: int = FIRST_BLOCK
-) -> DataFrame:
-    """The first `n` overlapping pairs of each page in list order.
-
-    A page's boxes are walked in blocks in list order, the first of `block` boxes, each
-    following one `NEXT_BLOCK` times as long: the pairs whose first box lies in the block are
-    found, and the page is done once it has `n`. A box that is the k-th copy of its kind
-    pairs with the k-1 copies before it, so pairs with later copies than the n+1-th cannot
-    be among the first n.
-    """
-    keys = list(keys)
-    b = G.box()
-    solid = df.filter((G.width(b) > 0) & (G.height(b) > 0))
-    copies = [*keys, "x1", "y1", "x2", "y2"]
-    thin = first_n(solid, copies, [F.col("det_idx")], n + 1) if iou_threshold < 1.0 else solid
-    thin = thin.select(*copies, F.col("det_idx").alias("rank"))
+def _walked(thin: DataFrame, keys: list[str], iou_threshold: float, n: int, block: int) -> DataFrame:
+    """The first `n` pairs `hi, lo` of each page of `thin`, block after block."""
     open_ = cut_lineage(numbered(thin, keys, [F.col("rank")], "_k"))
     start, found, left = 0, [], None
     while True:
@@ -335,7 +339,30 @@ def overlap_sample(
             break
         open_ = cut_lineage(open_.filter(F.col("_k") > end).join(left.select(*keys), keys, "left_semi"))
         start, block = end, block * NEXT_BLOCK
-    pairs = reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found)
+
+
+def overlap_sample(
+    df: DataFrame, iou_threshold: float = 0.5, n: int = 10, keys: Sequence[str] = PAGE_KEYS, block: int | None = None
+) -> DataFrame:
+    """The first `n` overlapping pairs of each page in list order.
+
+    With `block` (for dense pages) a page's boxes are walked in blocks in list order, the first
+    of `block` boxes, each following one `NEXT_BLOCK` times as long: the pairs whose first box
+    lies in the block are found, and the page is done once it has `n`. A box that is the k-th copy of its kind
+    pairs with the k-1 copies before it, so pairs with later copies than the n+1-th cannot
+    be among the first n.
+    """
+    keys = list(keys)
+    b = G.box()
+    solid = df.filter((G.width(b) > 0) & (G.height(b) > 0))
+    copies = [*keys, "x1", "y1", "x2", "y2"]
+    thin = first_n(solid, copies, [F.col("det_idx")], n + 1) if iou_threshold < 1.0 else solid
+    thin = thin.select(*copies, F.col("det_idx").alias("rank"))
+    if block is None:
+        pairs = first_n(_paired(thin.withColumn("octave", C.octave_of(b)), keys, iou_threshold, False), keys, [F.col("hi"), F.col("lo")], n)
+    else:
+        pairs = _walked(thin, keys, iou_threshold, n, block)
     described = df.select(*keys, "det_idx", "class_name", "confidence", *G.Box._fields)
     first, second = (
         described.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in described.columns if c not in keys])

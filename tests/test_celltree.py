@@ -68,7 +68,7 @@ def test_crowded_cell_of_spans_and_boxes(spark):
     spans, boxes = crowd(n, 1, 3.0), crowd(n, 2, 0.05)
     spans["text"], spans["text_idx"] = [f"t{i}" for i in range(n)], range(n)
     start = time.perf_counter()
-    got = spatial.spans_near_boxes(spark.createDataFrame(spans), spark.createDataFrame(boxes), expand=0.0).select("text_idx").toPandas()
+    got = spatial.spans_near_boxes(spark.createDataFrame(spans), spark.createDataFrame(boxes), expand=0.0, pair_limit=celltree.PAIR_LIMIT).select("text_idx").toPandas()
     assert time.perf_counter() - start < 60
     px, py = ((spans.x1 + spans.x2) / 2).to_numpy(), ((spans.y1 + spans.y2) / 2).to_numpy()
     b, want = boxes, []
@@ -87,7 +87,7 @@ def test_crowded_cell_of_texts_of_both_sources(spark):
     ocr["text"] = [t if i % 2 else f"other {i}" for i, t in enumerate(pdf.text)]
     ocr["source"] = "ocr"
     start = time.perf_counter()
-    got = fusion.fuse(spark.createDataFrame(pdf), spark.createDataFrame(ocr)).toPandas()
+    got = fusion.fuse(spark.createDataFrame(pdf), spark.createDataFrame(ocr), pair_limit=celltree.PAIR_LIMIT).toPandas()
     assert time.perf_counter() - start < 90
     left = set(got[got.source == "ocr"].text)
     assert not any(t.startswith("word") for t in left) and sum(t.startswith("other") for t in left) == n // 2
@@ -123,7 +123,7 @@ def test_dense_cell_of_overlapping_boxes(spark):
     df = pd.DataFrame({"doc": "d", "page": 1, "det_idx": range(n), "class_name": "c", "confidence": 0.5, "x1": rng.uniform(0, 1, n), "y1": rng.uniform(0, 1, n)})
     df["x2"], df["y2"] = df.x1 + 100, df.y1 + 100
     boxes = spark.createDataFrame(df)
-    got = dedup.overlap_summary(boxes).collect()
+    got = dedup.overlap_summary(boxes, pair_limit=celltree.PAIR_LIMIT).collect()
     assert [(r.total_detections, r.overlapping_pairs) for r in got] == [(n, n * (n - 1) // 2)]
-    first = dedup.overlap_sample(boxes, n=10).select("a_det_idx", "b_det_idx").collect()
+    first = dedup.overlap_sample(boxes, n=10, block=256).select("a_det_idx", "b_det_idx").collect()
     assert sorted(map(tuple, first)) == [(0, i) for i in range(1, 11)]
