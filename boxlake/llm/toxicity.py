@@ -314,8 +314,11 @@ def _pack_texts(batches) -> Iterator[pa.RecordBatch]:
             rows.append((at + part.start, numbers, n))
         coded = pa.chunked_array(counted, pa.string()).dictionary_encode().combine_chunks() if counted else None
         if coded is not None:
-            vocabulary = coded.dictionary
-            back, start, found = np.asarray(coded.indices), 0, []
+            inorder = pc.array_sort_indices(coded.dictionary)  # neighbours alike compress well
+            vocabulary = coded.dictionary.take(inorder)
+            place = np.empty(len(vocabulary), dtype=np.int64)
+            place[np.asarray(inorder)] = np.arange(len(vocabulary))
+            back, start, found = place[np.asarray(coded.indices)], 0, []
             for words, (at, numbers, n) in zip(counted, rows):
                 found.append((at, back[start + numbers], n))
                 start += len(words)
