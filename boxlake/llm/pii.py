@@ -26,12 +26,13 @@ from boxlake.llm.common import bounded_sample, small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 
-# The patterns of the base spans. Digits are possessive where a later start
-# in the same run of digits would fail as well.
+# The patterns of the base spans. Runs are possessive, and addresses begin
+# with a whole run of digits: a match from within a run would have begun earlier. So each
+# pattern takes time linear in the text.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
-IP = re.compile(r"[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
-CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
+IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -48,6 +49,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def byte_sized(part: str) -> bool:
+    """Whether a run of digits of any length is at most 255; zeros in front don't count."""
+    digits = part.lstrip("0")
+    return len(digits) <= 3 and int(digits or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[Span]:
     """From each @ back over the characters that may precede it: the leftmost matches, in
     time linear in the text."""
@@ -69,7 +76,7 @@ def base_spans(text: str) -> list[Span]:
     """The spans of the patterns, by kind as listed, then by start."""
     out: list[Span] = list(_emails(text))
     found = {
-        "ip": (IP, lambda s: all(int(p) <= 255 for p in s.split("."))),
+        "ip": (IP, lambda s: all(map(byte_sized, s.split(".")))),
         "card": (CARD, lambda s: 16 <= len(d := re.sub("[^0-9]", "", s)) <= 19 and luhn(d)),
         "phone": (PHONE, lambda s: 8 <= len(re.sub("[^0-9]", "", s)) <= 15),
     }
@@ -87,6 +94,8 @@ HIDDEN = 16
 TAGS = 1 + 2 * len(KINDS)  # outside; begin and inside of each kind
 WINDOW, STEP = 64, 32
 MARGIN = 24  # characters read on either side of a digit or @
+PIECE = 4096  # characters of a region settled at once, a multiple of STEP
+OVERLAP = 256  # characters read beyond a piece
 TRAINING_DOCS = 4_000
 TRAINING_WINDOWS = 1_500
 EPOCHS = 6
@@ -243,6 +252,17 @@ def regions(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def pieces(a: int, b: int) -> list[tuple[int, int, int]]:
+    """Start, end and own end of the parts of a region: a region longer than `PIECE` is read
+    in parts that overlap, so that its memory is bounded. A span belongs to the part in whose
+    own characters it begins, and ends with the characters read there at the latest."""
+    out = [(at, min(b, at + PIECE + OVERLAP), min(b, at + PIECE)) for at in range(a, b, PIECE)]
+    if len(out) > 1 and b - out[-1][0] <= OVERLAP:  # read whole by the part before
+        out.pop()
+        out[-1] = (out[-1][0], b, b)
+    return out
+
+
 def windows(n: int) -> list[int]:
     """Starts of the overlapping windows over `n` characters."""
     return list(range(0, max(1, n - STEP), STEP))
@@ -286,14 +306,14 @@ def model_spans(texts: list[str], p: dict | None) -> list[list[Span]]:
     out: list[list[Span]] = [[] for _ in texts]
     if p is None:
         return out
-    places = [(n, a, b) for n, text in enumerate(texts) for a, b in regions(text)]
+    places = [(n, *piece) for n, text in enumerate(texts) for a, b in regions(text) for piece in pieces(a, b)]
     middle = np.minimum(np.arange(WINDOW), np.arange(WINDOW)[::-1]) + 1.0
     for begin in range(0, len(places), 256):
         group = places[begin : begin + 256]
-        rows = [_rows(char_classes(texts[n][a:b]), 0) for n, a, b in group]
+        rows = [_rows(char_classes(texts[n][a:b]), 0) for n, a, b, _ in group]
         e = np.concatenate([emissions(p, part)[0] for part in np.array_split(np.concatenate(rows), max(1, sum(map(len, rows)) // 512))])
         at = 0
-        for (n, a, b), own in zip(group, rows):
+        for (n, a, b, own_end), own in zip(group, rows):
             total, weight = np.zeros((b - a + 2 * WINDOW, TAGS)), np.zeros(b - a + 2 * WINDOW)
             for i, start in enumerate(windows(b - a)):
                 total[start : start + WINDOW] += e[at + i] * middle[:, None]
@@ -312,7 +332,8 @@ def model_spans(texts: list[str], p: dict | None) -> list[list[Span]]:
                     while j < len(path) and path[j] == 2 + 2 * kind:
                         j += 1
                     piece = texts[n][a + i : a + j]
-                    if j - i >= MIN_LENGTH and sure[i:j].min() >= SURE and _TRIGGER.search(piece):
+                    mine = a + i < own_end and not (out[n] and a + i < out[n][-1][2])
+                    if mine and j - i >= MIN_LENGTH and sure[i:j].min() >= SURE and _TRIGGER.search(piece):
                         out[n].append((KINDS[kind], a + i, a + j))
                     i = j
                 else:
@@ -320,10 +341,25 @@ def model_spans(texts: list[str], p: dict | None) -> list[list[Span]]:
     return out
 
 
+def joined_spans(spans: list[Span]) -> list[tuple[int, int]]:
+    """The characters that spans cover, as ranges apart from each other."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def all_spans(text: str, base: list[Span], added: list[Span]) -> list[Span]:
     """Base spans and those of the model that touch none of them, in the order of kinds."""
-    taken = sorted((a, b) for _, a, b in base)
-    free = [s for s in added if all(b <= s[1] or a >= s[2] for a, b in taken)]
+    free, at, taken = [], 0, joined_spans(base)
+    for s in sorted(added, key=lambda s: s[1]):
+        while at < len(taken) and taken[at][1] <= s[1]:
+            at += 1
+        if at == len(taken) or taken[at][0] >= s[2]:
+            free.append(s)
     return sorted([*base, *free], key=lambda s: (KINDS.index(s[0]), s[1]))
 
 
@@ -342,7 +378,7 @@ def fit(docs: DataFrame) -> dict | None:
             xs, ys = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
-                for a, b in regions(text):
+                for a, b, _ in (piece for region in regions(text) for piece in pieces(*region)):
                     xs += _rows(char_classes(text[a:b]), 0).astype(np.int8).tolist()
                     ys += _rows(tags_of(spans, a, b), 0).astype(np.int8).tolist()
             yield pa.RecordBatch.from_arrays(
@@ -362,7 +398,8 @@ def fit(docs: DataFrame) -> dict | None:
 def find(docs: DataFrame) -> DataFrame:
     """`doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans` for each row of `docs`
     (`doc_id, text`). The counts and the digest are of the base spans, `spans` has all.
-    Null and empty texts have none; repeated rows come out alike."""
+    Null and empty texts have none; repeated rows come out alike. Texts and runs of digits
+    of any length take time linear in them; the model settles long regions in `pieces`."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
 
     def search(batches) -> Iterator[pa.RecordBatch]:

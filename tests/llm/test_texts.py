@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -363,6 +364,25 @@ def test_base_spans_match_the_patterns():
         assert pii.base_spans(text) == plain_spans(text)
 
 
+def test_base_spans_of_long_runs():
+    began = time.monotonic()
+    for text in ["9" * 5000 + ".1.2.3", "9" * 1_000_000, "1." * 300_000, "+" + "1(" * 300_000, "a" * 500_000 + "@", "@a" * 300_000, "12 " * 300_000]:
+        pii.base_spans(text)
+    assert time.monotonic() - began < 20
+    text = "9" * 5000 + ".1.2.3"
+    assert pii.base_spans(text) == []
+    zeros = "0" * 5000 + "255.1.2.3"
+    assert pii.base_spans(zeros) == [("ip", 0, len(zeros))]
+    assert pii.base_spans("256.1.2.3.4") == []  # no retry within a failed match
+    for a, b in [(0, 10), (3, 3 + pii.PIECE), (3, 5 + pii.PIECE), (7, 9 + 5 * pii.PIECE + pii.OVERLAP)]:
+        parts = pii.pieces(a, b)
+        assert [p[0] for p in parts] == [a, *[p[2] for p in parts[:-1]]] and parts[-1][1:] == (b, b)
+    base = [("email", 5, 9), ("phone", 7, 12), ("ip", 20, 30)]
+    added = [("card", 0, 5), ("card", 10, 14), ("card", 12, 20), ("card", 29, 40), ("card", 30, 41)]
+    kept = [s for s in pii.all_spans("", base, added) if s[0] == "card"]
+    assert kept == [("card", 0, 5), ("card", 12, 20), ("card", 30, 41)]
+
+
 def test_gradients_of_the_network():
     rng = np.random.RandomState(0)
     x, y = rng.randint(0, pii.CHARS, (3, 7)), rng.randint(0, pii.TAGS, (3, 7))
