@@ -21,20 +21,22 @@ from boxlake.llm.common import WORD, let, unused
 from boxlake.session import cut_lineage
 
 THRESHOLD = 1
-# Shorter lines are headings and fragments that recur by chance; they are left alone.
+# Shorter lines are repeats only of equal ones: few edits make other words of them.
 MIN_CHARS = 24
-# `op8_line_dedup`, like its SQL, leaves a document whole that would lose more than this share
-# of its characters. With 1.0, as in the pipeline, every repeated line goes.
-MAX_LOSS = 0.5
 # Meeting lines under one key beyond which the key is refined.
 CROWD = 40
 
 
-def lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """`doc_id, line_no, line`: the lines that take part."""
+def row_key(text: str | Column = "text") -> Column:
+    """Tells rows of one id by their texts."""
+    return F.xxhash64(text)
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    """`doc_id, row, line_no, line`: the lines that take part, those with a word."""
     text = F.coalesce("text", F.lit(""))
-    out = docs.select("doc_id", F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    return out.filter((F.length("line") >= max(min_chars, 1)) & F.col("line").rlike(WORD))
+    listed = F.posexplode(F.split(text, "\n")).alias("line_no", "line")
+    return docs.select("doc_id", row_key().alias("row"), listed).filter(F.col("line").rlike(WORD))
 
 
 # ------------------------------------------------------------------ keys
@@ -48,9 +50,9 @@ def _segment(n: Column, i: int, threshold: int) -> tuple[Column, Column]:
     return base * i + F.greatest(F.lit(i) - short, F.lit(0)), base + (F.lit(i) >= short).cast("int")
 
 
-def entries(line: Column, size: Column, base: Column, threshold: int) -> list[tuple[int, Column, Column, Column]]:
+def entries(line: Column, size: Column, base: Column, threshold: int) -> list[tuple[int, Column, Column, Column, int]]:
     """All entries of a line of `size` characters: role, key, the line without the segment,
-    and what the segment's owner has left. Role 1 are its own segments, which also meet those
+    what the segment's owner has left, and `gap`. Role 1 are its own segments, which also meet those
     of equally long lines; role 0 the substrings that may be segments of other lines, of
     `gap` characters fewer. A key is null where the entry doesn't exist."""
     out = []
@@ -63,7 +65,7 @@ def entries(line: Column, size: Column, base: Column, threshold: int) -> list[tu
                 key = F.xxhash64(base, n, F.lit(i), F.substring(line, start + 1, length))
                 fits = (n > threshold) & (start >= 0) & (start + length <= size)
                 rest = F.concat(F.substring(line, F.lit(1), start), F.substring(line, start + length + 1, size))
-                out.append((int(gap == 0 and shift == 0), F.when(fits, key), rest, n - length))
+                out.append((int(gap == 0 and shift == 0), F.when(fits, key), rest, n - length, gap))
     return out
 
 
@@ -72,7 +74,7 @@ def _level_entries(rows: DataFrame, base: Column, threshold: int, *columns: str)
     sized = rows.withColumn("_size", F.length("rest"))
     found = [
         F.struct(key.alias("key"), F.lit(role).alias("role"), rest.alias("rest"), left.alias("left"))
-        for role, key, rest, left in entries(F.col("rest"), F.col("_size"), base, threshold)
+        for role, key, rest, left, _ in entries(F.col("rest"), F.col("_size"), base, threshold)
     ]
     listed = sized.select(*columns, F.explode(F.array(*found)).alias("_e")).filter("_e.key is not null")
     return listed.select(*columns, "_e.*")
@@ -218,17 +220,19 @@ def near_pairs(found: DataFrame, keyed: DataFrame, threshold: int = THRESHOLD, c
 
 
 def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, crowd: int = CROWD) -> DataFrame:
-    """`doc_id, line_no, n_chars, repeated, links` of each line that takes part. A line is
-    repeated if a line before it (in the order of doc_id, line_no; a null id comes first)
-    is the same or within `threshold` edits, whether that one is repeated or not. `links`
-    counts the different lines within reach. Rows that repeat an id aren't told apart."""
-    found = lines(docs, min_chars).withColumn("h", F.xxhash64("line"))
-    at = F.struct("doc_id", "line_no")
+    """`doc_id, row, line_no, repeated, links` of each line with a word. A line is repeated if
+    a line before it (in the order of doc_id, row, line_no; a null id comes first) is the same
+    or, both having `min_chars` or more, within `threshold` edits, whether that one is repeated
+    or not. `links` counts the different lines within reach. `row` is a hash of the text: rows
+    of one id and different texts are told apart, exact copies of a row are not."""
+    found = lines(docs).withColumn("h", F.xxhash64("line"))
+    at = F.struct("doc_id", "row", "line_no")
     kept = found.withColumn("_size", F.length("line"))
     own = entries(F.col("line"), F.col("_size"), F.lit(0).cast("long"), threshold)
     # Equal lines have equal entries, so any of them stands for all.
     names = [f"k{i}" for i in range(len(own))]
-    distinct = kept.select("h", at.alias("at"), *[key.alias(n) for n, (_, key, _, _) in zip(names, own)])
+    keys = [F.when(F.col("_size") - gap >= min_chars, key).alias(n) for n, (_, key, _, _, gap) in zip(names, own)]
+    distinct = kept.select("h", at.alias("at"), *keys)
     distinct = cut_lineage(distinct.groupBy("h").agg(F.min("at").alias("at"), *[F.max(n).alias(n) for n in names]))
     listed = F.array(*[F.struct(F.col(n).alias("key"), F.lit(e[0]).alias("role")) for n, e in zip(names, own)])
     keyed = distinct.select("h", F.inline(listed)).filter("key is not null")
@@ -240,36 +244,31 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     known = firsts.join(_shuffled(near), "h", "left").select(
         "h", F.least("at", "near_at").alias("first_at"), F.coalesce("links", F.lit(0)).alias("links")
     )
-    placed = found.select("h", "doc_id", "line_no", F.length("line").alias("n_chars")).join(_shuffled(known), "h")
-    return placed.select("doc_id", "line_no", "n_chars", (F.col("first_at") < at).alias("repeated"), "links")
-
-
-def line_decisions(docs: DataFrame, max_loss: float = MAX_LOSS, **options) -> DataFrame:
-    """One row for each document with lines that take part: `doc_id, n_lines, n_repeated,
-    n_links, n_removed, removed` (line numbers from 0, ascending). A document in which more
-    than `max_loss` of these lines' characters is repeated loses none; at 1.0 there is no such
-    document."""
-    judged = repeated_lines(docs, **options)
-    lost = F.sum(F.when(F.col("repeated"), F.col("n_chars")).otherwise(0))
-    out = judged.groupBy("doc_id").agg(
+    placed = found.select("h", "doc_id", "row", "line_no").join(_shuffled(known), "h")
+    return placed.select("doc_id", "row", "line_no", (F.col("first_at") < at).alias("repeated"), "links")
+
+
+def line_decisions(docs: DataFrame, **options) -> DataFrame:
+    """One row for each row of `docs` with lines that take part: `doc_id, row, n_lines,
+    n_links, n_removed, removed` (numbers of the repeated lines from 0, ascending). Exact
+    copies of a row, id and text, are one row here, and their lines and links add up."""
+    out = repeated_lines(docs, **options).groupBy("doc_id", "row").agg(
         F.count(F.lit(1)).alias("n_lines"),
-        F.count_if("repeated").alias("n_repeated"),
         F.sum("links").alias("n_links"),
-        F.sort_array(F.collect_list(F.when(F.col("repeated"), F.col("line_no")))).alias("removed"),
-        (lost > max_loss * F.sum("n_chars")).alias("_whole"),
+        F.sort_array(F.collect_set(F.when(F.col("repeated"), F.col("line_no")))).alias("removed"),
     )
-    removed = F.when(F.col("_whole"), F.array().cast("array<int>")).otherwise(F.col("removed"))
-    return out.withColumn("removed", removed).withColumn("n_removed", F.size("removed").cast("long")).drop("_whole")
+    return out.withColumn("n_removed", F.size("removed").cast("long"))
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with the repeated lines taken out of `text`; all other columns and rows stay
-    as they are (n_chars, if there, follows the text). A document that loses all of its lines
-    stays as a row with an empty text; lines that don't take part stay in any case."""
-    doc, gone = unused(docs, "_doc"), unused(docs, "_gone")
+    """`docs` with the repeated lines taken out of `text`, whatever share of it they are; all
+    other columns and rows stay as they are (n_chars, if there, follows the text). A document
+    that loses all of its lines stays as a row with an empty text; blank lines stay."""
+    doc, row, gone = unused(docs, "_doc"), unused(docs, "_row"), unused(docs, "_gone")
     chosen = line_decisions(docs, **options).filter("n_removed > 0")
-    chosen = chosen.select(F.col("doc_id").alias(doc), F.col("removed").alias(gone))
-    joined = docs.join(_shuffled(chosen), F.col("doc_id").eqNullSafe(F.col(doc)), "left")
+    chosen = chosen.select(F.col("doc_id").alias(doc), F.col("row").alias(row), F.col("removed").alias(gone))
+    same = F.col("doc_id").eqNullSafe(F.col(doc)) & (row_key() == F.col(row))
+    joined = docs.join(_shuffled(chosen), same, "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(gone, i))
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     joined = joined.withColumn("text", text)

@@ -51,8 +51,10 @@ def op10_minhash_near_dedup(spark, d):
 def op8_line_dedup(spark, d):
     docs = documents(spark, d)
     found = linededup.line_decisions(docs).withColumn("removed", F.array_join("removed", ","))
-    counts = ["n_lines", "n_repeated", "n_links", "n_removed"]
-    return docs.select("doc_id").join(found, "doc_id", "left").fillna(0, counts).fillna("", ["removed"])
+    found = found.withColumnRenamed("doc_id", "of").withColumnRenamed("row", "of_row")
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row"))
+    out = docs.select("doc_id", linededup.row_key().alias("row")).join(found, same, "left").drop("row", "of", "of_row")
+    return out.fillna(0, ["n_lines", "n_links", "n_removed"]).fillna("", ["removed"])
 
 
 # One edit leaves the first or the second half of the shorter line as it is.
@@ -60,29 +62,27 @@ ORACLE["op8_line_dedup"] = r"""
 with occ as (
   select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(len(string_split(text, chr(10))))) as line_no
   from documents where text is not null),
-judged as (select * from occ where length(line) >= 24 and regexp_matches(line, '[^\x20\x09-\x0D]')),
+judged as (select * from occ where regexp_matches(line, '[^\x20\x09-\x0D]')),
 d as (select line, length(line) as n, min({'d': doc_id, 'l': line_no}) as at from judged group by line),
 met as (
   select a.line as a, b.line as b from d a join d b on left(a.line, a.n // 2) = left(b.line, a.n // 2)
-    where b.n between a.n and a.n + 1 and a.line <> b.line
+    where a.n >= 24 and b.n between a.n and a.n + 1 and a.line <> b.line
   union
   select a.line, b.line from d a join d b on right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
-    where b.n between a.n and a.n + 1 and a.line <> b.line),
+    where a.n >= 24 and b.n between a.n and a.n + 1 and a.line <> b.line),
 near as (select a, b from met where levenshtein(a, b) <= 1),
 links as (select a, b from near union select b, a from near),
 best as (select a as line, count(*) as links, min(d.at) as at from links join d on d.line = links.b group by a),
 flagged as (
-  select j.doc_id, j.line_no, length(j.line) as n, coalesce(best.links, 0) as links,
+  select j.doc_id, j.line_no, coalesce(best.links, 0) as links,
     least(d.at, coalesce(best.at, d.at)) < {'d': j.doc_id, 'l': j.line_no} as repeated
   from judged j join d on d.line = j.line left join best on best.line = j.line),
 sums as (
-  select doc_id, count(*) as n_lines, count(*) filter (repeated) as n_repeated, sum(links)::bigint as n_links,
-    coalesce(sum(n) filter (repeated), 0) > 0.5 * sum(n) as whole,
+  select doc_id, count(*) as n_lines, count(*) filter (repeated) as n_removed, sum(links)::bigint as n_links,
     coalesce(string_agg(line_no::varchar, ',' order by line_no) filter (repeated), '') as removed
   from flagged group by doc_id)
-select documents.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_repeated, 0)::bigint as n_repeated,
-  coalesce(n_links, 0)::bigint as n_links, case when whole or n_repeated is null then 0 else n_repeated end::bigint as n_removed,
-  case when whole or removed is null then '' else removed end as removed
+select documents.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_links, 0)::bigint as n_links,
+  coalesce(n_removed, 0)::bigint as n_removed, coalesce(removed, '') as removed
 from documents left join sums using (doc_id)
 """
 
