@@ -25,6 +25,7 @@ from boxlake.llm.common import small_batches
 
 WINDOW = 3  # lines summed
 SURGE = 0.3  # of the largest window sum
+DEEPEST = 12  # readings of a page, for wrappers in wrappers
 SHARE = 0.3  # of the longest run's text that another run needs to count
 
 # Element names of HTML by their part in the layout.
@@ -56,8 +57,24 @@ OUTSIDE = {
     "form", "skip", "hidden",
 }
 
+# Words that, beside one of these, still name a part by its place: `related-posts`, not
+# `related-work`.
+LAYOUT = {
+    "area", "article", "articles", "bar", "block", "blocks", "body", "bottom", "box", "btn", "button", "buttons", "card",
+    "col", "column", "container", "content", "global", "group", "header", "icon", "icons", "inner", "item", "items",
+    "js", "left", "link", "links", "list", "main", "message", "mobile", "news", "outer", "page", "panel", "post",
+    "posts", "primary", "right", "row", "secondary", "section", "site", "slot", "stories", "story", "tag", "text",
+    "thread", "title", "top", "unit", "wrap", "wrapper", "zone",
+}
+COMMENTS = {"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"}
+# Share of the page's text beyond which a part that only its attributes, or a form, put
+# outside is taken for a wrapper of the page; with a main element or first heading in it, and
+# else.
+WRAPPER, LONE_WRAPPER = 0.5, 0.9
+
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_HREF = re.compile(r"(?:^|\s)href\s*=", re.I)
 _NAMES = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
@@ -70,24 +87,41 @@ class Line:
     path: tuple[int, ...]  # elements around it
 
 
-def _outside(name: str, attributes: str, in_article: bool) -> bool:
+def _names_outside(token: str) -> bool:
+    """Whether each word of a class or id names a part outside, or a place in the layout."""
+    found = _WORDS.findall(token)
+    return any(w in OUTSIDE for w in found) and all(w in OUTSIDE or w in LAYOUT or len(w) == 1 for w in found)
+
+
+def _outside(name: str, attributes: str, in_article: bool) -> str:
+    """Why an element is outside the text: "never" by its name, "comments", "soft" by its
+    attributes or as a form, or "" if it isn't."""
+    if name == "form":
+        return "soft"
     if name in NEVER or (name == "header" and not in_article):
-        return True
+        return "never"
     if name in ("html", "body", "main", "article") or not attributes:
-        return False
+        return ""
     for key, value in _NAMES.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
-        if key != "aria-hidden" and not OUTSIDE.isdisjoint(_WORDS.findall(value)):
-            return True
-    return False
+            return "never"
+        # Headings and paragraphs of an article have ids made from their words.
+        if key == "aria-hidden" or (key == "id" and in_article and (name in HEADINGS or name == "p")):
+            continue
+        found = [token for token in value.split() if _names_outside(token)]
+        if found:
+            return "comments" if any(not COMMENTS.isdisjoint(_WORDS.findall(t)) for t in found) else "soft"
+    return ""
 
 
 class _Page:
     """Lines of a page, from the stream of its tags and texts."""
 
-    def __init__(self):
+    def __init__(self, wrappers: frozenset[int] = frozenset()):
+        self.wrappers = wrappers  # elements that aren't outside, whatever their attributes
+        self.soft: dict[int, list[int]] = {}  # parts outside: characters, main elements and first headings
+        self.root = 0  # the part outside around this place, if it is in `soft`
         self.lines: list[Line] = []
         self.articles: dict[int, str] = {}  # elements article and main
         self.mixed: set[int] = set()  # elements with parts outside
@@ -113,6 +147,8 @@ class _Page:
 
     def text(self, data: str) -> None:
         if self.outside():
+            if self.root in self.soft and any(self.root == number for _, number, _ in self.stack):
+                self.soft[self.root][0] += len(data) - data.count(" ")
             return
         # Of a header in an article only headings are text of the article.
         if self.inside("header") and not self.inside(*HEADINGS):
@@ -130,6 +166,7 @@ class _Page:
     def start(self, name: str, attributes: str) -> None:
         if name in BLOCK:
             self.flush()
+            self.in_link = 0  # a link around blocks, or one never closed
             if self.stack and self.stack[-1][0] == "p":
                 self.stack.pop()  # a block ends a paragraph
             elif name == "li" and self.stack and self.stack[-1][0] == "li":
@@ -141,13 +178,19 @@ class _Page:
         elif name in SPACED:
             self.text(" ")
         if name == "a":
-            self.in_link = 1
+            self.in_link = int(_HREF.search(attributes) is not None)
+        if self.outside() and name in ("main", "h1") and self.root in self.soft:
+            self.soft[self.root][1] += 1
         if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             return
         if name in BLOCK or name in HOLDERS or name in NEVER or (attributes and name in ("span", "a", "label", "b", "i", "em", "small", "strong", "section", "ins")):
             self.count += 1
-            out = self.outside() or _outside(name, attributes, self.inside("article", "main"))
+            why = "" if self.count in self.wrappers else _outside(name, attributes, self.inside("article", "main"))
+            out = self.outside() or why != ""
             if out and not self.outside():
+                self.root = self.count
+                if why == "soft":
+                    self.soft[self.count] = [0, 0]
                 self.mixed.update(number for _, number, _ in self.stack)
             elif name in ("article", "main") and not out:
                 self.articles[self.count] = name
@@ -164,8 +207,24 @@ class _Page:
 
 
 def read(html: str) -> _Page:
-    """A page with its lines that aren't in parts outside its text."""
-    page, at, end = _Page(), 0, len(html)
+    """A page with its lines that aren't in parts outside its text. A part that holds most of
+    the page is a wrapper, and what is in it is looked at instead; each further reading goes
+    at least one element deeper, to `DEEPEST` at most."""
+    wrappers: frozenset[int] = frozenset()
+    for _ in range(DEEPEST):
+        page = _read(html, wrappers)
+        if not page.soft:
+            break
+        size = sum(len(line.text) - line.text.count(" ") for line in page.lines) + sum(n for n, _ in page.soft.values())
+        more = {k for k, (n, heads) in page.soft.items() if n > size * (WRAPPER if heads else LONE_WRAPPER)}
+        if not more:
+            break
+        wrappers |= more
+    return page
+
+
+def _read(html: str, wrappers: frozenset[int]) -> _Page:
+    page, at, end = _Page(wrappers), 0, len(html)
     while at < end:
         opened = html.find("<", at)
         if opened < 0:

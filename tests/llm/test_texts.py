@@ -330,6 +330,32 @@ def test_main_text_keeps_sections_far_shorter_than_the_longest(holder):
     assert html.main_text(page).split("\n") == ["One", texts[0].strip(), "Two", *[t.strip() for t in texts[1:]]]
 
 
+BODY = "<p>" + "A paragraph of the article that is long enough. " * 3 + "</p><p>Its second paragraph is shorter.</p>"
+PLAIN = ("A paragraph of the article that is long enough. " * 3).strip() + "\nIts second paragraph is shorter."
+
+
+@pytest.mark.parametrize(
+    "page, extra",
+    [
+        (f'<article>{BODY}<section id="social-history"><p>The social history.</p></section></article>', "The social history."),
+        (f'<article>{BODY}<p id="form-of-government">A republic.</p></article>', "A republic."),
+        (f'<article>{BODY}<h2 id="related-work">Related work</h2></article>', "Related work"),
+        (f'<article>{BODY}<p class="notice-period">A month.</p></article>', "A month."),
+        (f'<div class="page-with-sidebar">{BODY}</div>', ""),
+        (f'<div class="no-sidebar widget-area">{BODY}</div>', ""),
+        (f'<div class="content hidden-xs">{BODY}</div>', ""),
+        (f'<form action="/"><nav>Menu</nav><div class="content">{BODY}</div></form>', ""),
+        (f'<body><a name="top">{BODY}</body>', ""),
+        (f'<article><a href="/x">{BODY}</a></article>', ""),
+        (f'<article>{BODY}<div class="related-posts"><p>Other things to read</p></div></article>', ""),
+        (f'<article>{BODY}</article><div class="comment-list"><h1>Words</h1>{"<p>A long comment of a reader</p>" * 90}</div>', ""),
+        (f'<form><form class="form">{BODY}</form></form><div id="sidebar">Things beside</div>', ""),
+    ],
+)
+def test_main_text_keeps_the_article(page, extra):
+    assert html.main_text(page) == PLAIN + ("\n" + extra if extra else "")
+
+
 def test_extraction_stands_awkward_rows(spark):
     data = [(1, "u", PAGE, 1), (1, "u", PAGE, 1), (2, None, None, 2), (None, "v", "<p>" + "long text " * 20_000, 3)]
     table = spark.createDataFrame(data, "page_id long, url string, html string, text int")
