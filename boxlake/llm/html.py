@@ -2,7 +2,8 @@
 
 Markup is stripped into lines, one for each block element. Parts that are never text of the
 page (scripts, styles, forms, menus, headers, footers, sidebars, notices, adverts, reader
-comments) end with their element. The text lengths of the lines, without link text, are
+comments) end with their element; one that only its attributes name so, or a form, and that
+holds most of the page is a wrapper and stays. The text lengths of the lines, without link text, are
 summed over a sliding window; where the sum surges begins a run of text, where it dives
 ends it. The runs with most of the text name the smallest element that holds them all. It
 is widened to the article or main around it, or else as long as no such part is beside it,
