@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from boxlake.functions import geometry as G
 from boxlake.operators import calibrate, overlay, relative, scoring, tiles
+from boxlake.queries import QUERIES
 from helpers import detections
 
 
@@ -97,3 +98,10 @@ def test_rotation_and_bands(spark):
     assert (r.x1, r.y1, r.x2, r.y2) == (20, 170, 60, 190)
     drawn = overlay.detection_primitives(df, 0.0).orderBy("idx").collect()
     assert [d.band for d in drawn] == ["high", "medium", "normal"] and drawn[0].label == "A 95%"
+
+
+def test_tile_lists_are_not_broadcast(spark, sf_dir):
+    """They are made from few pages, and Spark takes them for as small as these."""
+    for name in ("tiles_to_page_numbered", "tile_completeness"):
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [tile" in plan and "BroadcastHashJoin [tile" not in plan

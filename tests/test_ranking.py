@@ -77,3 +77,11 @@ def test_medians_are_exact(spark, hot):
             v = sorted(r[i] for r in rows if r[0] == doc)
             assert got[doc][f"median_{axis}"] == pytest.approx((v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2, rel=1e-12)
         assert got[doc].sample_count == sum(r[0] == doc for r in rows)
+
+
+def test_one_shuffle_carries_whole_rows(spark):
+    """Beside it only cuts and the sizes of ranges are dealt by key."""
+    _, df = data(spark)
+    out = ranking.numbered(df, ["k"], [F.col("i")], "n", hot=10).drop("s")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1
