@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from boxlake.operators import calibrate, ranking
+from boxlake.operators import calibrate, catalog, ranking
 
 
 def jobs_of(spark, build):
@@ -85,3 +85,11 @@ def test_one_shuffle_carries_whole_rows(spark):
     out = ranking.numbered(df, ["k"], [F.col("i")], "n", hot=10).drop("s")
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number()") == 1
+
+
+def test_retention_settles_equal_times_and_names_by_path(spark):
+    rows = [("o", "n", f"/{i % 7}{i}", 5) for i in range(40)]
+    for data in (rows, rows[::-1]):
+        df = spark.createDataFrame(data, "owner string, name string, path string, modified int").coalesce(1)
+        kept = catalog.retention(df, 3, "owner").filter("action = 'keep'").collect()
+        assert sorted(r.path for r in kept) == sorted(r[2] for r in rows)[-3:]
