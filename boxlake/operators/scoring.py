@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ DETECTION = (
 )
 TILE_RESULT = f"tile string, image_path string, detection_count int, error string, detections {DETECTION}"
 OCR_ARRAYS = "rec_texts array<string>, rec_scores array<double>, rec_polys array<array<array<double>>>"
+OCR_TYPES = (pa.list_(pa.string()), pa.list_(pa.float64()), pa.list_(pa.list_(pa.list_(pa.float64()))))
 
 
 def score_tiles(
@@ -59,8 +61,8 @@ def read_regions(
     rois: DataFrame, recogniser: Callable[[pd.DataFrame], list[tuple[list, list, list]]]
 ) -> DataFrame:
     """Runs `recogniser` over batches of `roi_boxes` rows; adds `rec_texts, rec_scores,
-    rec_polys` and `error`. A batch that fails is read again row by row: only the rows that
-    fail by themselves have no texts, and say why in `error`."""
+    rec_polys` and `error`. A batch that fails is read again in halves, down to single rows:
+    only the rows that fail by themselves have no texts, and say why in `error`."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rois.schema.fields)
 
     def attempt(batch: pd.DataFrame) -> list[tuple]:
@@ -69,21 +71,27 @@ def read_regions(
             raise ValueError(f"{len(read)} results for {len(batch)} regions")
         return read
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def read_in_halves(batch: pd.DataFrame, errors: list[str | None], lo: int, hi: int) -> list[tuple]:
+        """Rows `lo` to `hi`, in halves where they can't be read at once."""
+        try:
+            return attempt(batch.iloc[lo:hi])
+        except Exception as e:  # noqa: BLE001 - any failure of the caller's code
+            if hi - lo == 1:
+                errors[lo] = f"{type(e).__name__}: {e}"
+                return [([], [], [])]
+        middle = (lo + hi) // 2
+        return read_in_halves(batch, errors, lo, middle) + read_in_halves(batch, errors, middle, hi)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            batch = rows.to_pandas()
             errors: list[str | None] = [None] * len(batch)
-            try:
-                read = attempt(batch)
-            except Exception:  # noqa: BLE001 - any failure of the caller's code
-                read = []
-                for i in range(len(batch)):
-                    try:
-                        read += attempt(batch.iloc[i : i + 1])
-                    except Exception as e:  # noqa: BLE001
-                        read.append(([], [], []))
-                        errors[i] = f"{type(e).__name__}: {e}"
-            yield batch.assign(
-                rec_texts=[r[0] for r in read], rec_scores=[r[1] for r in read], rec_polys=[r[2] for r in read], error=errors
+            read = read_in_halves(batch, errors, 0, len(batch)) if len(batch) else []
+            added = [pa.array([r[i] for r in read], t) for i, t in enumerate(OCR_TYPES)]
+            yield pa.RecordBatch.from_arrays(
+                [*rows.columns, *added, pa.array(errors, pa.string())], [*rows.schema.names, "rec_texts", "rec_scores", "rec_polys", "error"]
             )
 
-    return rois.mapInPandas(run, f"{schema}, {OCR_ARRAYS}, error string")
+    # reading costs far more than moving a row, and files may come as few splits with rows
+    tasks = int(rois.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rois.repartition(tasks).mapInArrow(run, f"{schema}, {OCR_ARRAYS}, error string")

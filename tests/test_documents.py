@@ -204,6 +204,22 @@ def test_reader_reports_rows_that_fail(spark):
     assert sum(len(r.rec_texts) for r in out) == 9
 
 
+def test_a_failed_batch_is_read_in_halves(spark, tmp_path):
+    """One bad region of many costs a few calls, not one for each region."""
+    calls = str(tmp_path / "calls")
+
+    def read(batch):
+        with open(calls, "a") as f:
+            f.write(".")
+        if (batch["n"] == 700).any():
+            raise ValueError("bad")
+        return [([str(n)], [1.0], [[[0.0, 0.0]]]) for n in batch["n"]]
+
+    out = scoring.read_regions(spark.range(1000).withColumnRenamed("id", "n"), read).collect()
+    assert {r.n: (r.rec_texts, r.error) for r in out} == {n: ([], "ValueError: bad") if n == 700 else ([str(n)], None) for n in range(1000)}
+    assert len(open(calls).read()) < 100
+
+
 def test_documents_without_texts_have_statistics(spark):
     tagged = spark.createDataFrame(
         [("d", "x", 1.0, 2.0, "ocr", None)], "doc string, text string, confidence double, relevance double, source string, sym_idx bigint"
