@@ -4,7 +4,9 @@ import json
 
 from pyspark.sql import functions as F
 
+from boxlake import fixtures, session
 from boxlake.operators import areas, catalog, fusion, ranking, scoring
+from boxlake.plans import pipelines
 from boxlake.sources import documents, tables
 from boxlake.streaming import ingest
 
@@ -323,3 +325,28 @@ def test_later_load_wins_whatever_the_clock_says(spark, tmp_path, monkeypatch):
     table = target
     (folder / "two.txt").unlink()
     assert load("three", 1.0, 1.0) == [1.0]
+
+
+def test_each_region_is_read_once(spark, sf_dir, tmp_path):
+    seen = str(tmp_path / "seen")
+
+    def read(batch):
+        with open(seen, "a") as f:
+            f.write("." * len(batch))
+        return [(["t"], [0.9], [[[0.0, 0.0], [1.0, 1.0]]])] * len(batch)
+
+    det = fixtures.detections(spark, sf_dir)
+    sizes = fixtures.pages(spark, sf_dir).selectExpr("doc", "page", "page_w * 2 as image_w", "page_h * 2 as image_h")
+    out = pipelines.recognise(det, sizes, read)
+    assert out.count() == len(out.collect()) == len(open(seen).read())
+
+
+def test_ingest_leaves_only_its_table(spark, sf_dir, tmp_path, monkeypatch):
+    """What a batch and a replay write on the way is gone when they end."""
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    det, pages = fixtures.detections(spark, sf_dir), fixtures.pages(spark, sf_dir)
+    docs = documents.detection_documents(pages, det)
+    assert ingest.replay(spark, docs, again=docs, force=True).count() == det.count()
+    assert len(list(tmp_path.iterdir())) == 1
+    base = next(tmp_path.iterdir())
+    assert {p.name for p in base.iterdir()} == {"table", "progress-first", "progress-again"}
