@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from boxlake import session
 from boxlake.operators import clusters, fusion, spatial
 from helpers import detections, distance, random_boxes, texts
 
@@ -163,3 +164,13 @@ def test_area_type_and_counts(spark):
     assert got[0].area_id == "area_component_000_000"
     assert (got[3].area_type, got[3].area_id) == ("text", "area_text_009_009")
     assert members.count() == 4
+
+
+def test_large_written_tables_are_not_broadcast(spark):
+    """A file below Spark's threshold may hold many times as much in rows."""
+    def plan(n):
+        a, b = (session.cut_sized(spark.range(n).selectExpr("id", f"hash(id) as {c}")) for c in "xy")
+        return a.join(b, "id")._jdf.queryExecution().executedPlan().toString()
+
+    assert "SortMergeJoin" in plan(300_000)
+    assert "BroadcastHashJoin" in plan(10)
