@@ -350,3 +350,10 @@ def test_ingest_leaves_only_its_table(spark, sf_dir, tmp_path, monkeypatch):
     assert len(list(tmp_path.iterdir())) == 1
     base = next(tmp_path.iterdir())
     assert {p.name for p in base.iterdir()} == {"table", "progress-first", "progress-again"}
+
+
+def test_extraction_leaves_only_its_results(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    found = pipelines.extract_text(fixtures.detections(spark, sf_dir), fixtures.spans(spark, sf_dir), fixtures.ocr_texts(spark, sf_dir))
+    assert found.texts.count() > found.statistics.count() > 0 and found.detections.count() > 0
+    assert len(list(tmp_path.iterdir())) == 2
