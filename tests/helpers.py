@@ -61,3 +61,16 @@ def texts(spark, rows, doc="d", page=1, source="pdf"):
     return spark.createDataFrame(
         [(doc, page, i, t, 1.0, *map(float, b), source) for i, t, b in rows], TEXT_SCHEMA
     )
+
+
+def moved(spark, make):
+    """Bytes that running `make` and reading its rows shuffles and writes."""
+
+    def total():
+        no_quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, no_quantiles, spark._jvm.java.util.ArrayList())
+        return {s.stageId(): s.shuffleWriteBytes() + s.outputBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = total()
+    make().write.format("noop").mode("overwrite").save()
+    return sum(v for k, v in total().items() if k not in before)
