@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from boxlake import fixtures as X
-from boxlake.operators import clusters, pagewise, spatial
+from boxlake.operators import clusters, dedup, fusion, pagewise, spatial
 from boxlake.queries import QUERIES
 from helpers import detections, distance, moved, random_boxes, texts
 
@@ -64,7 +64,44 @@ def test_texts_without_place_or_symbols(spark):
     assert [(r.cluster_id, r.symbol_count, r.area_type) for r in areas.collect()] == [(1, 0, "text")]
 
 
-@pytest.mark.parametrize("name,limit", [("text_clusters", 250), ("cluster_areas", 500)])
-def test_clusters_shuffle_rows_once(spark, sf_dir, name, limit):
-    """Bytes for each text (by cells: 900 and more), whatever the number of pages."""
-    assert moved(spark, lambda: QUERIES[name](spark, sf_dir)) < limit * X.texts(spark, sf_dir).count()
+@pytest.mark.parametrize("strict", [None, 0.8])
+def test_fused_on_pages_and_in_cells(spark, strict):
+    rnd = random.Random(5)
+    words = ["Motor 1", "motor1", "M1", " ", "Valve", "valve 12", None]
+
+    def side(seed):
+        rows = random_boxes(120, seed=seed, page=300, sizes=(5, 60))
+        return texts(spark, [(i, rnd.choice(words), b) for i, _, b in rows[:30]]).unionByName(
+            texts(spark, [(i, rnd.choice(words), b) for i, _, b in rows], page=2)
+        )
+
+    pdf, ocr = side(1), side(2).withColumn("source", F.lit("ocr"))
+    got = [
+        sorted((r.page, r.text_idx) for r in fusion.fuse(pdf, ocr, strict_ratio=strict, page_rows=limit).collect())
+        for limit in (1000, 60, 1)
+    ]
+    assert got[0] == got[1] == got[2] and 150 < len(got[0]) < 300
+
+
+def test_overlaps_on_pages_and_in_cells(spark):
+    df = detections(spark, random_boxes(30, seed=1, page=200)).unionByName(detections(spark, random_boxes(120, seed=2, page=300), page=2))
+    df = df.unionByName(detections(spark, [(i, 0.5, (0, 0, 0, 5)) for i in range(3)], page=3))  # without area
+    for threshold in (0.3, 1.0):
+        counts = [sorted(map(tuple, dedup.overlap_summary(df, threshold, page_rows=limit).collect())) for limit in (1000, 60, 1)]
+        assert counts[0] == counts[1] == counts[2] and len(counts[0]) == 3
+        first = [sorted(map(tuple, dedup.overlap_sample(df, threshold, 7, page_rows=limit).collect())) for limit in (1000, 60, 1)]
+        assert first[0] == first[1] == first[2]
+    assert len(first[0]) == 0
+
+
+LIMITS = {"text_clusters": 150, "cluster_areas": 400, "fused_texts_strict": 220, "overlap_pairs": 200, "overlap_examples": 150}
+
+
+@pytest.mark.parametrize("name", LIMITS)
+def test_pages_shuffle_rows_once(spark, sf_dir, name):
+    """Bytes for each line item, without broadcasts (by cells: 298, 821, 318, 389, 327)."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert moved(spark, lambda: QUERIES[name](spark, sf_dir)) < LIMITS[name] * X.texts(spark, sf_dir).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
