@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from boxlake.functions import cells as C
 from boxlake.functions import geometry as G
 from boxlake.operators.celltree import PAIR_LIMIT, inside, lattice, slightly_larger, tier
+from boxlake.operators.pagewise import PAGE_ROWS, in_two_ways, large_groups
 from boxlake.operators.ranking import first_n, hot_groups, numbered
 from boxlake.schemas import PAGE_KEYS
 from boxlake.session import cut_lineage
@@ -273,11 +274,37 @@ def overlapping(smaller: DataFrame, larger: DataFrame, keys: Sequence[str], iou_
 
 
 def overlap_summary(
-    df: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = PAGE_KEYS, pair_limit: int | None = None
+    df: DataFrame, iou_threshold: float = 0.5, keys: Sequence[str] = PAGE_KEYS, pair_limit: int | None = None,
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
     """Detections and overlapping pairs (IoU over the threshold) per page. Copies of
-    a box are counted by multiplication, not by pairing them."""
+    a box are counted by multiplication, not by pairing them. Pages of up to `page_rows`
+    detections are compared whole, larger ones by cells (with `pair_limit` all by `celltree`)."""
     keys = list(keys)
+    if pair_limit is not None:
+        return _counted(df, iou_threshold, keys, pair_limit)
+
+    def on_pages(df: DataFrame) -> DataFrame:
+        # brought together by page once, for copies, pairs and counts
+        boxes = df.select(*keys, "det_idx", *G.Box._fields).repartition(*keys)
+        distinct = _copies(boxes, keys)
+        right = distinct.select(*[F.col(c).alias(f"o_{c}") for c in distinct.columns])
+        met = reduce(lambda x, y: x & y, [F.col(k) == F.col(f"o_{k}") for k in keys]) & (F.col("rank") < F.col("o_rank"))
+        pairs = distinct.join(right, met & G.exceeds_iou(G.box(), G.box("o_"), iou_threshold))
+        across = pairs.groupBy(*keys).agg(F.sum(F.col("n") * F.col("o_n")).alias("_across"))
+        n = F.col("n")
+        within = F.sum(F.floor(n * (n - 1) / 2)) if iou_threshold < 1.0 else F.lit(0).cast("long")
+        copies = distinct.groupBy(*keys).agg(within.alias("_within"))
+        rows = boxes.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_detections"))
+        counted = rows.join(copies, keys, "left").join(across, keys, "left")
+        zero = F.lit(0).cast("long")
+        return counted.select(*keys, "total_detections", (F.coalesce("_within", zero) + F.coalesce("_across", zero)).alias("overlapping_pairs"))
+
+    large = large_groups([df], keys, page_rows)
+    return in_two_ways([df], keys, large, on_pages, lambda rows: _counted(rows, iou_threshold, keys, None))
+
+
+def _counted(df: DataFrame, iou_threshold: float, keys: list[str], pair_limit: int | None) -> DataFrame:
     distinct = _copies(df, keys)
     if pair_limit is not None:
         met = overlapping(distinct, distinct, keys, iou_threshold, pair_limit)
@@ -343,9 +370,11 @@ def _walked(thin: DataFrame, keys: list[str], iou_threshold: float, n: int, bloc
 
 
 def overlap_sample(
-    df: DataFrame, iou_threshold: float = 0.5, n: int = 10, keys: Sequence[str] = PAGE_KEYS, block: int | None = None
+    df: DataFrame, iou_threshold: float = 0.5, n: int = 10, keys: Sequence[str] = PAGE_KEYS, block: int | None = None,
+    page_rows: int = PAGE_ROWS,
 ) -> DataFrame:
-    """The first `n` overlapping pairs of each page in list order.
+    """The first `n` overlapping pairs of each page in list order. Pages of up to `page_rows`
+    detections are compared whole, larger ones by cells.
 
     With `block` (for dense pages) a page's boxes are walked in blocks in list order, the first
     of `block` boxes, each following one `NEXT_BLOCK` times as long: the pairs whose first box
@@ -354,6 +383,29 @@ def overlap_sample(
     be among the first n.
     """
     keys = list(keys)
+    if block is not None:
+        return _sampled(df, iou_threshold, n, keys, block)
+    b = G.box()
+
+    def on_pages(df: DataFrame) -> DataFrame:
+        solid = df.filter((G.width(b) > 0) & (G.height(b) > 0))
+        # brought together by page once, for copies, pairs and their order
+        solid = solid.select(*keys, "det_idx", "class_name", "confidence", *G.Box._fields).repartition(*keys)
+        thin = first_n(solid, [*keys, *G.Box._fields], [F.col("det_idx")], n + 1) if iou_threshold < 1.0 else solid
+        first, second = (thin.select(*[F.col(c).alias(f"{p}_{c}") for c in thin.columns]) for p in ("a", "b"))
+        met = reduce(lambda x, y: x & y, [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]) & (F.col("a_det_idx") < F.col("b_det_idx"))
+        pairs = first.join(second, met & G.exceeds_iou(G.box("a_"), G.box("b_"), iou_threshold))
+        pairs = first_n(pairs.withColumnsRenamed({f"a_{k}": k for k in keys}), keys, [F.col("a_det_idx"), F.col("b_det_idx")], n)
+        described = [c for c in thin.columns if c not in keys]
+        return pairs.select(
+            *keys, *[f"{p}_{c}" for p in ("a", "b") for c in described], G.iou(G.box("a_"), G.box("b_")).alias("iou")
+        )
+
+    large = large_groups([df], keys, page_rows)
+    return in_two_ways([df], keys, large, on_pages, lambda rows: _sampled(rows, iou_threshold, n, keys, None))
+
+
+def _sampled(df: DataFrame, iou_threshold: float, n: int, keys: list[str], block: int | None) -> DataFrame:
     b = G.box()
     solid = df.filter((G.width(b) > 0) & (G.height(b) > 0))
     copies = [*keys, "x1", "y1", "x2", "y2"]
@@ -368,9 +420,10 @@ def overlap_sample(
         described.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in described.columns if c not in keys])
         for p in ("a", "b")
     )
+    described = [c for c in described.columns if c not in keys]
     return (
         pairs.withColumnsRenamed({"hi": "a_det_idx", "lo": "b_det_idx"})
         .join(first, [*keys, "a_det_idx"])
         .join(second, [*keys, "b_det_idx"])
-        .withColumn("iou", G.iou(G.box("a_"), G.box("b_")))
+        .select(*keys, *[f"{p}_{c}" for p in ("a", "b") for c in described], G.iou(G.box("a_"), G.box("b_")).alias("iou"))
     )
