@@ -8,15 +8,16 @@ below `MISS`; survivors are confirmed on the full sets.
 
 Pairs within a group of copies aren't all needed: first each class of a band is compared
 with one chosen lead of that band (`LEAD_ROUNDS` times, with other leads) and linked
-classes grow together. Then what isn't joined yet is compared with all it shares a band with, in crowded bands by way of the
-band's centre (`_around_centres`), so that no link between components is lost (but for what
-the bands miss: (1 - s^4)^32, or 5e-8 at s = 0.8).
+classes grow together. Then what isn't joined yet is compared with all it shares a band
+with, in crowded bands by way of the band's centre (`_around_centres`), so that no link
+between components is lost (but for what the bands miss: (1 - s^4)^32, or 5e-8 at
+s = 0.8, and as little by long keys).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxlake.llm.common import mix, slices, small_batches, window_hashes, word_hashes
+from boxlake.llm.common import BASE, mix, slices, small_batches, window_hashes, word_hashes
 from boxlake.operators.clusters import connected_components
 from boxlake.session import cut_lineage
 
@@ -33,8 +34,12 @@ BANDS = HASHES // ROWS
 BATCH = 32
 MISS = 1e-7
 LEAD_ROUNDS = 1
-# In bands of more classes than this, classes meet by what the centre lacks.
+# In bands of more classes than this, classes meet by what the centre lacks or in long keys.
 CROWD = 16
+# Pairs for each class around a centre above which its classes meet in long keys.
+MANY = 32
+# Texts whose long keys a task holds at once.
+LONG_TEXTS = 500
 # Pairs for each row of the open bands up to which all are compared at once.
 FEW = 8
 
@@ -234,43 +239,118 @@ def _residues(size: int, percent: int):
     return residues
 
 
+def _long_shape(share: float) -> tuple[int, int]:
+    """How many minima a long key has, so that a link shares one with a probability of about
+    1 / 35, and how many keys let a link go unmet no more often than the bands do."""
+    rows = max(ROWS, round(log(1 / 35) / log(min(share, 0.99))))
+    return rows, ceil(log((1 - share**ROWS) ** BANDS) / log1p(-(share**rows))) if share < 1 else 1
+
+
+def _long_keys(size: int, share: float):
+    """For each row: the long keys of its text's set, one row each. They are told apart by
+    minima of their own, other than those of the signature."""
+    rows, bands = _long_shape(share)
+    factors = np.random.RandomState(20_012).randint(0, 1 << 31, (bands, rows)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+
+    def keys(batches) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "text"):
+            for start in range(0, batch.num_rows, LONG_TEXTS):
+                piece = batch.slice(start, LONG_TEXTS)
+                sets = list(shingles(piece.column("text"), size))
+                at = np.flatnonzero([len(s) for s in sets])
+                if not len(at):
+                    continue
+                joined = (mix(np.concatenate(sets)) >> np.uint64(32)).astype(np.uint32)
+                starts = np.cumsum([0, *[len(sets[i]) for i in at[:-1]]])
+                out = np.zeros((bands, len(at)), dtype=np.uint64)
+                buffer = np.empty_like(joined)
+                for i in range(bands):
+                    out[i] = i
+                    for factor in factors[i]:
+                        np.multiply(joined, factor, out=buffer)
+                        out[i] = out[i] * BASE + np.minimum.reduceat(buffer, starts)
+                    mix(out[i])
+                named = piece.select(["doc_id", "grp"]).take(pa.array(np.tile(at, bands)))
+                yield pa.RecordBatch.from_arrays([*named.columns, pa.array(out.ravel().view(np.int64))], ["doc_id", "grp", "key"])
+
+    return keys
+
+
+def _merged(bands: DataFrame, links: DataFrame) -> DataFrame:
+    """`bands` with the groups that `links` join as one, left to those of several groups."""
+    groups = bands.select("doc_id", "grp").distinct()
+    for side in "ab":
+        links = links.join(groups.select(F.col("doc_id").alias(side), F.col("grp").alias(f"g{side}")), side)
+    joined = connected_components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")), [])
+    bands = bands.join(joined.select(F.col("node").alias("grp"), "root"), "grp", "left")
+    return _with_groups(bands.select("key", "doc_id", F.coalesce("root", "grp").alias("grp")), None)
+
+
 def _around_centres(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Links with the centres of crowded bands, and the pairs of their other classes that may
-    be linked. Sharing only what the centre has, x and y have at most |x & centre| in common,
-    which must reach s / (1 + s) (|x| + |y|), at least s |x|. So they share s |x| - |x & centre|
-    elements beyond the centre, or the other's size lies in the range that needs none. The
-    former meet in the rarest of x's elements beyond the centre, all but that many less one:
-    what many classes have is met only by classes that have little else. Pairs of one group,
-    and those of which both are linked with the centre, aren't needed."""
+    be linked. Groups joined by links with the centres are joined first. Classes of different
+    groups left around a centre meet in one of two ways, by the centre:
+
+    Sharing only what the centre has, x and y have at most |x & centre| in common, which must
+    reach s / (1 + s) (|x| + |y|), at least s |x|. So they share s |x| - |x & centre| elements
+    beyond the centre, or the other's size lies in the range that needs none. The former meet
+    in the rarest of x's elements beyond the centre, all but that many less one. This spares
+    the pairs of copies that are near to the centre.
+
+    Where many classes have the same beyond the centre, that would make nearly all pairs. The
+    classes of such a centre meet in long keys instead, of so many minima that pairs
+    well below a link seldom share one, and of so many of these that a link is lost no more
+    often than by the bands."""
     centres = _lead_pairs(bands, 0, apart=False)
     for side in "ab":
         centres = centres.join(texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"t{side}")), side)
-    found = centres.select("a", "b", "ta", "tb").mapInArrow(
+    found = cut_lineage(centres.select("a", "b", "ta", "tb").mapInArrow(
         _residues(size, percent), "a long, b long, n long, linked boolean, low long, high long, own array<bigint>"
+    ))
+    linked = found.filter("linked").select("a", "b")
+    groups = _merged(bands, linked).select(F.col("doc_id").alias("a"), "grp").distinct()
+    found = found.join(groups, "a")
+    around = found.groupBy("b").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("grp").alias("g1"), F.max("grp").alias("g2")
     )
-    groups = bands.select(F.col("doc_id").alias("a"), "grp").distinct()
-    found = cut_lineage(found.join(groups, "a"))
+    around = cut_lineage(around.filter("g1 < g2").select("b", "rows"))
+    found = cut_lineage(found.join(around.select("b"), "b"))
 
     beyond = F.greatest(F.lit(1), F.col("low") - (F.col("n") - F.size("own")))
-    met = found.select("a", "b", "linked", "grp", (F.size("own") - beyond + 1).alias("rarest"), F.size("own").alias("all"), F.explode("own").alias("s"))
-    often = met.groupBy("b", "s").agg(
-        F.count(F.lit(1)).alias("df"), F.min("linked").alias("none"), F.min("grp").alias("g1"), F.max("grp").alias("g2")
-    )
+    # lists are as long as sets, so they are dealt evenly before they become rows
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = found.repartition(tasks, "a", "b").select("a", "b", "grp", (F.size("own") - beyond + 1).alias("rarest"), F.size("own").alias("all"), F.explode("own").alias("s"))
+    often = met.groupBy("b", "s").agg(F.count(F.lit(1)).alias("df"), F.min("grp").alias("g1"), F.max("grp").alias("g2"))
     met = met.filter("rarest > 0").join(often.filter("df > 1"), ["b", "s"])
     # elements of one class only are the rarest, and lead nowhere
     mine = Window.partitionBy("a", "b")
     alone = F.col("all") - F.count(F.lit(1)).over(mine)
     met = met.withColumns({"alone": alone, "place": F.row_number().over(mine.orderBy("df", "s"))})
-    met = met.filter("place + alone <= rarest and not none and g1 < g2").select("b", "s", "a", "linked", "grp")
-    met = cut_lineage(met)
-    left, right = (met.select("b", "s", F.col("a").alias(n), F.col("linked").alias(f"l{n}"), F.col("grp").alias(f"g{n}")) for n in ("x", "y"))
-    pairs = left.join(right, ["b", "s"]).filter("x < y and not (lx and ly) and gx <> gy").select("x", "y")
-    open_ = found.filter("not linked and high >= low")
+    met = cut_lineage(met.filter("place + alone <= rarest and g1 < g2").select("b", "s", "a", "grp"))
+    long_ = _by_long_keys(around, met)
+    met = met.join(long_, "b", "left_anti")
+    left, right = (met.select("b", "s", F.col("a").alias(n), F.col("grp").alias(f"g{n}")) for n in ("x", "y"))
+    pairs = left.join(right, ["b", "s"]).filter("x < y and gx <> gy").select("x", "y")
+    near = found.join(long_, "b", "left_anti")
+    open_ = near.filter("not linked and high >= low")
     sized = open_.select("b", F.explode(F.sequence("low", "high")).alias("n"), F.col("a").alias("x"), F.col("grp").alias("gx"))
-    others = found.select("b", "n", F.col("a").alias("y"), F.col("grp").alias("gy"))
+    others = near.select("b", "n", F.col("a").alias("y"), F.col("grp").alias("gy"))
     small = sized.join(others, ["b", "n"]).filter("x <> y and gx <> gy")
-    pairs = pairs.union(small.select(F.least("x", "y"), F.greatest("x", "y"))).toDF("a", "b").distinct()
-    return found.filter("linked").select("a", "b"), pairs
+    pairs = pairs.union(small.select(F.least("x", "y"), F.greatest("x", "y"))).toDF("a", "b")
+
+    far = found.join(long_, "b", "left_semi").select(F.col("a").alias("doc_id"), "grp").distinct()
+    keyed = texts.join(far, "doc_id").select("doc_id", "grp", "text")
+    keyed = cut_lineage(keyed.mapInArrow(_long_keys(size, percent / 100), "doc_id long, grp long, key long"))
+    return linked, pairs.unionByName(_all_pairs(cut_lineage(_with_groups(keyed, None)))).distinct()
+
+
+def _by_long_keys(around: DataFrame, met: DataFrame) -> DataFrame:
+    """The centres `b` around which the elements `met` would make more than `MANY` pairs for
+    each class."""
+    sizes = met.groupBy("b", "s", "grp").agg(F.count(F.lit(1)).alias("n")).groupBy("b", "s")
+    sizes = sizes.agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
+    pairs = sizes.groupBy("b").agg(F.sum("pairs").alias("pairs"))
+    return cut_lineage(around.join(pairs, "b").filter(F.col("pairs") > MANY * F.col("rows")).select("b"))
 
 
 def _few_pairs(bands: DataFrame) -> bool:

@@ -211,3 +211,19 @@ def test_pairs_of_two_clusters_grow_linearly(spark):
     assert pairs.count() < 4 * 1200
     got = {d: c for d, c in rows(neardup.components(df, 4), "doc_id", "component_id")}
     assert got == {i: i % 2 for i in range(1200)}
+
+
+def test_pairs_of_texts_of_common_passages_are_few(spark):
+    """Texts of 28 of 40 common passages: any two have much in common, few are linked."""
+    rnd = random.Random(3)
+    passages = [" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(12)) for _ in range(40)]
+    docs = [" ".join(passages[i] for i in sorted(rnd.sample(range(40), 28))) for _ in range(250)]
+    docs += [d.replace(d.split()[50], "other") for d in docs[:20]]
+    df = documents(spark, docs)
+    known = neardup.sketches(df, 4)
+    keyed = known.select("doc_id", F.explode(neardup.band_keys(F.col("signature"))).alias("key")).withColumn("grp", F.col("doc_id"))
+    bands = neardup._with_groups(keyed, None)
+    linked, pairs = neardup._around_centres(bands, df, 4, 80)
+    assert pairs.count() < 15 * len(docs)
+    got = neardup.components(df, 4)
+    assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == plain_components(docs, 4, 80)
