@@ -11,8 +11,9 @@ counts, turns into a score.
 
 The models grow with the corpus and stay in Spark: grams and words are tables keyed by
 themselves. Texts are packed into blocks that hold each of their words once; a block asks for
-each of its different grams and words once, by joins, and scores its texts with the answers.
-Only totals and the curve come to the driver.
+each of its different grams once, and for the words that a filter of fixed size lets through,
+by joins, and scores its texts with the answers. Only totals, the curve and that filter come
+to the driver.
 """
 
 from __future__ import annotations
@@ -43,7 +44,9 @@ STRONG = 1.0
 TEXT_AT_ONCE = 500_000  # bytes of text whose words a task holds as arrays
 # Different words, counted by block, for each shard that answers what blocks ask.
 SHARD_WORDS = 250_000
-BLOCK_BYTES = 8_000_000  # of text (or of words) that share a list of different words
+BLOCK_BYTES = 24_000_000  # of text (or of words) that share a list of different words
+# Places of a filter of the words with evidence: blocks ask only for words it may hold.
+FILTER = 1 << 20
 PAD = "\x02"
 END = "\x03"
 
@@ -162,7 +165,7 @@ def gram_ratios(seen: DataFrame, grams: dict[int, DataFrame]) -> DataFrame:
 
 def _packed(table: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as writer:
         writer.write(table)
     return sink.getvalue().to_pybytes()
 
@@ -189,18 +192,33 @@ def _shards(strings: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(of[order], np.arange(n + 1))
 
 
-def _asked_of(words: list[str], kind: str) -> list[str]:
-    if kind == "word":
-        return words
+def _told_words(words: list[str], known: np.ndarray) -> np.ndarray:
+    """The places of the words that may have evidence."""
+    of = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % FILTER
+    return np.flatnonzero(np.unpackbits(known, count=FILTER)[of])
+
+
+def _asked_of(words: list[str], known: np.ndarray | None) -> list[str]:
+    """What a block asks for: words, with a filter of the `known` ones, else grams."""
+    if known is not None:
+        return [words[i] for i in _told_words(words, known).tolist()]
     joined, first, _, _ = _grams_of(words)
     return [joined[i : i + ORDER] for i in first.tolist()]
 
 
-def _ask(kind: str, shards: int):
+def _word_filter(known: DataFrame) -> np.ndarray:
+    """Which places of the filter hold a word of `known`, as bits; a fixed size for any corpus."""
+    places = known.select((F.crc32(F.col("word").cast("binary")) % FILTER).cast("int").alias("place")).distinct().toArrow()
+    filled = np.zeros(FILTER, dtype=bool)
+    filled[np.asarray(places["place"])] = True
+    return np.packbits(filled)
+
+
+def _ask(known: np.ndarray | None, shards: int):
     def ask(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, payload in zip(batch.column("block").to_pylist(), batch.column("words")):
-                keys = _asked_of(_unpacked(payload.as_py())["word"].to_pylist(), kind)
+                keys = _asked_of(_unpacked(payload.as_py())["word"].to_pylist(), known)
                 order, bounds = _shards(keys, shards)
                 sorted_ = pa.array(keys, pa.string()).take(pa.array(order))
                 full = np.flatnonzero(np.diff(bounds))
@@ -238,29 +256,31 @@ def _answers(asked: DataFrame, known: DataFrame, shards: int, kind: str) -> Data
     return told.select("block", F.lit(kind).alias("kind"), "shard", "values")
 
 
-def _answered(blocks: DataFrame, counts: DataFrame) -> tuple[DataFrame, int]:
-    """`blocks` (`block, n_words, words, ...`) with `answers`, a list of `kind, shard, values`, and
-    the number of shards. A block sends each shard one packed list of its different grams
+def _answered(blocks: DataFrame, counts: DataFrame) -> tuple[DataFrame, int, np.ndarray]:
+    """`blocks` (`block, n_words, words, ...`) with `answers`, a list of `kind, shard, values`,
+    the number of shards, and the filter of words with evidence. A block sends each shard one packed list of its different grams
     (words) and gets one of their ratios (evidence) back."""
     shards = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // SHARD_WORDS))
     schema = "shard long, block long, keys binary"
-    grams = cut_lineage(blocks.select("block", "words").mapInArrow(_ask("gram", shards), schema))
+    grams = cut_lineage(blocks.select("block", "words").mapInArrow(_ask(None, shards), schema))
     seen = grams.groupBy("shard").applyInArrow(lambda rows: _different(rows), "gram string")
     ratios = gram_ratios(cut_lineage(seen), gram_counts(counts))
-    words = blocks.select("block", "words").mapInArrow(_ask("word", shards), schema)
+    evidence = cut_lineage(known_words(counts))
+    known = _word_filter(evidence)
+    words = blocks.select("block", "words").mapInArrow(_ask(known, shards), schema)
     told = _answers(grams, ratios.select(F.col("gram").alias("key"), F.col("ratio").alias("v")), shards, "gram")
-    told = told.unionByName(_answers(words, known_words(counts).select(F.col("word").alias("key"), F.col("evidence").alias("v")), shards, "word"))
+    told = told.unionByName(_answers(words, evidence.select(F.col("word").alias("key"), F.col("evidence").alias("v")), shards, "word"))
     told = told.groupBy("block").agg(F.collect_list(F.struct("kind", "shard", "values")).alias("answers"))
-    return blocks.join(_shuffled(told), "block", "left"), shards
+    return blocks.join(_shuffled(told), "block", "left"), shards, known
 
 
-def _of_words(words: list[str], answers: list[dict] | None, shards: int) -> tuple[np.ndarray, np.ndarray]:
+def _of_words(words: list[str], answers: list[dict] | None, shards: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The evidence of each word as a whole and of its characters, the latter divided by the
     root of their number, so that neither many common characters nor few rare ones decide
     alone. A word that doesn't point to the toxic class has 0 as a whole."""
     values = {}
     for kind in ("gram", "word"):
-        keys = _asked_of(words, kind)
+        keys = _asked_of(words, known if kind == "word" else None)
         order, bounds = _shards(keys, shards)
         values[kind] = np.zeros(len(keys))
         for told in answers or []:
@@ -271,7 +291,9 @@ def _of_words(words: list[str], answers: list[dict] | None, shards: int) -> tupl
         return np.zeros(0), np.zeros(0)
     _, _, number, lengths = _grams_of(words)
     sums = np.add.reduceat(values["gram"][number], np.cumsum(lengths) - lengths)
-    return values["word"], sums / np.sqrt(lengths)
+    whole = np.zeros(len(words))
+    whole[_told_words(words, known)] = values["word"]
+    return whole, sums / np.sqrt(lengths)
 
 
 def _pack_vocabulary(batches) -> Iterator[pa.RecordBatch]:
@@ -279,12 +301,12 @@ def _pack_vocabulary(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([_packed(batch.select(["word"]))], pa.binary())], ["n_words", "words"])
 
 
-def _unpack_vocabulary(shards: int):
+def _unpack_vocabulary(shards: int, known: np.ndarray):
     def unpack(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for payload, answers in zip(batch.column("words"), batch.column("answers")):
                 words = _unpacked(payload.as_py())["word"].combine_chunks()
-                whole, parts = _of_words(words.to_pylist(), answers.as_py(), shards)
+                whole, parts = _of_words(words.to_pylist(), answers.as_py(), shards, known)
                 yield pa.RecordBatch.from_arrays([words, pa.array(whole), pa.array(parts)], ["word", "whole", "parts"])
 
     return unpack
@@ -295,8 +317,8 @@ def word_evidence(vocabulary: DataFrame, labelled: DataFrame) -> DataFrame:
     toxic`): see `_of_words`."""
     blocks = vocabulary.select("word").mapInArrow(_pack_vocabulary, "n_words long, words binary")
     blocks = cut_lineage(blocks.withColumn("block", F.monotonically_increasing_id()))
-    told, shards = _answered(blocks, cut_lineage(word_counts(labelled)))
-    return told.select("words", "answers").mapInArrow(_unpack_vocabulary(shards), "word string, whole double, parts double")
+    told, shards, known = _answered(blocks, cut_lineage(word_counts(labelled)))
+    return told.select("words", "answers").mapInArrow(_unpack_vocabulary(shards, known), "word string, whole double, parts double")
 
 
 # ------------------------------------------------------------------ texts
@@ -331,12 +353,12 @@ def _pack_texts(batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([len(vocabulary)]), *packed], ["n_words", "words", "pairs", "rows"])
 
 
-def _features(shards: int):
+def _features(shards: int, known: np.ndarray):
     def features(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 words, pairs, rows, answers = (batch.column(c)[i] for c in ("words", "pairs", "rows", "answers"))
-                whole, parts = _of_words(_unpacked(words.as_py())["word"].to_pylist(), answers.as_py(), shards)
+                whole, parts = _of_words(_unpacked(words.as_py())["word"].to_pylist(), answers.as_py(), shards, known)
                 rows, pairs = _unpacked(rows.as_py()), _unpacked(pairs.as_py())
                 row, word, n = (np.asarray(pairs[c]) for c in ("row", "word", "n"))
                 first = np.flatnonzero(np.diff(row, prepend=-1))  # pairs are in order of their rows
@@ -384,11 +406,33 @@ def _count_words_of_blocks(batches) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([words.take(pa.array(seen)), pa.array(t[seen]), pa.array(o[seen])], ["word", "t", "o"])
 
 
+def _may_be_marked(doc_id: np.ndarray) -> np.ndarray:
+    """Rows whose crc32(doc_id) lets them into the counts, labelled or not."""
+    of = np.fromiter((zlib.crc32(str(d).encode()) for d in doc_id.tolist()), np.int64, len(doc_id))
+    return (of % 3 != 1) & (of % 7 != 0)
+
+
+def _words_to_count(batches) -> Iterator[pa.RecordBatch]:
+    """Blocks without how often a row has a word, and without the rows that are never counted."""
+    for batch in batches:
+        for block, words, pairs, rows in zip(*(batch.column(c) for c in ("block", "words", "pairs", "rows"))):
+            pairs, ids = _unpacked(pairs.as_py()), _unpacked(rows.as_py())["doc_id"]
+            may = np.array(ids.is_valid())
+            may[may] = _may_be_marked(np.asarray(ids.drop_null()))
+            pairs = pairs.select(["row", "word"]).filter(pa.array(may[np.asarray(pairs["row"])]))
+            used, place = np.unique(np.asarray(pairs["word"]), return_inverse=True)
+            words = _unpacked(words.as_py()).take(pa.array(used))
+            pairs = pa.table({"row": pairs["row"], "word": place.astype(np.int32)})
+            packed = [pa.array([_packed(p)], pa.binary()) for p in (words, pairs)]
+            yield pa.RecordBatch.from_arrays([pa.array([block.as_py()], pa.int64()), *packed], ["block", "words", "pairs"])
+
+
 def block_word_counts(blocks: DataFrame, marked: DataFrame) -> DataFrame:
-    """`word, t, o` as of `word_counts`, of the rows `marked` (`block, row, toxic`). Labels travel
-    to the blocks, so no text is shuffled for them."""
+    """`word, t, o` as of `word_counts`, of the rows `marked` (`block, row, toxic`), of those
+    that `_may_be_marked`. Labels travel to the blocks, so no text is shuffled for them."""
     marks = marked.groupBy("block").agg(F.collect_list(F.struct("row", "toxic")).alias("marks"))
-    met = blocks.select("block", "words", "pairs").join(_shuffled(marks), "block").select("words", "pairs", "marks")
+    least = blocks.select("block", "words", "pairs", "rows").mapInArrow(_words_to_count, "block long, words binary, pairs binary")
+    met = least.join(_shuffled(marks), "block").select("words", "pairs", "marks")
     counted = met.mapInArrow(_count_words_of_blocks, "word string, t long, o long")
     return counted.groupBy("word").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
 
@@ -397,9 +441,9 @@ def block_features(blocks: DataFrame, counts: DataFrame) -> DataFrame:
     """For each row of the blocks: `doc_id, h`, the strongest evidence of a word (f1), the
     logarithm of 1 + the sum of that over `STRONG` (f2), the strongest of a word's characters
     (f3), and the characters' mean over the words (f4); all 0 without words."""
-    told, shards = _answered(blocks, counts)
+    told, shards, known = _answered(blocks, counts)
     told = told.select("words", "pairs", "rows", "answers")
-    return cut_lineage(told.mapInArrow(_features(shards), f"doc_id long, h long, {', '.join(f'{c} double' for c in NAMES)}"))
+    return cut_lineage(told.mapInArrow(_features(shards, known), f"doc_id long, h long, {', '.join(f'{c} double' for c in NAMES)}"))
 
 
 # ------------------------------------------------------------------ scores

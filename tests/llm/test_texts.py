@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import time
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -450,3 +451,29 @@ def test_personal_data_stands_awkward_rows(spark):
     assert {(e, p) for e, p in rows(out.filter("n_email > 0"), "n_email", "n_phone")} == {(1, 1)}
     assert all(b == hashlib.sha256(b"").hexdigest() for (b,) in rows(out.filter("doc_id in (2, 3, 4)"), "base_sha256"))
     assert pii.find(table.limit(0)).count() == 0
+
+
+def test_toxicity_blocks_ask_only_for_words_with_evidence(spark):
+    """What a block asks for follows the known words, not its own vocabulary."""
+    known = spark.createDataFrame([("wort",), ("straße",)], "word string")
+    told = toxicity._word_filter(known)
+    words = [f"w{i}" for i in range(20_000)] + ["straße", "wort"]
+    asked = toxicity._asked_of(words, told)
+    assert {"wort", "straße"} <= set(asked) and len(asked) < 20
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    assert toxicity._asked_of(words, toxicity._word_filter(known)) == words
+
+
+def test_toxicity_counts_words_of_marked_rows(spark):
+    texts = [f"common w{i % 9} own{i}" for i in range(60)] + [None, ""]
+    docs = documents(spark, texts).selectExpr("doc_id", "doc_id as h", "text")
+    marks = {i: i % 2 for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1 and zlib.crc32(str(i).encode()) % 7}
+    blocks = toxicity.text_blocks(docs)
+    labelled = toxicity.marked_rows(blocks, labels(spark, [(i, 1, t) for i, t in marks.items()]))
+    got = {w: (t, o) for w, t, o in rows(toxicity.block_word_counts(blocks, labelled), "word", "t", "o")}
+    want = {}
+    for i, toxic in marks.items():
+        for w in texts[i].split():
+            t, o = want.get(w, (0, 0))
+            want[w] = (t + toxic, o + 1 - toxic)
+    assert got == want
