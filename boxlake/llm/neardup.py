@@ -181,13 +181,29 @@ def confirmed_pairs(pairs: DataFrame, texts: DataFrame, size: int, percent: int)
 
 # ------------------------------------------------------------------ groups
 
+def _open(bands: DataFrame) -> DataFrame:
+    """`key, n` of the bands that hold more than one group, with their number of classes."""
+    sizes = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("grp").alias("_lo"), F.max("grp").alias("_hi"))
+    return sizes.filter("_lo < _hi").select("key", "n")
+
+
+def _met(bands: DataFrame, keys: DataFrame) -> DataFrame:
+    """`key, doc_id, grp` of the bands in `keys`."""
+    return bands.join(keys.select("key"), "key", "left_semi").select("key", "doc_id", "grp")
+
+
+def _grouped(bands: DataFrame, links: DataFrame | None) -> DataFrame:
+    """`bands` with the groups that `links` make."""
+    if links is None:
+        return bands
+    groups = connected_components(links, []).select(F.col("node").alias("doc_id"), F.col("root").alias("_grp"))
+    return bands.join(groups, "doc_id", "left").select("key", "doc_id", F.coalesce("_grp", "doc_id").alias("grp"))
+
+
 def _with_groups(bands: DataFrame, links: DataFrame | None) -> DataFrame:
     """`key, doc_id, grp`, left to bands that hold more than one group."""
-    if links is not None:
-        groups = connected_components(links, []).select(F.col("node").alias("doc_id"), F.col("root").alias("_grp"))
-        bands = bands.join(groups, "doc_id", "left").withColumn("grp", F.coalesce("_grp", "doc_id")).drop("_grp")
-    open_ = bands.groupBy("key").agg(F.min("grp").alias("_lo"), F.max("grp").alias("_hi")).filter("_lo < _hi")
-    return bands.join(open_.select("key"), "key", "left_semi").select("key", "doc_id", "grp")
+    bands = _grouped(bands, links)
+    return _met(bands, _open(bands))
 
 
 def _lead_pairs(bands: DataFrame, turn: int, apart: bool = True) -> DataFrame:
@@ -276,14 +292,13 @@ def _long_keys(size: int, share: float):
     return keys
 
 
-def _merged(bands: DataFrame, links: DataFrame) -> DataFrame:
-    """`bands` with the groups that `links` join as one, left to those of several groups."""
-    groups = bands.select("doc_id", "grp").distinct()
+def _merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """`doc_id, grp` with the groups that `links` join as one."""
     for side in "ab":
         links = links.join(groups.select(F.col("doc_id").alias(side), F.col("grp").alias(f"g{side}")), side)
     joined = connected_components(links.select(F.col("ga").alias("a"), F.col("gb").alias("b")), [])
-    bands = bands.join(joined.select(F.col("node").alias("grp"), "root"), "grp", "left")
-    return _with_groups(bands.select("key", "doc_id", F.coalesce("root", "grp").alias("grp")), None)
+    groups = groups.join(joined.select(F.col("node").alias("grp"), "root"), "grp", "left")
+    return groups.select("doc_id", F.coalesce("root", "grp").alias("grp"))
 
 
 def _around_centres(bands: DataFrame, texts: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -308,8 +323,8 @@ def _around_centres(bands: DataFrame, texts: DataFrame, size: int, percent: int)
         _residues(size, percent), "a long, b long, n long, linked boolean, low long, high long, own array<bigint>"
     ))
     linked = found.filter("linked").select("a", "b")
-    groups = _merged(bands, linked).select(F.col("doc_id").alias("a"), "grp").distinct()
-    found = found.join(groups, "a")
+    groups = _merged(cut_lineage(bands.select("doc_id", "grp").distinct()), linked)
+    found = found.join(groups.withColumnRenamed("doc_id", "a"), "a")
     around = found.groupBy("b").agg(
         F.count(F.lit(1)).alias("rows"), F.min("grp").alias("g1"), F.max("grp").alias("g2")
     )
@@ -353,12 +368,10 @@ def _by_long_keys(around: DataFrame, met: DataFrame) -> DataFrame:
     return cut_lineage(around.join(pairs, "b").filter(F.col("pairs") > MANY * F.col("rows")).select("b"))
 
 
-def _few_pairs(bands: DataFrame) -> bool:
-    """Whether the pairs of all bands are no more than a few for each row, so that further
-    leads would save nothing."""
-    row = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")
-    ).first()
+def _few_pairs(keys: DataFrame) -> bool:
+    """Whether the pairs of all open bands are no more than a few for each row, so that
+    further leads would save nothing."""
+    row = keys.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
     return (row["pairs"] or 0) <= FEW * (row["rows"] or 0)
 
 
@@ -385,16 +398,15 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(met, "doc_id", "left_semi")
     texts = cut_lineage(texts.dropDuplicates(["doc_id"]))
 
-    links = None
+    links, open_ = None, cut_lineage(_open(bands))
     for turn in range(LEAD_ROUNDS + 1):
-        last = turn == LEAD_ROUNDS or turn > 0 and _few_pairs(bands)
+        last = turn == LEAD_ROUNDS or turn > 0 and _few_pairs(open_)
         pairs = None if last else _lead_pairs(bands, turn)
         if last:
-            crowded = bands.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > CROWD)
-            crowded = cut_lineage(crowded.select("key"))
-            central, pairs = _around_centres(bands.join(crowded, "key", "left_semi"), texts, size, percent)
+            crowded = F.col("n") > CROWD
+            central, pairs = _around_centres(_met(bands, open_.filter(crowded)), texts, size, percent)
             links = central if links is None else links.unionByName(central)
-            pairs = pairs.unionByName(_all_pairs(bands.join(crowded, "key", "left_anti"))).distinct()
+            pairs = pairs.unionByName(_all_pairs(_met(bands, open_.filter(~crowded)))).distinct()
         pairs = promising_pairs(pairs, signatures, share)
         if not last:  # one attempt each: the lead that looks most alike
             pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("matches", "b")).alias("b"))
@@ -402,8 +414,9 @@ def components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
         if found.limit(1).count():
             links = found if links is None else links.unionByName(found)
             if not last:
-                bands = cut_lineage(_with_groups(bands, links))
-        if last or not bands.limit(1).count():
+                bands = cut_lineage(_grouped(bands, links))
+                open_ = cut_lineage(_open(bands))
+        if last or not open_.limit(1).count():
             break
 
     members = classes

@@ -227,3 +227,33 @@ def test_pairs_of_texts_of_common_passages_are_few(spark):
     assert pairs.count() < 15 * len(docs)
     got = neardup.components(df, 4)
     assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == plain_components(docs, 4, 80)
+
+
+def test_bands_are_met_once(spark, monkeypatch):
+    """Crowded bands and others are told apart without meeting the open bands again."""
+    import traceback
+
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for base in ([word() for _ in range(200)] for _ in range(3)):
+        for _ in range(60):
+            words = list(base)
+            for _ in range(rnd.randrange(1, 12)):
+                words[rnd.randrange(200)] = word()
+            docs.append(" ".join(words))
+    made, join = [], DataFrame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if (on, how) == ("key", "left_semi") and "boxlake" in traceback.extract_stack()[-2].filename:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    got = neardup.components(documents(spark, docs), 4)
+    assert sorted(rows(got, "doc_id", "n_shingles", "component_id")) == plain_components(docs, 4, 80)
+    first, *later = made
+    assert len(later) <= 3 and sum(later[:1] + later[2:]) <= first
