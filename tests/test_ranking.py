@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from boxlake.operators import calibrate, catalog, ranking
+from boxlake.operators import areas, calibrate, catalog, ranking
 
 
 def jobs_of(spark, build):
@@ -93,3 +93,21 @@ def test_retention_settles_equal_times_and_names_by_path(spark):
         df = spark.createDataFrame(data, "owner string, name string, path string, modified int").coalesce(1)
         kept = catalog.retention(df, 3, "owner").filter("action = 'keep'").collect()
         assert sorted(r.path for r in kept) == sorted(r[2] for r in rows)[-3:]
+
+
+def test_rows_to_sequence_are_made_once(spark):
+    """Numbering reads its input three times; a costly one is written first."""
+    made = spark.sparkContext.accumulator(0)
+
+    def read(i):
+        made.add(1)
+        return f"T{i % 17}"
+
+    rows = spark.range(400).select(
+        (F.col("id") % 3).alias("document"), F.lit(1).alias("page"), F.lit("area_Tag-ID_000_000").alias("area_id"), F.col("id").alias("text_idx"),
+        F.udf(read, "string")("id").alias("text_content"), *[F.lit(1.0).alias(c) for c in ("x", "y", "width", "height")],
+    )
+    areas.sequenced(rows, hot=20).collect()
+    assert made.value == 400
+    areas.tag_rows(rows).collect()
+    assert made.value == 800

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from boxlake.functions import text as T
@@ -66,3 +67,17 @@ def test_padding_keeps_long_and_negative_numbers(spark):
 def test_similarity_needs_containment(spark):
     df = spark.createDataFrame([("motor", "motor1"), ("motor", "moter"), ("", "a"), ("a", "a")], "a string, b string")
     assert [r[0] for r in df.select(T.similar(F.col("a"), F.col("b"))).collect()] == [True, False, False, True]
+
+
+def test_order_columns_sort_like_the_key(spark):
+    texts = ["A", "AB", "A B", "a10", "A9", "A09", "A9B", "9", "10", "007", "7a", "٣", "٣0", "-", "", "Z", "ZZ1", "1Z", None]
+    data = [(t, x, y) for t in texts for x in (0.0, 1.5, None) for y in (2.0, -1.0)]
+    df = spark.createDataFrame(data, "t string, x double, y double").coalesce(1)
+    place = [F.col(c) for c in "txy"]
+    ranks = [F.dense_rank().over(Window.orderBy(*c)) for c in ([T.alphanumeric_key(*place)], T.alphanumeric_order(*place))]
+    assert df.select(ranks[0].alias("a"), ranks[1].alias("b")).filter("a <> b").count() == 0
+
+
+def test_padded_numbers_are_those_of_a_format(spark):
+    df = spark.range(-1200, 1200).union(spark.createDataFrame([(None,), (10**12,)], "id long"))
+    assert df.filter(~T.padded(F.col("id")).eqNullSafe(F.format_string("%03d", "id"))).count() == 0
