@@ -72,25 +72,33 @@ def _suppress(df, iou_threshold, class_specific, inclusive, unboxed, keys, fold_
     )
 
 
-def _suppress_folded(df, group, threshold, inclusive, unboxed) -> DataFrame:
+def _boxes_of(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One row per group, with its boxes in order of rank as `_boxes`."""
     rest = [c for c in df.columns if c not in group]
     ranked = F.struct((-F.col("confidence")).alias("_rank"), "det_idx", *[c for c in rest if c != "det_idx"])
-    boxes = F.array_sort(F.collect_list(ranked))
+    return df.groupBy(*group).agg(F.array_sort(F.collect_list(ranked)).alias("_boxes"))
+
 
+def _fold(boxes: Column, threshold: float, inclusive: bool, unboxed: str) -> Column:
     def step(kept: Column, candidate: Column) -> Column:
         b = G.field_box(candidate)
         hit = F.exists(kept, lambda k: G.exceeds_iou(G.field_box(k), b, threshold, inclusive))
         return F.when(hit, kept).otherwise(F.concat(kept, F.array(candidate)))
 
-    kept = F.aggregate(F.col("_boxes"), F.slice("_boxes", 1, 0), step)
+    kept = F.aggregate(boxes, F.slice(boxes, 1, 0), step)
     if unboxed == "drop":
-        kept = F.filter(kept, lambda k: G.has_box(G.field_box(k)) | (F.size("_boxes") == 1))
-    return (
-        df.groupBy(*group)
-        .agg(boxes.alias("_boxes"))
-        .select(*group, F.explode(kept).alias("_k"))
-        .select(*[F.col(c) if c in group else F.col(f"_k.{c}").alias(c) for c in df.columns])
-    )
+        kept = F.filter(kept, lambda k: G.has_box(G.field_box(k)) | (F.size(boxes) == 1))
+    return kept
+
+
+def _suppress_folded(df, group, threshold, inclusive, unboxed) -> DataFrame:
+    kept = _fold(F.col("_boxes"), threshold, inclusive, unboxed)
+    return _unfolded(_boxes_of(df, group), kept, df.columns, group)
+
+
+def _unfolded(groups: DataFrame, kept: Column, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
+    flat = groups.select(*group, F.explode(kept).alias("_k"))
+    return flat.select(*[F.col(c) if c in group else F.col(f"_k.{c}").alias(c) for c in columns])
 
 
 def _paired(df: DataFrame, group: Sequence[str], threshold: float, inclusive: bool) -> DataFrame:
@@ -212,6 +220,31 @@ def dedup_tags(
     return df.filter(~tagged).unionByName(tags)
 
 
+def cleaned(
+    df: DataFrame, tag_iou: float = 0.7, iou: float | None = 0.5, classes: Sequence[str] = (TAG_CLASS,), fold_limit: int = FOLD_LIMIT
+) -> DataFrame:
+    """`dedup_tags`, then class-wise `suppress` (`iou=None` leaves it out). Groups of up to
+    `fold_limit` boxes are folded for both at once, so that rows are shuffled once and not
+    written in between. The input is read for the sizes of groups and for its rows."""
+    group = [*PAGE_KEYS, "class_name"]
+    for threshold in (tag_iou, iou):
+        if threshold is not None and not 0.0 < threshold <= 1.0:
+            raise ValueError("iou_threshold must lie in (0, 1]")
+
+    def folded(df: DataFrame) -> DataFrame:
+        tagged = F.coalesce(F.col("class_name").isin(*classes), F.lit(False))
+        first = F.when(tagged, _fold(F.col("_boxes"), tag_iou, False, "drop")).otherwise(F.col("_boxes"))
+        groups = _boxes_of(df, group).withColumn("_boxes", first)
+        kept = F.col("_boxes") if iou is None else _fold(F.col("_boxes"), iou, False, "keep")
+        return _unfolded(groups, kept, df.columns, group)
+
+    def apart(df: DataFrame) -> DataFrame:
+        out = dedup_tags(df, tag_iou, classes, fold_limit=fold_limit)
+        return out if iou is None else suppress(out, iou, fold_limit=fold_limit)
+
+    return in_two_ways([df], group, large_groups([df], group, fold_limit), folded, apart)
+
+
 def preprocess(
     df: DataFrame, iou_threshold: float = 0.5, confidence_threshold: float = 0.25, **kwargs
 ) -> DataFrame:
