@@ -130,8 +130,9 @@ def corrected(texts: DataFrame, chosen: DataFrame, tiles: DataFrame, by_page: bo
 
 
 def calibrate(texts: DataFrame, by_page: bool = True, hot: int = QUANTILE_ACCURACY) -> tuple[DataFrame, DataFrame]:
-    """Diagnose and correct: `(corrected texts, statistics with the choice)`."""
+    """Diagnose and correct: `(corrected texts, statistics with the choice)`. Offsets and choices
+    are written: they are read again, and texts needn't be shuffled to meet small ones."""
     statistics = offset_statistics(texts, hot=hot)
-    tiles = tile_offsets(texts, by_page)
-    chosen = corrections(statistics, tiles)
+    tiles = cut_lineage(tile_offsets(texts, by_page))
+    chosen = cut_lineage(corrections(statistics, tiles))
     return corrected(texts, chosen, tiles, by_page), statistics.join(chosen.select("doc", "correction"), "doc")
