@@ -9,6 +9,7 @@ from boxlake import fixtures as X
 from boxlake.operators import dedup, fusion, spatial
 from boxlake.plans import pipelines
 from boxlake.queries import QUERIES
+from boxlake.sources import documents
 from helpers import detections, moved, random_boxes, texts
 
 WORDS = ["Motor 1", "motor1", "M1", " ", "Valve", "valve 12", "_", None]
@@ -66,14 +67,26 @@ def test_tags_and_classes_folded_at_once(spark, limit):
     assert sorted(map(repr, dedup.cleaned(boxes, 0.3, None, fold_limit=limit).collect())) == sorted(map(repr, tags.collect()))
 
 
-BYTES = {"extracted_texts": 600, "calibrated_extraction": 700}
+BYTES = {"extracted_texts": 600, "calibrated_extraction": 700, "text_documents": 380}
 
 
 @pytest.mark.parametrize("name", BYTES)
 def test_extraction_shuffles_rows_once(spark, sf_dir, name):
-    """Bytes shuffled and written for each line item, without broadcasts (by cells: 1,213 and 1,258)."""
+    """Bytes shuffled and written for each line item, without broadcasts (before: 1,213, 1,258 and 497)."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         assert moved(spark, lambda: QUERIES[name](spark, sf_dir)) < BYTES[name] * X.texts(spark, sf_dir).count()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_text_documents_listed_and_by_rows(spark, sf_dir):
+    det = X.detections(spark, sf_dir)
+    linked = spatial.with_symbol(X.ocr_texts(spark, sf_dir), det, ("class_name", "confidence", "x1", "y1", "x2", "y2", "tile", "row", "col"))
+    tagged = fusion.tag(linked.withColumn("doc", F.col("doc") % 7)).filter("doc != 3 or page = 1").cache()
+    every = spark.range(9).withColumnRenamed("id", "doc")  # two without texts
+    rest = fusion.extraction_statistics(tagged, documents=every), fusion.pattern_counts(tagged)
+    for record_rows in (10_000, 700, 100):
+        want = sorted(map(tuple, documents.text_documents(fusion.by_relevance(tagged), *rest, record_rows).collect()))
+        assert sorted(map(tuple, documents.text_documents(tagged, *rest, record_rows).collect())) == want
+        assert len(want) >= 9
