@@ -10,6 +10,7 @@ from boxlake.operators import dedup, fusion, spatial
 from boxlake.plans import pipelines
 from boxlake.queries import QUERIES
 from boxlake.sources import documents
+from boxlake.streaming import ingest
 from helpers import detections, moved, random_boxes, texts
 
 WORDS = ["Motor 1", "motor1", "M1", " ", "Valve", "valve 12", "_", None]
@@ -90,3 +91,45 @@ def test_text_documents_listed_and_by_rows(spark, sf_dir):
         want = sorted(map(tuple, documents.text_documents(fusion.by_relevance(tagged), *rest, record_rows).collect()))
         assert sorted(map(tuple, documents.text_documents(tagged, *rest, record_rows).collect())) == want
         assert len(want) >= 9
+
+
+def test_a_batch_shuffles_no_records(spark, sf_dir):
+    """Bytes shuffled and written for each line item (before: 383)."""
+    used = moved(spark, lambda: QUERIES["streamed_reload"](spark, sf_dir))
+    assert used < 340 * X.texts(spark, sf_dir).count()
+
+
+def test_single_and_repeated_records_of_a_batch(spark, tmp_path):
+    """Records that are alone, repeated in a file, and without a name."""
+    page = lambda n: '"pages": [{"page": 1, "detections": [' + ", ".join(f'{{"class_id": {i}}}' for i in range(n)) + "]}]"
+    lines = ['{"original_pdf": "a.pdf", %s}' % page(1), '{"original_pdf": "b.pdf", %s}' % page(2), '{"original_pdf": "b.pdf", %s}' % page(3)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.json").write_text("\n".join([*lines, "{%s}" % page(4), "{%s}" % page(5)]))
+    table = str(tmp_path / "t")
+    ingest.ingest_documents(ingest.document_stream(spark, str(tmp_path / "in")), table, str(tmp_path / "p")).awaitTermination()
+    counts = spark.read.parquet(table).groupBy("doc").count().collect()
+    assert sorted((r.doc or "", r["count"]) for r in counts) == [("", 4), ("a", 1), ("b", 2)]
+
+
+def test_odd_values_of_documents(spark):
+    odd = [
+        '{"pages": [{"page": "x", "page_num": "2", "detections": [{"class_id": "3", "class_name": 1.50, "confidence": "0.5", "bbox_global": [1, "2", 3, 4]}, 7, null]}]}',
+        '{"pages": [5, {"detections": {"a": 1}}, {"page": null, "original_width": 1e2, "detections": [{"bbox_global": {"x1": 1, "y1": 2, "x2": 3}}]}]}',
+        '{"pages": [{"detections": [{"bbox_global": null, "global_bbox": [1, 2, 3, 4]}, {"global_bbox": [1, 2, 3, 4, null]}]}]}',
+        '{"pages": [{"detections": [{"bbox_snippet": {"x1": 1, "y1": 2, "x2": 3, "y2": 4.5}, "snippet_position": [1, 2], "global_bbox": [1, 2, 3, "z"]}]}]}',
+        '{"pages": [{"detections": [{"snippet_position": {"row": 2, "col": "1"}, "snippet_source": {"a": [1]}, "class_id": 1.9}]}]}',
+        '{"pages": {"a": 1}}', "[1]", "nothing", None,
+    ]
+    docs = spark.createDataFrame([(str(i), v) for i, v in enumerate(odd)], "doc string, value string")
+    names = ["doc", "page", "page_w", "det_idx", "class_id", "class_name", "confidence", "x1", "y2", "tx1", "ty2", "tile", "row", "col"]
+    got = sorted(documents.parse_detections(docs).select(*names).collect(), key=lambda r: (r.doc, r.det_idx))
+
+    def bare(doc, page, page_w, det_idx):
+        return (doc, page, page_w, det_idx, 0, "unknown", 0.0, *[None] * 7)
+
+    assert [tuple(r) for r in got] == [
+        ("0", 2, None, 0, 3, "1.5", 0.5, 1.0, 4.0, *[None] * 5), bare("0", 2, None, 1), bare("0", 2, None, 2),
+        bare("1", 1, 100, 0), bare("2", 1, None, 0), bare("2", 1, None, 1),
+        ("3", 1, None, 0, 0, "unknown", 0.0, None, None, 1.0, 4.5, None, None, None),
+        ("4", 1, None, 0, 1, "unknown", 0.0, *[None] * 4, '{"a":[1]}', 2, 1),
+    ]
